@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import first_nonempty, ipv4_number, lookup_ip
 from palisade.operators.joins import lookup_join
-from palisade.schema import EVENT_KEY, GEO
+from palisade.schema import ENRICHMENT, EVENT_KEY, GEO, typed_struct
 
 # The default threat list, placeholders, and the risk rule for a hit.
 DEFAULT_THREAT_IPS = ["192.0.2.1", "198.51.100.1", "203.0.113.1"]
@@ -60,7 +60,6 @@ def enrich_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _set_enrichment(key: str, value: Column) -> Column:
-    from palisade.schema import ENRICHMENT, typed_struct
     fields = {f.name: F.col(f"enrichment.{f.name}") for f in ENRICHMENT.fields}
     fields[key] = value
     return typed_struct(fields, ENRICHMENT)

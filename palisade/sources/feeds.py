@@ -51,8 +51,8 @@ def read_json_arrays(spark: SparkSession, path: str, source: str | None = None)
     """Files holding one JSON array each (a provider delivers them in modest sizes)."""
     whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").option(
         "pathGlobFilter", "*.json").json(path).select("v", F.col("_metadata.file_name").alias("source_file"))
-    whole.createOrReplaceTempView("__palisade_arrays")
-    rows = spark.sql("SELECT e.value AS body, source_file FROM __palisade_arrays, LATERAL variant_explode(v) e")
+    rows = whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+        F.col("value").alias("body"), "source_file")
     return _tagged(rows, source)
 
 

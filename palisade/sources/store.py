@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 EVENT_DAYS, ALERT_DAYS = 90, 365
 
 
-def write_events(events: DataFrame, folder: str, mode: str = "append") -> None:
-    """By provider and day. Rows spread over (provider, day, hash) so that a busy day is many files."""
+def write_events(events: DataFrame, folder: str, mode: str = "append", files_per_day: int = 8) -> None:
+    """By provider and day; a hash spreads each day over several writers, so a busy day is not one task."""
     dated = events.withColumn("date", F.to_date("timestamp"))
-    spread = dated.repartition(F.col("sourceProvider"), F.col("date"), F.pmod(F.xxhash64("eventId"), F.lit(64)))
-    spread.write.mode(mode).partitionBy("sourceProvider", "date").parquet(folder)
+    part = F.pmod(F.xxhash64("eventId", "timestamp"), F.lit(files_per_day))
+    dated.repartition("sourceProvider", "date", part).write.mode(mode).partitionBy("sourceProvider", "date").parquet(folder)
 
 
 def write_alerts(alerts: DataFrame, folder: str, mode: str = "append") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.operators.normalize import is_valid, known_source, text_at
+from palisade.operators.normalize import at, is_valid, known_source
 
 
 def stage_counts(raw: DataFrame, events: DataFrame, alerts_with_outcome: DataFrame) -> DataFrame:
@@ -84,13 +84,18 @@ def sliding_counts(events: DataFrame, key: str, width: str = "5 minutes", slide:
         F.col("w.start").alias("window_start"), key, "n")
 
 
+def _scalar(path: str) -> Column:
+    """Text at a path, but not the JSON of an object found there."""
+    value = F.nullif(at(path), F.lit(""))
+    return F.when(~value.startswith("{"), value)
+
+
 def display_event() -> Column:
-    named = F.nullif(text_at("eventName"), F.lit(""))
-    return F.coalesce(named, text_at("operationName.value"), F.nullif(text_at("operationName"), F.lit("")),
-                      F.nullif(text_at("protoPayload.methodName"), F.lit("")), F.lit("Unknown"))
+    return F.coalesce(_scalar("eventName"), at("operationName.value"), _scalar("operationName"),
+                      _scalar("protoPayload.methodName"), F.lit("Unknown"))
 
 
 def display_user() -> Column:
     paths = ["userIdentity.userName", "userIdentity.type", "caller", "identity.userPrincipalName",
              "protoPayload.authenticationInfo.principalEmail"]
-    return F.coalesce(*[F.nullif(text_at(p), F.lit("")) for p in paths], F.lit("Unknown"))
+    return F.coalesce(*[F.nullif(at(p), F.lit("")) for p in paths], F.lit("Unknown"))

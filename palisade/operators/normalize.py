@@ -1,8 +1,8 @@
-"""Raw provider records (``source``, ``body`` variant) to unified events.
+"""Raw provider records (``source``, ``body`` as JSON text) to unified events.
 
-Every provider is a mapping from event field to expression over the body; one pass over the raw
-table evaluates the mapping of the row's own source, so the raw data is scanned once and unused
-fields are pruned. Both record shapes are accepted: flat records as the collectors write them
+Every provider is a mapping from event field to expression over one typed view of the body. The
+raw table is scanned once: each row's body is read into the view of its own source and only that
+source's mapping is evaluated. Both record shapes are accepted: flat records as the collectors write them
 and the provider's own nested JSON.
 """
 
@@ -60,18 +60,17 @@ BODY = "body"
 
 
 def at(path: str, kind: str = "string", body: str = BODY) -> Column:
-    """Value at a dotted path of the body; null on any miss or type clash."""
+    """Value at a dotted path of the body text; null on any miss or type clash."""
     steps = "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in path.split("."))
-    return F.try_variant_get(F.col(body), "$" + steps, kind)
+    if kind == "string":
+        return F.get_json_object(body, "$" + steps)
+    return F.try_variant_get(F.try_parse_json(body), "$" + steps, kind)
 
 
 def text_at(*paths: str) -> Column:
-    """First of several paths that holds text (objects and arrays do not count)."""
-    columns = []
-    for path in paths:
-        raw = at(path)
-        columns.append(F.when(~F.coalesce(raw, F.lit("")).rlike(r"^[{\[]"), raw))
-    return F.coalesce(*columns)
+    """First of several paths that holds a value. List nested paths before the flat key they share
+    a name with: a path into plain text is a miss, while an object would be taken as its JSON."""
+    return F.coalesce(*[at(path) for path in paths])
 
 
 def map_fields(df: DataFrame, mapping: dict[str, str], body: str = BODY) -> DataFrame:
@@ -83,78 +82,129 @@ def event_time(*paths: str) -> Column:
     return F.coalesce(*[text_at(p).try_cast("timestamp") for p in paths])
 
 
-def _from_trail(path: str) -> Column:
-    """CloudTrail fields sit in the wrapped event when there is one, else in the record."""
-    return F.coalesce(text_at(f"cloud_trail_event.{path}"), text_at(path))
+# What each source's projection reads from a body, as one typed view (both record shapes).
+_TRAIL = (
+    "eventID string, eventTime string, eventName string, eventCategory string, sourceIPAddress string, "
+    "userAgent string, recipientAccountId string, errorCode string, errorMessage string, "
+    "requestParameters variant, responseElements variant, userIdentity struct<userName:string, "
+    "principalId:string, type:string, sessionContext:struct<sessionIssuer:struct<userName:string>>>"
+)
+VIEWS = {
+    "aws_cloudtrail": f"{_TRAIL}, username string, resources array<struct<ARN:string, ResourceType:string, "
+                      f"ResourceName:string>>, cloud_trail_event struct<{_TRAIL}>",
+    "aws_guardduty": "id string, finding_id string, updatedAt string, createdAt string, type string, description string, "
+                     "severity variant, service struct<eventLastSeen:string, action:struct<actionType:string, "
+                     "networkConnectionAction:struct<remoteIpDetails:struct<ipAddressV4:string>, "
+                     "localIpDetails:struct<ipAddressV4:string>, localPortDetails:struct<port:int>, protocol:string>>>",
+    "aws_vpc_flow_logs": "timestamp bigint, src_addr string, dst_addr string, src_port string, dst_port string, "
+                         "protocol string, bytes string, packets string, action string",
+    "azure_activity_logs": "event_data_id string, eventDataId string, operationId string, event_timestamp string, "
+                           "eventTimestamp string, operation_name string, operationName struct<value:string>, "
+                           "category variant, status variant, level string, caller string, resourceId string, "
+                           "resource_id string, resource_group string, resourceGroupName string, description string, "
+                           "correlation_id string, correlationId string",
+    "azure_security_center": "alertId string, alert_id string, time_generated string, display_name string, "
+                             "severity string, description string, alert_type string",
+    "gcp_audit_logs": "raw_entry struct<insertId:string>, insertId string, timestamp string, severity string, "
+                      "method_name string, principal_email string, request variant, response variant, "
+                      "resource struct<type:string, labels:struct<resourceName:string>>, "
+                      "protoPayload struct<methodName:string, resourceName:string, request:variant, response:variant, "
+                      "authenticationInfo:struct<principalEmail:string>, requestMetadata:struct<callerIp:string>>",
+}
+VIEWS["gcp_cloud_logging"] = VIEWS["gcp_audit_logs"]
+
+
+def view_name(source: str) -> str:
+    return f"__view_{source}"
+
+
+def _fields(source: str):
+    """(field, time): accessors into the typed view of one source, first value of several paths."""
+    view = view_name(source)
+
+    def field(*paths: str) -> Column:
+        return F.coalesce(*[F.col(f"{view}.{p}") for p in paths]) if len(paths) > 1 else F.col(f"{view}.{paths[0]}")
+
+    def time(*paths: str) -> Column:
+        return F.coalesce(*[field(p).try_cast("timestamp") for p in paths])
+
+    return field, time
 
 
 def cloudtrail() -> dict[str, Column]:
-    name = F.coalesce(_from_trail("eventName"), F.lit(""))
-    wrapped = at("cloud_trail_event", "variant")
-    has_resource = at("resources.0", "variant").isNotNull()
+    field, time = _fields("aws_cloudtrail")
+
+    def trail(path: str) -> Column:  # the wrapped event when there is one, else the record itself
+        return field(f"cloud_trail_event.{path}", path)
+
+    name = F.coalesce(trail("eventName"), F.lit(""))
+    wrapped = field("cloud_trail_event").isNotNull()
+    first = F.get(field("resources"), F.lit(0))
     return {
-        "eventId": F.coalesce(_from_trail("eventID"), text_at("eventId"), F.lit("")),
-        "timestamp": F.coalesce(event_time("cloud_trail_event.eventTime", "eventTime")),
+        "eventId": F.coalesce(trail("eventID"), at("eventId"), F.lit("")),
+        "timestamp": time("cloud_trail_event.eventTime", "eventTime"),
         "sourceProvider": F.lit("aws"),
         "sourceService": F.lit("cloudtrail"),
         "eventType": classify_aws(name),
         "eventName": name,
-        "eventCategory": _from_trail("eventCategory"),
+        "eventCategory": trail("eventCategory"),
         "severity": F.lit("info"),
         "actor": typed_struct({
-            "username": first_nonempty(_from_trail("userIdentity.userName"), text_at("username")),
-            "userId": _from_trail("userIdentity.principalId"),
-            "userType": _from_trail("userIdentity.type"),
-            "ipAddress": _from_trail("sourceIPAddress"),
-            "userAgent": _from_trail("userAgent"),
-            "sessionId": _from_trail("userIdentity.sessionContext.sessionIssuer.userName"),
+            "username": first_nonempty(trail("userIdentity.userName"), field("username")),
+            "userId": trail("userIdentity.principalId"),
+            "userType": trail("userIdentity.type"),
+            "ipAddress": trail("sourceIPAddress"),
+            "userAgent": trail("userAgent"),
+            "sessionId": trail("userIdentity.sessionContext.sessionIssuer.userName"),
         }, ACTOR),
-        "resource": F.when(has_resource, typed_struct({
-            "resourceId": text_at("resources.0.ARN"),
-            "resourceType": text_at("resources.0.ResourceType"),
-            "resourceName": text_at("resources.0.ResourceName"),
-            "accountId": _from_trail("recipientAccountId"),
+        "resource": F.when(first.isNotNull(), typed_struct({
+            "resourceId": first["ARN"],
+            "resourceType": first["ResourceType"],
+            "resourceName": first["ResourceName"],
+            "accountId": trail("recipientAccountId"),
         }, RESOURCE)),
         "action": name,
-        "outcome": F.when(F.nullif(_from_trail("errorCode"), F.lit("")).isNotNull(), "failure").otherwise("success"),
-        "outcome_reason": _from_trail("errorMessage"),
-        "requestParameters": F.when(wrapped.isNotNull(), at("cloud_trail_event.requestParameters", "variant"))
-        .otherwise(at("requestParameters", "variant")),
-        "responseElements": F.when(wrapped.isNotNull(), at("cloud_trail_event.responseElements", "variant"))
-        .otherwise(at("responseElements", "variant")),
+        "outcome": F.when(F.nullif(trail("errorCode"), F.lit("")).isNotNull(), "failure").otherwise("success"),
+        "outcome_reason": trail("errorMessage"),
+        "requestParameters": F.when(wrapped, field("cloud_trail_event.requestParameters"))
+        .otherwise(field("requestParameters")),
+        "responseElements": F.when(wrapped, field("cloud_trail_event.responseElements"))
+        .otherwise(field("responseElements")),
     }
 
 
 def guardduty() -> dict[str, Column]:
-    severity = at("severity", "double")
-    numeric = F.schema_of_variant(at("severity", "variant")) != "STRING"
-    value = F.when(at("severity", "variant").isNull(), F.lit(0.0)).when(numeric, severity)
-    kind = F.coalesce(text_at("type"), F.lit(""))
+    field, time = _fields("aws_guardduty")
+    severity = field("severity")
+    numeric = F.schema_of_variant(severity) != "STRING"
+    value = F.when(severity.isNull(), F.lit(0.0)).when(numeric, F.try_variant_get(severity, "$", "double"))
+    kind = F.coalesce(field("type"), F.lit(""))
     connection = "service.action.networkConnectionAction"
     network = typed_struct({
-        "sourceIp": text_at(f"{connection}.remoteIpDetails.ipAddressV4"),
-        "destinationIp": text_at(f"{connection}.localIpDetails.ipAddressV4"),
-        "destinationPort": at(f"{connection}.localPortDetails.port", "int"),
-        "protocol": text_at(f"{connection}.protocol"),
+        "sourceIp": field(f"{connection}.remoteIpDetails.ipAddressV4"),
+        "destinationIp": field(f"{connection}.localIpDetails.ipAddressV4"),
+        "destinationPort": field(f"{connection}.localPortDetails.port"),
+        "protocol": field(f"{connection}.protocol"),
     }, NETWORK)
     return {
-        "eventId": F.coalesce(text_at("finding_id", "id"), F.lit("")),
-        "timestamp": event_time("updatedAt", "service.eventLastSeen", "createdAt"),
+        "eventId": F.coalesce(field("finding_id"), field("id"), F.lit("")),
+        "timestamp": time("updatedAt", "service.eventLastSeen", "createdAt"),
         "sourceProvider": F.lit("aws"),
         "sourceService": F.lit("guardduty"),
         "eventType": F.lit("security_alert"),
         "eventName": kind,
         "severity": finding_severity(value),
-        "network": F.when(text_at("service.action.actionType") == "NETWORK_CONNECTION", network),
+        "network": F.when(field("service.action.actionType") == "NETWORK_CONNECTION", network),
         "outcome": F.lit("unknown"),
-        "description": text_at("description"),
+        "description": field("description"),
         "threatIndicators": F.array(kind),
         "risk_score": value / F.lit(10.0),
     }
 
 
 def vpc_flow() -> dict[str, Column]:
-    millis = at("timestamp", "bigint")
+    field, _ = _fields("aws_vpc_flow_logs")
+    millis = field("timestamp")
     return {
         "eventId": F.concat(F.lit("vpc_flow_"), millis.cast("string")),
         "timestamp": F.timestamp_millis(millis),
@@ -164,87 +214,97 @@ def vpc_flow() -> dict[str, Column]:
         "eventName": F.lit("network_connection"),
         "severity": F.lit("info"),
         "network": typed_struct({
-            "sourceIp": text_at("src_addr"),
-            "source_port": at("src_port").try_cast("int"),
-            "destinationIp": text_at("dst_addr"),
-            "destinationPort": at("dst_port").try_cast("int"),
-            "protocol": text_at("protocol"),
-            "bytesSent": at("bytes").try_cast("bigint"),
-            "packets": at("packets").try_cast("bigint"),
-            "action": text_at("action"),
+            "sourceIp": field("src_addr"),
+            "source_port": field("src_port").try_cast("int"),
+            "destinationIp": field("dst_addr"),
+            "destinationPort": field("dst_port").try_cast("int"),
+            "protocol": field("protocol"),
+            "bytesSent": field("bytes").try_cast("bigint"),
+            "packets": field("packets").try_cast("bigint"),
+            "action": field("action"),
         }, NETWORK),
         "outcome": F.lit("unknown"),
     }
 
 
+def _plain_or_value(value: Column) -> Column:
+    """Text that comes as is or as the ``value`` of an object."""
+    return F.coalesce(F.try_variant_get(value, "$.value", "string"), F.try_variant_get(value, "$", "string"))
+
+
 def azure_activity() -> dict[str, Column]:
-    caller = text_at("caller")
-    name = text_at("operation_name", AZURE_ACTIVITY_FIELDS["eventName"])
+    field, time = _fields("azure_activity_logs")
+    caller = field("caller")
+    name = field("operation_name", "operationName.value")
     return {
-        "eventId": F.coalesce(text_at("event_data_id", "eventDataId", AZURE_ACTIVITY_FIELDS["eventId"]), F.lit("")),
-        "timestamp": event_time("event_timestamp", AZURE_ACTIVITY_FIELDS["eventTime"]),
+        "eventId": F.coalesce(field("event_data_id"), field("eventDataId"), field("operationId"), F.lit("")),
+        "timestamp": time("event_timestamp", "eventTimestamp"),
         "sourceProvider": F.lit("azure"),
         "sourceService": F.lit("activityLogs"),
         "eventType": F.lit("administrative_action"),
         "eventName": F.coalesce(name, F.lit("")),
-        "eventCategory": text_at("category", "category.value"),
-        "severity": mapped(text_at("level"), AZURE_ACTIVITY_LEVELS, "info"),
+        "eventCategory": _plain_or_value(field("category")),
+        "severity": mapped(field("level"), AZURE_ACTIVITY_LEVELS, "info"),
         "actor": typed_struct({"email": caller, "userId": caller}, ACTOR),
         "resource": typed_struct({
-            "resourceId": text_at("resourceId", "resource_id"),
-            "resourceName": text_at("resource_group", "resourceGroupName"),
+            "resourceId": field("resourceId", "resource_id"),
+            "resourceName": field("resource_group", "resourceGroupName"),
             "resourceType": F.lit("azure_resource"),
         }, RESOURCE),
         "action": name,
-        "outcome": F.when(text_at("status", AZURE_ACTIVITY_FIELDS["status"]) == "Succeeded", "success")
-        .otherwise("failure"),
-        "description": text_at("description"),
-        "correlation_id": text_at("correlation_id", "correlationId"),
+        "outcome": F.when(_plain_or_value(field("status")) == "Succeeded", "success").otherwise("failure"),
+        "description": field("description"),
+        "correlation_id": field("correlation_id", "correlationId"),
     }
 
 
 def azure_security() -> dict[str, Column]:
+    field, time = _fields("azure_security_center")
     return {
-        "eventId": F.coalesce(text_at("alertId", "alert_id"), F.lit("")),
-        "timestamp": event_time("time_generated"),
+        "eventId": F.coalesce(field("alertId"), field("alert_id"), F.lit("")),
+        "timestamp": time("time_generated"),
         "sourceProvider": F.lit("azure"),
         "sourceService": F.lit("security_center"),
         "eventType": F.lit("security_alert"),
-        "eventName": F.coalesce(text_at("display_name"), F.lit("")),
-        "severity": mapped(text_at("severity"), AZURE_ALERT_SEVERITIES, "medium"),
+        "eventName": F.coalesce(field("display_name"), F.lit("")),
+        "severity": mapped(field("severity"), AZURE_ALERT_SEVERITIES, "medium"),
         "outcome": F.lit("unknown"),
-        "description": text_at("description"),
-        "threatIndicators": F.array(F.coalesce(text_at("alert_type"), F.lit(""))),
+        "description": field("description"),
+        "threatIndicators": F.array(F.coalesce(field("alert_type"), F.lit(""))),
     }
 
 
-def gcp_log() -> dict[str, Column]:
-    email = text_at("principal_email", GCP_AUDIT_FIELDS["principal_email"])
-    method = text_at("method_name", GCP_AUDIT_FIELDS["method_name"])
-    level = F.coalesce(text_at("severity"), F.lit("INFO"))
+def gcp_log(source: str = "gcp_audit_logs") -> dict[str, Column]:
+    field, time = _fields(source)
+    email = field("principal_email", "protoPayload.authenticationInfo.principalEmail")
+    method = field("method_name", "protoPayload.methodName")
     return {
-        "eventId": F.coalesce(text_at("raw_entry.insertId", "insertId"), F.lit("")),
-        "timestamp": event_time("timestamp"),
+        "eventId": F.coalesce(field("raw_entry.insertId"), field("insertId"), F.lit("")),
+        "timestamp": time("timestamp"),
         "sourceProvider": F.lit("gcp"),
         "sourceService": F.col("source"),
         "eventType": classify_gcp(method),
         "eventName": F.coalesce(method, F.lit("")),
-        "severity": mapped(level, GCP_SEVERITIES, "info"),
+        "severity": mapped(F.coalesce(field("severity"), F.lit("INFO")), GCP_SEVERITIES, "info"),
         "actor": typed_struct({
-            "email": email, "userId": email, "ipAddress": text_at(GCP_AUDIT_FIELDS["caller_ip"]),
+            "email": email, "userId": email, "ipAddress": field("protoPayload.requestMetadata.callerIp"),
         }, ACTOR),
         "resource": typed_struct({
-            "resourceType": text_at("resource.type"),
-            "resourceName": text_at("resource.labels.resourceName", GCP_AUDIT_FIELDS["resource_name"]),
+            "resourceType": field("resource.type"),
+            "resourceName": field("resource.labels.resourceName", "protoPayload.resourceName"),
         }, RESOURCE),
         "action": method,
         "outcome": F.lit("unknown"),
-        "requestParameters": F.coalesce(at("request", "variant"), at("protoPayload.request", "variant")),
-        "responseElements": F.coalesce(at("response", "variant"), at("protoPayload.response", "variant")),
+        "requestParameters": field("request", "protoPayload.request"),
+        "responseElements": field("response", "protoPayload.response"),
     }
 
 
-# The projection of every known source; a new feed registers here.
+def gcp_logging() -> dict[str, Column]:
+    return gcp_log("gcp_cloud_logging")
+
+
+# The projection of every known source; a new feed registers its view and projection here.
 PROJECTIONS = {
     "aws_cloudtrail": cloudtrail,
     "aws_guardduty": guardduty,
@@ -252,11 +312,12 @@ PROJECTIONS = {
     "azure_activity_logs": azure_activity,
     "azure_security_center": azure_security,
     "gcp_audit_logs": gcp_log,
-    "gcp_cloud_logging": gcp_log,
+    "gcp_cloud_logging": gcp_logging,
 }
 
 
-def register_projection(source: str, projection) -> None:
+def register_projection(source: str, view: str, projection) -> None:
+    VIEWS[source] = view
     PROJECTIONS[source] = projection
 
 
@@ -266,11 +327,15 @@ def known_source() -> Column:
 
 def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Unified events of every known source; other records are left to ``unknown_records``."""
+    views = {
+        view_name(source): F.when(F.col("source") == source, F.from_json(BODY, T.StructType.fromDDL(view)))
+        for source, view in VIEWS.items()
+    }
     mappings = {source: projection() for source, projection in PROJECTIONS.items()}
     columns = []
     for field in EVENT.fields:
         if field.name == "rawEvent":
-            value = F.col(BODY)
+            value = F.try_parse_json(BODY)
         elif field.name in ("ingestion_timestamp", "normalization_timestamp"):
             value = F.current_timestamp()
         else:
@@ -281,7 +346,7 @@ def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
             if field.name == "threatIndicators":
                 value = F.coalesce(value, F.array().cast(T.ArrayType(T.StringType())))
         columns.append(value.alias(field.name))
-    return raw.where(known_source()).select(*columns, *(keep or []))
+    return raw.where(known_source()).withColumns(views).select(*columns, *(keep or []))
 
 
 def unknown_records(raw: DataFrame) -> DataFrame:

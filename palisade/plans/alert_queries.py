@@ -14,7 +14,7 @@ from palisade.operators.throttle import outcomes, throttle
 from palisade.plans.detection import detect
 from palisade.plans.oracle import alerted, deduplicated, detected, sec, throttled
 from palisade.plans.registry import query
-from palisade.session import cut_lineage
+from palisade.session import land
 from palisade.sources.adapters import raw_records, sec_events
 
 HOURLY_LIMIT = 5  # low enough to bite on the small tables
@@ -22,7 +22,8 @@ ALERT, DET = alerted(history=False), detected(history=False)
 
 
 def _fused(spark, folder, history=False, burst=False):
-    return detect(sec_events(spark, folder, burst=burst), load_rules(), history=history)
+    events = sec_events(spark, folder, burst=burst)
+    return detect(land(events) if history else events, load_rules(), history=history)
 
 
 def _alerts(spark, folder, history=False, burst=False):
@@ -30,7 +31,7 @@ def _alerts(spark, folder, history=False, burst=False):
 
 
 def _placed(spark, folder):
-    return cut_lineage(deduplicate(cut_lineage(_alerts(spark, folder).select("alertId", "timestamp", "fingerprint"))))
+    return land(deduplicate(land(_alerts(spark, folder).select("alertId", "timestamp", "fingerprint"))))
 
 
 @query("q_alerts", f"""
@@ -78,7 +79,7 @@ def dedup(spark, folder):
 WITH {deduplicated(True, False, 60_000_000)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd""")
 def dedup_burst(spark, folder):
     """One-minute windows over the compressed stream, with large fingerprints on the doubling path."""
-    rows = cut_lineage(_alerts(spark, folder, burst=True).select("alertId", "timestamp", "fingerprint"))
+    rows = land(_alerts(spark, folder, burst=True).select("alertId", "timestamp", "fingerprint"))
     placed = deduplicate(rows, window_us=60_000_000, fold_limit=200)
     return placed.select("alertId", "fingerprint", F.unix_micros("anchor").alias("anchor_us"), "duplicate")
 
@@ -214,8 +215,8 @@ UNION ALL SELECT 'alerts_dispatched', (SELECT count(*) FROM thr WHERE NOT thrott
 UNION ALL SELECT 'alerts_deduplicated', (SELECT count(*) FROM dd WHERE dup)
 UNION ALL SELECT 'alerts_throttled', (SELECT count(*) FROM thr WHERE throttled)""")
 def stage_counts(spark, folder):
-    raw = raw_records(spark, folder)
-    return me.stage_counts(raw, normalize(raw), cut_lineage(outcomes(_placed(spark, folder), HOURLY_LIMIT)))
+    raw = land(raw_records(spark, folder))
+    return me.stage_counts(raw, normalize(raw), land(outcomes(_placed(spark, folder), HOURLY_LIMIT)))
 
 
 @query("q_error_counts", f"""
@@ -224,7 +225,7 @@ SELECT 'normalization' AS component, count(*) AS n FROM base WHERE event_id % 8
 UNION ALL SELECT 'validation', count(*) FROM base WHERE event_id % 8 < 7 AND
   NOT ((event_id % 8 = 2 OR k <> 13) AND event_id % 8 <> 6 AND NOT (event_id % 8 = 5 AND k % 11 = 0))""")
 def error_counts(spark, folder):
-    raw = raw_records(spark, folder)
+    raw = land(raw_records(spark, folder))
     return me.error_counts(raw, normalize(raw))
 
 

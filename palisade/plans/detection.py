@@ -13,7 +13,7 @@ from palisade.operators.heuristics import history_signals, with_heuristics
 from palisade.operators.normalize import is_valid, normalize
 from palisade.operators.rules import Rule, with_matched_rules
 from palisade.operators.throttle import outcomes
-from palisade.session import cut_lineage
+from palisade.session import land
 from palisade.sources.store import write_events
 
 
@@ -33,8 +33,8 @@ def run(events: DataFrame, rules: list[Rule], model: Model | None = None, **limi
 
     Alerts and their windows are each written once (in the shared checkpoint folder): the
     following steps read them several times and must not repeat the detection."""
-    alerts = cut_lineage(build_alerts(detect(events, rules, model)))
-    return outcomes(cut_lineage(deduplicate(alerts)), **limits)
+    alerts = land(build_alerts(detect(events, rules, model)))
+    return outcomes(land(deduplicate(alerts)), **limits)
 
 
 def run_raw(raw: DataFrame, rules: list[Rule], store: str, dimensions: dict[str, DataFrame] | None = None,

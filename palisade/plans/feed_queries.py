@@ -8,9 +8,13 @@ from palisade.functions.classify import (
     AZURE_ACTIVITY_LEVELS, AZURE_ALERT_SEVERITIES, GCP_SEVERITIES, classify_aws, classify_gcp, finding_severity, mapped,
 )
 from palisade.operators import enrich as en
-from palisade.operators.normalize import at, from_record, is_valid, map_fields, normalize, text_at, to_record, unknown_records
+from palisade.operators.metrics import display_event, display_user
+from palisade.operators.normalize import (
+    GCP_AUDIT_FIELDS, at, from_record, is_valid, map_fields, normalize, to_record, unknown_records,
+)
 from palisade.plans.oracle import AWS_TIERS, BASE, GCP_TIERS, classified, sec
 from palisade.plans.registry import query
+from palisade.session import land
 from palisade.sources import adapters as ad
 from palisade.sources import feeds
 from palisade.sources.store import retained
@@ -18,10 +22,15 @@ from palisade.sources.store import retained
 def us():
     return F.unix_micros("timestamp").alias("t_us")
 
+def landed(spark, folder):
+    """The raw records as a landed table, the way feeds arrive."""
+    return land(ad.raw_records(spark, folder))
+
+
 FLOW_SQL = f"""
 WITH {BASE},
 lines AS (
-  SELECT epoch_ms(ts) AS ms, '2 acct eni-' || (user_id % 7) || ' 203.0.113.' || (user_id % 20) || ' 10.0.0.' || k || ' ' || (k + 1024)
+  SELECT (us // 1000) AS ms, '2 acct eni-' || (user_id % 7) || ' 203.0.113.' || (user_id % 20) || ' 10.0.0.' || k || ' ' || (k + 1024)
     || ' 443  6 ' || (k + 1) || ' ' || CAST(floor(value * 100) AS BIGINT) || ' ' || (us // 1000000) || ' ' || (us // 1000000 + 60)
     || CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_type = 'error' THEN ' REJECT' ELSE ' ACCEPT' END || '  OK ' ELSE '' END AS line
   FROM base
@@ -39,7 +48,7 @@ def flow_parse(spark, folder):
 
 @query("q_flow_events", f"""
 WITH {BASE}
-SELECT 'vpc_flow_' || epoch_ms(ts) AS event_id, epoch_ms(ts) AS ms, '203.0.113.' || (user_id % 20) AS src, k + 1024 AS sport,
+SELECT 'vpc_flow_' || (us // 1000) AS event_id, (us // 1000) AS ms, '203.0.113.' || (user_id % 20) AS src, k + 1024 AS sport,
   '10.0.0.' || k AS dst, 443 AS dport, CAST(floor(value * 100) AS BIGINT) AS bytes, k + 1 AS packets,
   CASE WHEN event_type = 'error' THEN 'REJECT' ELSE 'ACCEPT' END AS action
 FROM base WHERE event_id % 10 <> 0""")
@@ -59,11 +68,11 @@ LEVELS = "(['DEFAULT','DEBUG','INFO','NOTICE','WARNING','ERROR','CRITICAL','ALER
 WITH {BASE} SELECT 'raw-' || event_id AS insert_id, {LEVELS} AS severity, event_type AS text_payload
 FROM base WHERE event_id % 8 = 6 AND k % 9 >= 4 AND k <> 13""")
 def min_severity(spark, folder):
-    raw = ad.raw_records(spark, folder).where("source = 'gcp_cloud_logging'")
+    raw = landed(spark, folder).where("source = 'gcp_cloud_logging'")
     entries = feeds.gcp_log_entries(
-        raw.withColumn("body", F.col("body")), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"),
+        raw, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"),
         "WARNING")
-    return entries.select("insert_id", "severity", F.coalesce("text_payload", F.lit(None)).alias("text_payload"))
+    return entries.select("insert_id", "severity", "text_payload")
 
 
 @query("q_union_feeds", f"""
@@ -99,7 +108,7 @@ WITH {BASE} SELECT (['aws','aws','aws','azure','azure','gcp','gcp','unknown'])[1
   (['cloudtrail','guardduty','vpc_flow_logs','activityLogs','security_center','gcp_audit_logs','gcp_cloud_logging','unknown'])[1 + event_id % 8] AS service,
   count(*) AS n FROM base GROUP BY 1, 2""")
 def route_counts(spark, folder):
-    raw = ad.raw_records(spark, folder)
+    raw = landed(spark, folder)
     known = normalize(raw).select(F.col("sourceProvider").alias("provider"), F.col("sourceService").alias("service"))
     unknown = unknown_records(raw).select(F.lit("unknown").alias("provider"), F.lit("unknown").alias("service"))
     return known.unionByName(unknown).groupBy("provider", "service").agg(F.count("*").alias("n"))
@@ -109,7 +118,7 @@ PURCHASES = "(['CreateAccessKey','DeleteTrail','AttachUserPolicy','AuthorizeSecu
 
 
 def _normalized(spark, folder, source):
-    raw = ad.raw_records(spark, folder)
+    raw = landed(spark, folder)
     return normalize(raw.where(F.col("source") == source))
 
 
@@ -153,7 +162,7 @@ def norm_finding(spark, folder):
 
 @query("q_norm_flow", f"""
 WITH {BASE}
-SELECT 'vpc_flow_' || epoch_ms(ts) AS eventId, epoch_ms(ts) AS ms, k + 1024 AS sport, CASE WHEN k % 5 <> 0 THEN 443 END AS dport,
+SELECT 'vpc_flow_' || (us // 1000) AS eventId, (us // 1000) AS ms, k + 1024 AS sport, CASE WHEN k % 5 <> 0 THEN 443 END AS dport,
   CAST(floor(value * 100) AS BIGINT) AS bytes, CAST(k AS BIGINT) AS packets,
   CASE WHEN event_type = 'error' THEN 'REJECT' ELSE 'ACCEPT' END AS action, 'network_traffic' AS type
 FROM base WHERE event_id % 8 = 2""")
@@ -241,7 +250,7 @@ def severity_map(spark, folder):
 @query("q_json_path", f"""
 WITH {BASE} SELECT event_id, CAST(k AS VARCHAR) AS k_text, CAST(NULL AS VARCHAR) AS missed FROM base""")
 def json_path(spark, folder):
-    rows = ad.base_columns(spark, folder).select("event_id", F.try_parse_json("props").alias("body"))
+    rows = ad.base_columns(spark, folder).select("event_id", F.col("props").alias("body"))
     return rows.select("event_id", at("k").alias("k_text"), at("k.deeper.still").alias("missed"))
 
 
@@ -250,8 +259,7 @@ WITH {BASE}, n AS (SELECT *, {METHOD} AS name FROM base WHERE event_id % 8 = 5 A
 SELECT nullif(name, '') AS method_name, 'user_' || user_id || '@example.com' AS principal_email, '203.0.113.9' AS caller_ip,
   'projects/' || k AS resource_name, count(*) AS n FROM n GROUP BY 1, 2, 3, 4""")
 def mapped_fields(spark, folder):
-    from palisade.operators.normalize import GCP_AUDIT_FIELDS
-    raw = ad.raw_records(spark, folder).where("source = 'gcp_audit_logs'")
+    raw = landed(spark, folder).where("source = 'gcp_audit_logs'")
     fields = map_fields(raw, GCP_AUDIT_FIELDS).where("resource_name is not null")
     keys = ["method_name", "principal_email", "caller_ip", "resource_name"]
     return fields.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -264,7 +272,7 @@ WITH {BASE}, n AS (
   FROM base WHERE event_id % 8 < 7)
 SELECT provider, valid, count(*) AS n FROM n GROUP BY 1, 2""")
 def validate_split(spark, folder):
-    e = normalize(ad.raw_records(spark, folder))
+    e = normalize(landed(spark, folder))
     return e.groupBy(F.col("sourceProvider").alias("provider"), is_valid().alias("valid")).agg(F.count("*").alias("n"))
 
 
@@ -282,7 +290,7 @@ def json_roundtrip(spark, folder):
 @query("q_display_name", f"""
 WITH {BASE}, n AS (SELECT *, {METHOD} AS method FROM base)
 SELECT CASE event_id % 8 WHEN 0 THEN CASE WHEN event_id % 16 = 0 THEN 'Outer' ELSE {PURCHASES} END
-    WHEN 3 THEN 'Microsoft.Compute/' || event_type
+    WHEN 3 THEN CASE WHEN k % 2 <> 0 THEN 'Microsoft.Compute/' || event_type ELSE 'Unknown' END
     WHEN 5 THEN CASE WHEN k % 2 = 0 AND method <> '' THEN method ELSE 'Unknown' END
     ELSE 'Unknown' END AS event,
   CASE event_id % 8 WHEN 0 THEN CASE WHEN event_id % 16 = 0 THEN 'Unknown' WHEN k % 10 <> 0 THEN 'user_' || user_id ELSE 'IAMUser' END
@@ -291,8 +299,7 @@ SELECT CASE event_id % 8 WHEN 0 THEN CASE WHEN event_id % 16 = 0 THEN 'Outer' EL
     ELSE 'Unknown' END AS "user", count(*) AS n
 FROM n GROUP BY 1, 2""")
 def display_name(spark, folder):
-    from palisade.operators.metrics import display_event, display_user
-    raw = ad.raw_records(spark, folder)
+    raw = landed(spark, folder)
     return raw.groupBy(display_event().alias("event"), display_user().alias("user")).agg(F.count("*").alias("n"))
 
 

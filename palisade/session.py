@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,21 +33,31 @@ def build_session(cores: int | str = "*", app: str = "palisade", **conf: str) ->
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch folder only on a local master."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="palisade-checkpoint-")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get(CHECKPOINT_DIR, None)
+        if not configured:
+            if not context.master.startswith("local"):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+            configured = tempfile.mkdtemp(prefix="palisade-checkpoint-")
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor never replays a whole iteration chain."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def land(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: for wide rows that several steps read,
+    each needing few of the columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/landed/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

@@ -199,7 +199,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(plain)
     )
     return rows.select(source.alias("source"), F.concat(source, F.lit(".json")).alias("source_file"),
-                       F.try_parse_json(body).alias("body"))
+                       body.alias("body"))
 
 
 def flow_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,15 +35,15 @@ FLOW_POSITIONS = {
 
 
 def read_json_lines(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """One JSON record per line: the splittable form for large feeds. Bad lines have a null body."""
-    rows = spark.read.text(path).select(F.try_parse_json("value").alias("body"),
-                                        F.col("_metadata.file_name").alias("source_file"))
+    """One JSON record per line: the splittable form for large feeds. Bad lines stay as they are
+    and fail validation later."""
+    rows = spark.read.text(path).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("source_file"))
     return _tagged(rows, source)
 
 
 def stream_json_lines(spark: SparkSession, path: str, source: str | None = None, **options: str) -> DataFrame:
     rows = spark.readStream.options(**options).text(path).select(
-        F.try_parse_json("value").alias("body"), F.col("_metadata.file_name").alias("source_file"))
+        F.col("value").alias("body"), F.col("_metadata.file_name").alias("source_file"))
     return _tagged(rows, source)
 
 
@@ -52,7 +52,7 @@ def read_json_arrays(spark: SparkSession, path: str, source: str | None = None)
     whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").option(
         "pathGlobFilter", "*.json").json(path).select("v", F.col("_metadata.file_name").alias("source_file"))
     rows = whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
-        F.col("value").alias("body"), "source_file")
+        F.to_json("value").alias("body"), "source_file")
     return _tagged(rows, source)
 
 
@@ -64,9 +64,9 @@ def file_source(file_name: Column) -> Column:
 
 
 def _tagged(rows: DataFrame, source: str | None) -> DataFrame:
-    """The record's own ``source`` wins, then the feed's, then the file name's."""
-    named = F.lit(source).cast("string") if source else file_source(F.col("source_file"))
-    return rows.select(F.coalesce(at("source"), named).alias("source"), "source_file", "body")
+    """A feed's declared source is a constant; otherwise the record's own, else the file name's."""
+    named = F.lit(source) if source else F.coalesce(at("source"), file_source(F.col("source_file")))
+    return rows.select(named.alias("source"), "source_file", "body")
 
 
 # --- flow-log lines ------------------------------------------------------------------------
@@ -85,7 +85,7 @@ def flow_raw(lines: DataFrame) -> DataFrame:
     """Flow lines as raw records for the normaliser."""
     parsed = parse_flow_lines(lines)
     return parsed.select(F.lit("aws_vpc_flow_logs").alias("source"), F.lit(None).cast("string").alias("source_file"),
-                         F.to_variant_object(F.struct(*parsed.columns)).alias("body"))
+                         F.to_json(F.struct(*parsed.columns)).alias("body"))
 
 
 # --- provider records in collector shape -----------------------------------------------------
@@ -99,7 +99,7 @@ def cloudtrail_records(raw: DataFrame) -> DataFrame:
         event_time("EventTime").alias("eventTime"), text_at("Username").alias("username"),
         at("Resources", "variant").alias("resources"),
         F.try_parse_json(F.coalesce(at("CloudTrailEvent"), F.lit("{}"))).alias("cloud_trail_event"),
-        F.col("body").alias("rawEvent"),
+        F.try_parse_json("body").alias("rawEvent"),
     )
 
 
@@ -108,7 +108,7 @@ def cloudtrail_raw(raw: DataFrame) -> DataFrame:
     records = cloudtrail_records(raw).withColumn("eventTime", F.date_format("eventTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     names = ["eventId", "eventName", "eventTime", "username"]
     text = F.to_json(F.struct(*names, "resources", "cloud_trail_event"))
-    return records.select("source", F.lit(None).cast("string").alias("source_file"), F.try_parse_json(text).alias("body"))
+    return records.select("source", F.lit(None).cast("string").alias("source_file"), text.alias("body"))
 
 
 def guardduty_findings(raw: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -125,12 +125,12 @@ def azure_activity_records(raw: DataFrame) -> DataFrame:
         text_at("operation_name", "operationName.value").alias("operation_name"),
         text_at("resource_id", "resourceId").alias("resource_id"),
         text_at("resource_group", "resourceGroupName").alias("resource_group"),
-        text_at("status", "status.value").alias("status"),
+        text_at("status.value", "status").alias("status"),
         text_at("caller").alias("caller"),
         text_at("correlation_id", "correlationId").alias("correlation_id"),
         text_at("description").alias("description"),
         text_at("event_data_id", "eventDataId").alias("event_data_id"),
-        text_at("category", "category.value").alias("category"),
+        text_at("category.value", "category").alias("category"),
     )
 
 
@@ -162,8 +162,8 @@ def gcp_log_entries(raw: DataFrame, start: Column, end: Column, floor: str | Non
         event_time("timestamp").alias("timestamp"),
         text_at("severity").alias("severity"),
         at("resource", "variant").alias("resource"),
-        F.coalesce(text_at("textPayload"), F.when(shape == "STRING", at("payload"))).alias("text_payload"),
-        F.coalesce(at("jsonPayload", "variant"), F.when(shape.startswith("OBJECT"), payload)).alias("json_payload"),
+        F.coalesce(text_at("textPayload", "text_payload"), F.when(shape == "STRING", at("payload"))).alias("text_payload"),
+        F.coalesce(at("jsonPayload", "variant"), at("json_payload", "variant"), F.when(shape.startswith("OBJECT"), payload)).alias("json_payload"),
         at("labels", "variant").alias("labels"),
         text_at("trace").alias("trace"), text_at("spanId", "span_id").alias("span_id"),
         text_at("insertId", "raw_entry.insertId").alias("insert_id"),
@@ -195,7 +195,7 @@ def read_feeds(spark: SparkSession, feeds: list[dict]) -> DataFrame:
         merged = rows if merged is None else merged.unionByName(rows, allowMissingColumns=True)
     if merged is None:
         empty = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_file", T.StringType()),
-                              T.StructField("body", T.VariantType())])
+                              T.StructField("body", T.StringType())])
         return spark.createDataFrame([], empty)
     return merged
 

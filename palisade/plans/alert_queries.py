@@ -15,7 +15,7 @@ from palisade.plans.detection import detect
 from palisade.plans.oracle import alerted, deduplicated, detected, sec, throttled
 from palisade.plans.registry import query
 from palisade.session import land
-from palisade.sources.adapters import raw_records, sec_events
+from palisade.plans.tables import raw_records, sec_events
 
 HOURLY_LIMIT = 5  # low enough to bite on the small tables
 ALERT, DET = alerted(history=False), detected(history=False)
@@ -23,7 +23,7 @@ ALERT, DET = alerted(history=False), detected(history=False)
 
 def _fused(spark, folder, history=False, burst=False):
     events = sec_events(spark, folder, burst=burst)
-    return detect(land(events) if history else events, load_rules(), history=history)
+    return detect(events, load_rules(), history=history)
 
 
 def _alerts(spark, folder, history=False, burst=False):
@@ -215,7 +215,7 @@ UNION ALL SELECT 'alerts_dispatched', (SELECT count(*) FROM thr WHERE NOT thrott
 UNION ALL SELECT 'alerts_deduplicated', (SELECT count(*) FROM dd WHERE dup)
 UNION ALL SELECT 'alerts_throttled', (SELECT count(*) FROM thr WHERE throttled)""")
 def stage_counts(spark, folder):
-    raw = land(raw_records(spark, folder))
+    raw = raw_records(spark, folder)
     return me.stage_counts(raw, normalize(raw), land(outcomes(_placed(spark, folder), HOURLY_LIMIT)))
 
 
@@ -225,7 +225,7 @@ SELECT 'normalization' AS component, count(*) AS n FROM base WHERE event_id % 8
 UNION ALL SELECT 'validation', count(*) FROM base WHERE event_id % 8 < 7 AND
   NOT ((event_id % 8 = 2 OR k <> 13) AND event_id % 8 <> 6 AND NOT (event_id % 8 = 5 AND k % 11 = 0))""")
 def error_counts(spark, folder):
-    raw = land(raw_records(spark, folder))
+    raw = raw_records(spark, folder)
     return me.error_counts(raw, normalize(raw))
 
 

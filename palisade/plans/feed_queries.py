@@ -14,7 +14,7 @@ from palisade.operators.normalize import (
 )
 from palisade.plans.oracle import AWS_TIERS, BASE, GCP_TIERS, classified, sec
 from palisade.plans.registry import query
-from palisade.session import land
+from palisade.plans.tables import raw_records, sec_events
 from palisade.sources import adapters as ad
 from palisade.sources import feeds
 from palisade.sources.store import retained
@@ -22,11 +22,6 @@ from palisade.sources.store import retained
 def us():
     return F.unix_micros("timestamp").alias("t_us")
 
-def landed(spark, folder):
-    """The raw records as a landed table, the way feeds arrive."""
-    return land(ad.raw_records(spark, folder))
-
-
 FLOW_SQL = f"""
 WITH {BASE},
 lines AS (
@@ -68,7 +63,7 @@ LEVELS = "(['DEFAULT','DEBUG','INFO','NOTICE','WARNING','ERROR','CRITICAL','ALER
 WITH {BASE} SELECT 'raw-' || event_id AS insert_id, {LEVELS} AS severity, event_type AS text_payload
 FROM base WHERE event_id % 8 = 6 AND k % 9 >= 4 AND k <> 13""")
 def min_severity(spark, folder):
-    raw = landed(spark, folder).where("source = 'gcp_cloud_logging'")
+    raw = raw_records(spark, folder).where("source = 'gcp_cloud_logging'")
     entries = feeds.gcp_log_entries(
         raw, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"),
         "WARNING")
@@ -79,7 +74,7 @@ def min_severity(spark, folder):
 WITH {sec()} SELECT provider AS sourceProvider, count(*) AS n, count_if(provider = 'aws') AS with_user, count_if(provider <> 'aws') AS with_mail
 FROM sec GROUP BY provider""")
 def union_feeds(spark, folder):
-    events = ad.sec_events(spark, folder)
+    events = sec_events(spark, folder)
     aws = events.where("sourceProvider = 'aws'").select("eventId", "sourceProvider", F.col("actor.username").alias("user"))
     others = [
         events.where(F.col("sourceProvider") == p).select("eventId", "sourceProvider", F.col("actor.username").alias("mail"))
@@ -93,14 +88,14 @@ def union_feeds(spark, folder):
 @query("q_time_range", f"""
 WITH {sec()} SELECT eventId, t_us FROM sec WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20 12:00:00'""")
 def time_range(spark, folder):
-    events = ad.sec_events(spark, folder)
+    events = sec_events(spark, folder)
     start, end = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20 12:00:00").cast("timestamp")
     return feeds.time_range(events, start, end).select("eventId", us())
 
 
 @query("q_latest_events", f"WITH {sec()} SELECT eventId, t_us FROM sec ORDER BY ts DESC, eventId LIMIT 50")
 def latest_events(spark, folder):
-    return feeds.latest(ad.sec_events(spark, folder), 50).select("eventId", us())
+    return feeds.latest(sec_events(spark, folder), 50).select("eventId", us())
 
 
 @query("q_route_counts", f"""
@@ -108,7 +103,7 @@ WITH {BASE} SELECT (['aws','aws','aws','azure','azure','gcp','gcp','unknown'])[1
   (['cloudtrail','guardduty','vpc_flow_logs','activityLogs','security_center','gcp_audit_logs','gcp_cloud_logging','unknown'])[1 + event_id % 8] AS service,
   count(*) AS n FROM base GROUP BY 1, 2""")
 def route_counts(spark, folder):
-    raw = landed(spark, folder)
+    raw = raw_records(spark, folder)
     known = normalize(raw).select(F.col("sourceProvider").alias("provider"), F.col("sourceService").alias("service"))
     unknown = unknown_records(raw).select(F.lit("unknown").alias("provider"), F.lit("unknown").alias("service"))
     return known.unionByName(unknown).groupBy("provider", "service").agg(F.count("*").alias("n"))
@@ -118,7 +113,7 @@ PURCHASES = "(['CreateAccessKey','DeleteTrail','AttachUserPolicy','AuthorizeSecu
 
 
 def _normalized(spark, folder, source):
-    raw = landed(spark, folder)
+    raw = raw_records(spark, folder)
     return normalize(raw.where(F.col("source") == source))
 
 
@@ -217,14 +212,14 @@ def norm_gcp(spark, folder):
 @query("q_classify_aws", f"""
 WITH {sec()} SELECT name, {classified('name', AWS_TIERS)} AS kind, count(*) AS n FROM sec GROUP BY 1, 2""")
 def classify_aws_names(spark, folder):
-    e = ad.sec_events(spark, folder)
+    e = sec_events(spark, folder)
     return e.groupBy(F.col("eventName").alias("name"), classify_aws(F.col("eventName")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("q_classify_gcp", f"""
 WITH {sec()} SELECT name, {classified('name', GCP_TIERS)} AS kind, count(*) AS n FROM sec GROUP BY 1, 2""")
 def classify_gcp_names(spark, folder):
-    e = ad.sec_events(spark, folder)
+    e = sec_events(spark, folder)
     return e.groupBy(F.col("eventName").alias("name"), classify_gcp(F.col("eventName")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -259,7 +254,7 @@ WITH {BASE}, n AS (SELECT *, {METHOD} AS name FROM base WHERE event_id % 8 = 5 A
 SELECT nullif(name, '') AS method_name, 'user_' || user_id || '@example.com' AS principal_email, '203.0.113.9' AS caller_ip,
   'projects/' || k AS resource_name, count(*) AS n FROM n GROUP BY 1, 2, 3, 4""")
 def mapped_fields(spark, folder):
-    raw = landed(spark, folder).where("source = 'gcp_audit_logs'")
+    raw = raw_records(spark, folder).where("source = 'gcp_audit_logs'")
     fields = map_fields(raw, GCP_AUDIT_FIELDS).where("resource_name is not null")
     keys = ["method_name", "principal_email", "caller_ip", "resource_name"]
     return fields.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -272,14 +267,14 @@ WITH {BASE}, n AS (
   FROM base WHERE event_id % 8 < 7)
 SELECT provider, valid, count(*) AS n FROM n GROUP BY 1, 2""")
 def validate_split(spark, folder):
-    e = normalize(landed(spark, folder))
+    e = normalize(raw_records(spark, folder))
     return e.groupBy(F.col("sourceProvider").alias("provider"), is_valid().alias("valid")).agg(F.count("*").alias("n"))
 
 
 @query("q_json_roundtrip", f"""
 WITH {sec()} SELECT eventId, t_us, name, username, country, resource, criticality, bytes, risk, mfa, outcome FROM sec""")
 def json_roundtrip(spark, folder):
-    e = from_record(to_record(ad.sec_events(spark, folder)))
+    e = from_record(to_record(sec_events(spark, folder)))
     return e.select("eventId", us(), F.col("eventName").alias("name"), F.col("actor.username").alias("username"),
                     F.col("actor.geo_location.country").alias("country"), F.col("resource.resourceId").alias("resource"),
                     F.col("resource.tags")["criticality"].alias("criticality"), F.col("network.bytesSent").alias("bytes"),
@@ -299,7 +294,7 @@ SELECT CASE event_id % 8 WHEN 0 THEN CASE WHEN event_id % 16 = 0 THEN 'Outer' EL
     ELSE 'Unknown' END AS "user", count(*) AS n
 FROM n GROUP BY 1, 2""")
 def display_name(spark, folder):
-    raw = landed(spark, folder)
+    raw = raw_records(spark, folder)
     return raw.groupBy(display_event().alias("event"), display_user().alias("user")).agg(F.count("*").alias("n"))
 
 
@@ -315,7 +310,7 @@ SELECT eventId, ip, coalesce(n_name, 'Unknown') AS country, coalesce(city, 'Unkn
   coalesce(n_name, 'Unknown') AS actor_country
 FROM sec LEFT JOIN geo ON CAST(string_split(ip, '.')[4] AS INT) BETWEEN lo AND hi""")
 def geo_join(spark, folder):
-    e = en.enrich_geo(ad.sec_events(spark, folder), ad.geo_ranges(spark, folder))
+    e = en.enrich_geo(sec_events(spark, folder), ad.geo_ranges(spark, folder))
     geo = "enrichment.geo_ip"
     return e.select("eventId", F.col(f"{geo}.ip").alias("ip"), F.col(f"{geo}.country").alias("country"),
                     F.col(f"{geo}.city").alias("city"), F.col(f"{geo}.latitude").alias("latitude"),
@@ -330,7 +325,7 @@ SELECT eventId, array_to_string(found, '|') AS found, CASE WHEN len(found) > 0 T
   CASE WHEN len(found) > 0 THEN least(coalesce(risk, 0.5) * 2.0, 1.0) ELSE risk END AS risk
 FROM h""")
 def threat_intel(spark, folder):
-    e = en.enrich_threats(ad.sec_events(spark, folder), en.default_threat_list(spark))
+    e = en.enrich_threats(sec_events(spark, folder), en.default_threat_list(spark))
     intel = "enrichment.threatIntel"
     return e.select("eventId", F.array_join(f"{intel}.indicators_found", "|").alias("found"),
                     F.col(f"{intel}.threat_level").alias("level"), F.size(f"{intel}.sources").alias("n_sources"),
@@ -343,7 +338,7 @@ WITH {sec()}, assets AS (SELECT 'res-' || n_nationkey AS rid, n_name AS owner, C
 SELECT eventId, resource, coalesce(owner, 'Unknown') AS owner, coalesce(crit, 'medium') AS criticality, sec.criticality AS tag, seen
 FROM sec LEFT JOIN assets ON rid = resource""")
 def asset_join(spark, folder):
-    e = en.enrich_assets(ad.sec_events(spark, folder), ad.assets(spark, folder))
+    e = en.enrich_assets(sec_events(spark, folder), ad.assets(spark, folder))
     a = "enrichment.asset_inventory"
     return e.select("eventId", F.col(f"{a}.resource_id").alias("resource"), F.col(f"{a}.owner").alias("owner"),
                     F.col(f"{a}.criticality").alias("criticality"), F.col(f"{a}.tags")["criticality"].alias("tag"),
@@ -354,7 +349,7 @@ def asset_join(spark, folder):
 WITH {sec()} SELECT eventId, CASE WHEN n_name IS NOT NULL THEN ip END AS ip, 'host-' || lower(n_name) AS hostname
 FROM sec LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON ip = '203.0.113.' || n_nationkey""")
 def dns_join(spark, folder):
-    e = en.enrich_dns(ad.sec_events(spark, folder), ad.reverse_dns(spark, folder))
+    e = en.enrich_dns(sec_events(spark, folder), ad.reverse_dns(spark, folder))
     return e.select("eventId", F.col("enrichment.dns.ip").alias("ip"), F.col("enrichment.dns.hostname").alias("hostname"))
 
 
@@ -370,7 +365,7 @@ GROUP BY 1, 2, 3, 4""")
 def enrich_all(spark, folder):
     dims = {"geo_ip": ad.geo_ranges(spark, folder), "threat_intel": en.default_threat_list(spark),
             "asset_inventory": ad.assets(spark, folder), "dns": ad.reverse_dns(spark, folder)}
-    e = en.enrich(ad.sec_events(spark, folder), dims)
+    e = en.enrich(sec_events(spark, folder), dims)
     return e.groupBy(F.col("enrichment.geo_ip.country").alias("country"),
                      F.col("enrichment.threatIntel.threat_level").alias("level"),
                      F.col("enrichment.asset_inventory.owner").alias("owner"),
@@ -381,5 +376,5 @@ def enrich_all(spark, folder):
 WITH {sec()} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM sec
 WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 20 GROUP BY 1""")
 def retention(spark, folder):
-    kept = retained(ad.sec_events(spark, folder), F.lit("2024-01-31"), 20)
+    kept = retained(sec_events(spark, folder), F.lit("2024-01-31"), 20)
     return kept.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from palisade.plans.detection import detect
 from palisade.plans.oracle import HISTORY, KEYWORD, detected, matched, sec
 from palisade.plans.registry import query
 from palisade.session import land
-from palisade.sources.adapters import sec_events
+from palisade.plans.tables import sec_events
 
 HIST = f"{sec()}, {matched()}, {HISTORY}"
 HIST_BURST = f"{sec(True)}, {matched()}, {HISTORY}"
@@ -100,7 +100,7 @@ WITH {HIST} SELECT eventId, CASE WHEN h4 THEN country END AS new_country, CASE W
 FROM flags WHERE (h4 OR h5 OR h6) AND ts >= TIMESTAMP '2024-01-08'""")
 def baseline_score(spark, folder):
     """A baseline of the first week, then the rest scored against it and what it adds."""
-    events = land(sec_events(spark, folder))
+    events = sec_events(spark, folder)
     cut = F.lit("2024-01-08").cast("timestamp")
     past, fresh = events.where(F.col("timestamp") < cut), events.where(F.col("timestamp") >= cut)
     tables = [
@@ -115,7 +115,7 @@ HEURISTIC = "SELECT eventId, array_to_string(indicators, '|') AS indicators, rou
 
 
 def _heuristic(spark, folder, burst):
-    events = land(sec_events(spark, folder, burst=burst))
+    events = sec_events(spark, folder, burst=burst)
     judged = he.with_heuristics(events, he.history_signals(events)).where("heuristic.isSuspicious")
     return judged.select("eventId", F.array_join("heuristic.indicators", "|").alias("indicators"),
                          F.round("heuristic.score", 6).alias("score"))
@@ -218,7 +218,7 @@ def rule_scores(spark, folder):
 @query("q_overall_score", f"""
 WITH {detected()} SELECT eventId, round(overall, 6) AS score, threat, array_to_string(methods, '|') AS methods FROM det""")
 def overall_scores(spark, folder):
-    fused = detect(land(sec_events(spark, folder)), load_rules())
+    fused = detect(sec_events(spark, folder), load_rules())
     return fused.select("eventId", F.round("overallScore", 6).alias("score"), F.col("overallThreatDetected").alias("threat"),
                         F.array_join("detectionMethods", "|").alias("methods"))
 

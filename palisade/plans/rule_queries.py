@@ -9,7 +9,7 @@ from palisade.operators.rules import (
 )
 from palisade.plans.oracle import RULES, matched, picked, rule_values, sec
 from palisade.plans.registry import query
-from palisade.sources.adapters import sec_events
+from palisade.plans.tables import sec_events
 
 # Each operator on its own: (query, condition(s), the same predicate in SQL).
 OPERATOR_CASES = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.classify import classify_aws, classify_gcp
 from palisade.schema import ACTOR, GEO, NETWORK, RESOURCE, conform, typed_struct
-from palisade.session import read_table
+from palisade.session import read_table, spread
 
 # The event names, countries and addresses of the derived event stream.
 CLICK_NAMES = ["GetObject", "ListBuckets", "GetSecretValue", "DescribeInstances", "GetPasswordData", "ListUsers"]
@@ -27,7 +27,7 @@ def _pick(names: list[str], index: Column) -> Column:
 
 def base_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The events table with ``k`` read from its JSON column and time as a UTC timestamp."""
-    return read_table(spark, folder, "events").select(
+    return spread(read_table(spark, folder, "events")).select(
         "event_id",
         "user_id",
         "event_type",

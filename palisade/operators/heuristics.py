@@ -7,6 +7,7 @@ back to the events once.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from palisade.operators.firstseen import first_pairs, merge_pairs, newcomers, un
 from palisade.operators.joins import lookup_join
 from palisade.operators.trailing import trailing_hits
 from palisade.schema import EVENT_KEY
+from palisade.session import checkpoint_root, land
 
 MINUTE_US = 60_000_000
 HOUR_US = 3_600_000_000
@@ -93,7 +95,8 @@ def accessor_pairs(events: DataFrame) -> DataFrame:
 
 
 def _with_baseline(pairs: DataFrame, baseline: DataFrame | None, owner: str, item: str) -> DataFrame:
-    return pairs if baseline is None else merge_pairs(baseline, pairs, owner, item)
+    """The pairs table is far smaller than the events and read several times, so it is landed."""
+    return land(pairs if baseline is None else merge_pairs(baseline, pairs, owner, item))
 
 
 def _pair_event(pairs: DataFrame, *keep: str) -> DataFrame:
@@ -151,11 +154,17 @@ def combine_signals(tables: list[DataFrame]) -> DataFrame:
     return merged.groupBy(*EVENT_KEY).agg(*[F.max(c).alias(c) for c in SIGNAL_COLUMNS])
 
 
+CHECKS = [user_frequency, ip_frequency, failed_logins, new_locations, unusual_actions, unusual_accessors]
+
+
 def history_signals(events: DataFrame) -> DataFrame:
-    return combine_signals([
-        user_frequency(events), ip_frequency(events), failed_logins(events),
-        new_locations(events), unusual_actions(events), unusual_accessors(events),
-    ])
+    """All history checks. ``events`` should be a stored table: each check scans its few columns.
+
+    The checks do not depend on each other, so their preparing jobs are submitted side by side."""
+    checkpoint_root(events.sparkSession)
+    with ThreadPoolExecutor(len(CHECKS)) as pool:
+        tables = list(pool.map(lambda check: check(events), CHECKS))
+    return land(combine_signals(tables))
 
 
 # --- row-local checks -----------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Time is cut into slices. Per-slice totals (partially aggregated before the shuffle) give the
 balance at the start of each slice; inside a slice only distinct instants are ordered, so one
 window group holds at most one slice of one key. Slices that cannot exceed the floor are
-dropped before any event row is shuffled.
+dropped first; while the remaining ones fit a broadcast, no other event row is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import slot
 from palisade.operators.joins import lookup_join
+from palisade.session import land
 
 SLICES = 60
 
@@ -40,9 +41,10 @@ def trailing_instants(
         *([weight] if weight else []),
     )
 
-    # What each slice opens with: everything in the full window before its start.
+    # What each slice opens with: everything in the full window before its start. Only slices that
+    # can exceed the floor are kept; that table is landed so its size decides how it is joined.
     before = Window.partitionBy(*keys).orderBy("slice").rangeBetween(-SLICES, -1)
-    opening = (
+    opening = land(
         rows.groupBy(*keys, "slice").agg(amount.alias("own"))
         .withColumn("opening", F.coalesce(F.sum("own").over(before), F.lit(0)))
         .where(F.col("opening") + F.col("own") > floor)
@@ -58,10 +60,10 @@ def trailing_instants(
                F.col("move.sign").alias("sign"), *([weight] if weight else []))
     size = F.col(weight) if weight else F.lit(1)
     instants = (
-        moves.groupBy(*keys, "slice", "t")
+        lookup_join(moves, opening, [*keys, "slice"], spread=["t"], how="inner")
+        .groupBy(*keys, "slice", "opening", "t")
         .agg(F.sum(F.when(F.col("sign") > 0, size).otherwise(0)).alias("n"),
              F.sum(F.when(F.col("sign") < 0, size).otherwise(0)).alias("gone"))
-        .join(opening, [*keys, "slice"])
     )
     in_order = Window.partitionBy(*keys, "slice").orderBy("t")
     arrived = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

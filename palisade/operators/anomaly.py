@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.schema import EVENT_KEY, EVENT_TYPES, severity_rank
-from palisade.session import cut_lineage
+from palisade.session import land
 
 # Forest size, seed, contamination, thresholds and the reasons' texts.
 TREES, SAMPLE, SEED, CONTAMINATION, MIN_EVENTS = 100, 256, 42, 0.01, 10
@@ -123,7 +123,7 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tu
 
 
 def _grow(seed: int, limit: int):
-    def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         ordered = frame.sort_values("h")[FEATURES].to_numpy(dtype="float64")
         grown = grow_tree(ordered, np.random.default_rng([seed, tree]), limit)
@@ -159,7 +159,7 @@ def train(events: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int
     limit = math.ceil(math.log2(max(size, 2)))
     scaler = fit_scaler(table)
     drawn = draw_samples(scale(table, scaler), rows, trees, size, seed)
-    nodes = cut_lineage(
+    nodes = land(
         drawn.select("tree", "h", *FEATURES).groupBy("tree").applyInPandas(_grow(seed, limit), NODE_SCHEMA))
     config = {"trees": trees, "sample": sample, "seed": seed, "contamination": contamination}
     model = Model(nodes, size, scaler=scaler, config=config)

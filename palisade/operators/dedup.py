@@ -15,23 +15,26 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import slot
 from palisade.operators.joins import lookup_join
-from palisade.session import cut_lineage
+from palisade.session import land, number_rows
 
 WINDOW_US = 60 * 60_000_000
 SLICES = 60
 FOLD_LIMIT = 200_000
 
 
+FIRST = "struct<alertId:string,rowId:bigint>"
+
+
 def instants_of(alerts: DataFrame, open_anchors: DataFrame | None = None) -> DataFrame:
-    """(fingerprint, t, first_id, n) per distinct alert time; open anchors join with n = 0."""
+    """(fingerprint, t, first, n) per distinct alert time; open anchors join with no first row."""
     points = alerts.groupBy("fingerprint", F.unix_micros("timestamp").alias("t")).agg(
-        F.min("alertId").alias("first_id"), F.count("*").alias("n"))
+        F.min(F.struct("alertId", "rowId")).alias("first"), F.count("*").alias("n"))
     if open_anchors is None:
         return points
     held = open_anchors.select("fingerprint", F.unix_micros("anchor").alias("t"),
-                               F.lit(None).cast("string").alias("first_id"), F.lit(0).cast("bigint").alias("n"))
+                               F.lit(None).cast(FIRST).alias("first"), F.lit(0).cast("bigint").alias("n"))
     return points.unionByName(held).groupBy("fingerprint", "t").agg(
-        F.when(F.min("n") == 0, F.lit(None)).otherwise(F.min("first_id")).alias("first_id"), F.sum("n").alias("n"))
+        F.when(F.min("n") > 0, F.min("first")).alias("first"), F.sum("n").alias("n"))
 
 
 def _fold(points: DataFrame, window_us: int) -> DataFrame:
@@ -93,15 +96,15 @@ def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame
 def _double(points: DataFrame, window_us: int) -> DataFrame:
     """Anchors by pointer doubling: after k rounds the first 2^k anchors of every chain are known."""
     heads, jumps = _successors(points, window_us)
-    reached, jumps = cut_lineage(heads), cut_lineage(jumps)
+    reached, jumps = land(heads), land(jumps)
     while True:
         step = reached.join(jumps, ["fingerprint", "t"]).select("fingerprint", F.col("nxt").alias("t"))
-        step = cut_lineage(step)
+        step = land(step)
         if step.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(step))
+        reached = land(reached.unionByName(step))
         onward = jumps.select("fingerprint", F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        jumps = cut_lineage(jumps.join(onward, ["fingerprint", "nxt"]).select(
+        jumps = land(jumps.join(onward, ["fingerprint", "nxt"]).select(
             "fingerprint", "t", F.col("far").alias("nxt")))
 
 
@@ -121,22 +124,24 @@ def deduplicate(
     alerts: DataFrame, window_us: int = WINDOW_US, open_anchors: DataFrame | None = None,
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
-    """Add ``anchor`` (start of the alert's window) and ``duplicate``.
+    """Add ``anchor`` (start of the alert's window), ``duplicate`` and a unique ``rowId``.
 
+    Of alerts at one instant the lowest alertId opens the window; of exact copies, one of them.
     ``open_anchors`` (fingerprint, anchor) carries the windows of earlier batches on."""
-    points = cut_lineage(instants_of(alerts, open_anchors))
+    alerts = number_rows(alerts)
+    points = land(instants_of(alerts, open_anchors))
     anchors = anchors_of(points, window_us, fold_limit).join(
-        points.select("fingerprint", "t", "first_id"), ["fingerprint", "t"])
+        points.select("fingerprint", "t", "first"), ["fingerprint", "t"])
     # A window covers its own slot and the next, and no slot holds two anchors, so each
     # (fingerprint, slot) needs at most two candidate anchors.
     slots = anchors.withColumn("slot", F.explode(F.array(
         slot(F.col("t"), window_us), slot(F.col("t"), window_us) + 1)))
     candidates = slots.groupBy("fingerprint", "slot").agg(
-        F.min(F.struct("t", "first_id")).alias("early"), F.max(F.struct("t", "first_id")).alias("late"))
+        F.min(F.struct("t", "first")).alias("early"), F.max(F.struct("t", "first")).alias("late"))
     placed = alerts.withColumn("__t", F.unix_micros("timestamp")).withColumn("slot", slot(F.col("__t"), window_us))
-    joined = lookup_join(placed, candidates, ["fingerprint", "slot"], spread=["alertId"], measure=False)
+    joined = lookup_join(placed, candidates, ["fingerprint", "slot"], spread=["rowId"], measure=False)
     chosen = F.when(F.col("late.t") <= F.col("__t"), F.col("late")).otherwise(F.col("early"))
-    opens = (F.col("__a.t") == F.col("__t")) & F.col("__a.first_id").eqNullSafe(F.col("alertId"))
+    opens = (F.col("__a.t") == F.col("__t")) & F.col("__a.first.rowId").eqNullSafe(F.col("rowId"))
     return (
         joined.withColumn("__a", chosen)
         .withColumn("anchor", F.timestamp_micros(F.col("__a.t")))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import first_nonempty, ipv4_number, lookup_ip
-from palisade.operators.joins import lookup_join
+from palisade.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
 from palisade.schema import ENRICHMENT, EVENT_KEY, GEO, typed_struct
+from palisade.session import land
 
 # The default threat list, placeholders, and the risk rule for a hit.
 DEFAULT_THREAT_IPS = ["192.0.2.1", "198.51.100.1", "203.0.113.1"]
@@ -26,30 +27,33 @@ def block_ranges(ranges: DataFrame) -> DataFrame:
     return numbered.withColumn("block", F.explode(blocks)).drop("start_ip", "end_ip")
 
 
-def geo_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``addresses`` needs ``ip``; adds the ``geo`` struct (placeholders where no range holds it)."""
-    number = ipv4_number(F.col("ip"))
-    rows = addresses.withColumn("__n", number).withColumn("block", F.floor(F.col("__n") / BLOCK))
+def locate(rows: DataFrame, ip: str, ranges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add the ``geo`` struct of the address column ``ip`` (placeholders where no range holds it).
+
+    Ranges that fit a broadcast are matched in place. Otherwise the distinct addresses are located
+    first, so a busy address repeats neither the range match nor its shuffle."""
     side = block_ranges(ranges)
-    joined = lookup_join(rows, side, ["block"], spread=["ip"],
-                         residual=(F.col("__n") >= F.col("start")) & (F.col("__n") <= F.col("end")))
-    found = [F.col("ip").alias("ip")]
+    if fits_broadcast(side, broadcast_rows):
+        return _match_ranges(rows, ip, F.broadcast(side))
+    distinct = rows.select(ip).where(F.col(ip).isNotNull()).distinct()
+    located = land(_match_ranges(distinct, ip, side))
+    return lookup_join(rows, located, [ip], spread=EVENT_KEY)
+
+
+def _match_ranges(rows: DataFrame, ip: str, side: DataFrame) -> DataFrame:
+    rows = rows.withColumn("__n", ipv4_number(F.col(ip))).withColumn("__block", F.floor(F.col("__n") / BLOCK))
+    joined = rows.join(side, (F.col("__block") == F.col("block")) & F.col("__n").between(F.col("start"), F.col("end")), "left")
+    found = [F.col(ip).alias("ip")]
     for field in GEO.fields[1:]:
         fallback = F.lit(0.0) if field.name in ("latitude", "longitude") else F.lit(UNKNOWN)
         found.append(F.coalesce(F.col(field.name), fallback).cast(field.dataType).alias(field.name))
-    extra = [f.name for f in GEO.fields[1:]]
-    return joined.withColumn("geo", F.struct(*found)).drop("__n", "block", "start", "end", *extra)
-
+    geo = F.when(F.col(ip).isNotNull(), F.struct(*found))
+    return joined.withColumn("geo", geo).drop("__n", "__block", *side.columns)
 
-def enrich_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Fill ``enrichment.geo_ip`` and, when the address is the actor's, the actor's location.
 
-    Location is a function of the address, so distinct addresses are located once and then
-    looked up; a busy address does not repeat the range match."""
-    with_ip = events.withColumn("__ip", lookup_ip())
-    located = geo_lookup(with_ip.select(F.col("__ip").alias("ip")).where("ip is not null").distinct(), ranges)
-    joined = lookup_join(with_ip, located.select(F.col("ip").alias("__ip"), "geo"), ["__ip"],
-                         spread=EVENT_KEY, measure=False)
+def enrich_geo(events: DataFrame, ranges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Fill ``enrichment.geo_ip`` and, when the address is the actor's, the actor's location."""
+    joined = locate(events.withColumn("__ip", lookup_ip()), "__ip", ranges, broadcast_rows)
     own = first_nonempty(F.col("actor.ipAddress")).isNotNull()
     return (
         joined.withColumn("enrichment", _set_enrichment("geo_ip", F.col("geo")))
@@ -69,10 +73,13 @@ def default_threat_list(spark) -> DataFrame:
     return spark.createDataFrame([(ip, DEFAULT_FEED) for ip in DEFAULT_THREAT_IPS], "ip string, feed string")
 
 
-def enrich_threats(events: DataFrame, threat_ips: DataFrame) -> DataFrame:
+def enrich_threats(events: DataFrame, threat_ips: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Match actor, network source and network destination, in that order, against the list."""
     slots = {"__a": "actor.ipAddress", "__s": "network.sourceIp", "__d": "network.destinationIp"}
     feeds = threat_ips.groupBy("ip").agg(F.min("feed").alias("feed"))
+    if not fits_broadcast(feeds, broadcast_rows):  # keep only the listed addresses that occur at all
+        seen = events.select(F.explode(F.array(*[F.col(p) for p in slots.values()])).alias("ip")).distinct()
+        feeds = land(feeds.join(seen, "ip", "left_semi"))
     for name, path in slots.items():
         events = events.withColumn(name, F.nullif(F.col(path), F.lit("")))
         events = lookup_join(events, feeds.select(F.col("ip").alias(name), F.col("feed").alias(f"{name}_feed")),

@@ -268,7 +268,7 @@ def with_heuristics(events: DataFrame, signals: DataFrame | None = None) -> Data
         entries = F.array_compact(F.array(*time_entries(), *sensitive_entries()))
         joined = events
     else:
-        joined = lookup_join(events, signals, EVENT_KEY, spread=EVENT_KEY, measure=False, salts=1)
+        joined = lookup_join(events, signals, EVENT_KEY, spread=EVENT_KEY, salts=1)
         entries = F.array_compact(F.array(
             *frequency_entries(), *login_entries(), *time_entries(), *behaviour_entries(), *sensitive_entries()
         ))

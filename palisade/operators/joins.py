@@ -27,7 +27,6 @@ def lookup_join(
     on: list[str],
     spread: list[str] | Column,
     how: str = "left",
-    residual: Column | None = None,
     measure: bool = True,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -41,16 +40,11 @@ def lookup_join(
     names = {c: f"__k_{c}" for c in on}
     side = small.withColumnsRenamed(names)
     if measure and fits_broadcast(small):
-        condition = _all_equal(on, names)
-        if residual is not None:
-            condition = condition & residual
-        return big.join(F.broadcast(side), condition, how).drop(*names.values())
+        return big.join(F.broadcast(side), _all_equal(on, names), how).drop(*names.values())
     spreading = F.xxhash64(*spread) if isinstance(spread, list) else spread
     big = big.withColumn("__salt", F.pmod(spreading, F.lit(salts)).cast("int"))
     side = side.withColumn("__k_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     condition = _all_equal(on, names) & (F.col("__salt") == F.col("__k_salt"))
-    if residual is not None:
-        condition = condition & residual
     return big.join(side, condition, how).drop("__salt", "__k_salt", *names.values())
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators.joins import lookup_join
 from palisade.operators.trailing import trailing_instants
-from palisade.session import cut_lineage
+from palisade.session import land, number_rows
 
 HOUR_US = 3_600_000_000
 LIMIT = 100
@@ -63,7 +63,7 @@ def _stretches(busy: DataFrame, window_us: int, limit: int) -> DataFrame:
 
 
 def _fold_group(limit: int, window_us: int):
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         # Calm instants take part as load and always pass; only busy ones are reported.
         taken = dict(admit(zip(frame["t"].tolist(), frame["n"].tolist()), limit, window_us, []))
@@ -102,10 +102,13 @@ def passing_instants(
     points: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US, fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """(t, take): how many alerts pass at each instant."""
-    points = cut_lineage(points.select("t", F.least("n", F.lit(limit)).cast("bigint").alias("n")))
+    points = land(points.select("t", F.least("n", F.lit(limit)).cast("bigint").alias("n")))
     calm, busy = _calm_and_busy(points, limit, window_us)
-    calm, busy = cut_lineage(calm), cut_lineage(busy)
-    stretches = cut_lineage(_stretches(busy, window_us, limit))
+    busy = land(busy)
+    if busy.isEmpty():
+        return points.select("t", F.col("n").alias("take"))
+    calm = land(calm)
+    stretches = land(_stretches(busy, window_us, limit))
     passed = calm.select("t", F.col("n").alias("take"))
     long = stretches.where(F.col("size") > fold_limit).orderBy("start").collect()
 
@@ -138,10 +141,10 @@ def throttle(
     alerts: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US, fold_limit: int = FOLD_LIMIT,
     earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``throttled``; ties at one instant pass in order of alertId.
+    """Add ``throttled`` and a unique ``rowId``; ties at one instant pass in order of alertId.
 
     ``earlier`` (t, n) holds alerts that passed in previous batches and still count."""
-    rows = alerts.withColumn("t", F.unix_micros("timestamp"))
+    rows = number_rows(alerts).withColumn("t", F.unix_micros("timestamp"))
     points = rows.groupBy("t").agg(F.count("*").alias("n"))
     if earlier is None:
         take = passing_instants(points, limit, window_us, fold_limit)
@@ -151,11 +154,12 @@ def throttle(
             "t", (F.coalesce("n", F.lit(0)) + F.coalesce("held", F.lit(0))).alias("n"))
         take = passing_instants(both, limit, window_us, fold_limit).join(held, "t", "left").select(
             "t", (F.col("take") - F.coalesce("held", F.lit(0))).alias("take"))
-    rank = Window.partitionBy("t").orderBy("alertId")
-    leading = rows.select("t", "alertId").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
+    rank = Window.partitionBy("t").orderBy("alertId", "rowId")
+    leading = rows.select("t", "alertId", "rowId").withColumn("rank", F.row_number().over(rank)).where(
+        F.col("rank") <= limit)
     passing = leading.join(take, "t").where(F.col("rank") <= F.col("take")).select(
-        "t", "alertId", F.lit(True).alias("passes"))
-    joined = lookup_join(rows, passing, ["t", "alertId"], spread=["alertId"], measure=False, salts=1)
+        "rowId", F.lit(True).alias("passes"))
+    joined = lookup_join(rows, passing, ["rowId"], spread=["rowId"], measure=False, salts=1)
     return joined.withColumn("throttled", F.col("passes").isNull()).drop("passes", "t")
 
 
@@ -165,4 +169,4 @@ def outcomes(deduplicated: DataFrame, limit: int = LIMIT, window_us: int = HOUR_
     survivors = throttle(deduplicated.where(~F.col("duplicate")), limit, window_us, fold_limit)
     done = survivors.withColumn("outcome", F.when(F.col("throttled"), "throttled").otherwise("dispatched"))
     dropped = deduplicated.where("duplicate").withColumn("outcome", F.lit("deduplicated"))
-    return done.drop("throttled").unionByName(dropped)
+    return done.drop("throttled").unionByName(dropped).drop("rowId")

@@ -31,7 +31,7 @@ def _alerts(spark, folder, history=False, burst=False):
 
 
 def _placed(spark, folder):
-    return land(deduplicate(land(_alerts(spark, folder).select("alertId", "timestamp", "fingerprint"))))
+    return land(deduplicate(_alerts(spark, folder).select("alertId", "timestamp", "fingerprint")))
 
 
 @query("q_alerts", f"""
@@ -79,7 +79,7 @@ def dedup(spark, folder):
 WITH {deduplicated(True, False, 60_000_000)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd""")
 def dedup_burst(spark, folder):
     """One-minute windows over the compressed stream, with large fingerprints on the doubling path."""
-    rows = land(_alerts(spark, folder, burst=True).select("alertId", "timestamp", "fingerprint"))
+    rows = _alerts(spark, folder, burst=True).select("alertId", "timestamp", "fingerprint")
     placed = deduplicate(rows, window_us=60_000_000, fold_limit=200)
     return placed.select("alertId", "fingerprint", F.unix_micros("anchor").alias("anchor_us"), "duplicate")
 

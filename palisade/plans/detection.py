@@ -33,8 +33,7 @@ def run(events: DataFrame, rules: list[Rule], model: Model | None = None, **limi
 
     Alerts and their windows are each written once (in the shared checkpoint folder): the
     following steps read them several times and must not repeat the detection."""
-    alerts = land(build_alerts(detect(events, rules, model)))
-    return outcomes(land(deduplicate(alerts)), **limits)
+    return outcomes(land(deduplicate(build_alerts(detect(events, rules, model)))), **limits)
 
 
 def run_raw(raw: DataFrame, rules: list[Rule], store: str, dimensions: dict[str, DataFrame] | None = None,

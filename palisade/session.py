@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -44,21 +45,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never replays a whole iteration chain."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def land(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: for wide rows that several steps read,
-    each needing few of the columns."""
+    """Write a table to the shared folder and read it back: cuts the lineage (a lost executor only
+    rereads files), prunes columns for the readers, and gives the optimiser a true size."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/landed/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str = "rowId") -> DataFrame:
+    """Landed rows with a unique ``rowId``, to tell exact copies apart; the ids are fixed once written."""
+    return df if name in df.columns else land(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for a table that arrived in fewer pieces; larger tables are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -208,8 +208,11 @@ def union_feeds(feeds: list[DataFrame]) -> DataFrame:
 
 
 def drop_redelivered(events: DataFrame) -> DataFrame:
-    """The same event delivered by two feeds or two polls counts once."""
-    return events.dropDuplicates(["sourceProvider", "eventId"])
+    """The same event delivered by two feeds or two polls counts once. Flow records carry no id of
+    their own (only their millisecond), so they are left alone."""
+    flow = F.col("sourceService") == "vpc_flow_logs" if "sourceService" in events.columns else F.lit(False)
+    flow = F.coalesce(flow, F.lit(False))
+    return events.where(~flow).dropDuplicates(["sourceProvider", "eventId"]).unionByName(events.where(flow))
 
 
 def time_range(df: DataFrame, start: Column | None = None, end: Column | None = None,

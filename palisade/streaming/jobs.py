@@ -22,7 +22,7 @@ from palisade.operators.metrics import sliding_counts
 from palisade.operators.rules import PACK, load_rules, with_matched_rules
 from palisade.operators.throttle import HOUR_US, LIMIT, throttle
 from palisade.schema import EVENT_KEY
-from palisade.session import land
+from palisade.session import land, number_rows
 from palisade.streaming.state import StateTables
 
 log = logging.getLogger(__name__)
@@ -60,7 +60,7 @@ class ContinuousDetection:
         events = self._on_time(events, state, epoch)
         signals = he.combine_signals([*self._frequencies(events, state, epoch), *self._baselines(events, state, epoch)])
         judged = with_anomaly(with_matched_rules(events, load_rules(self.rules)), self.model)
-        alerts = land(build_alerts(fuse(he.with_heuristics(judged, land(signals)))))
+        alerts = number_rows(build_alerts(fuse(he.with_heuristics(judged, land(signals)))))
         done = self._end_states(alerts, state, epoch)
         state.replace("horizon", epoch, self._horizon(events, state, epoch))
         if not self.dry_run:
@@ -118,7 +118,7 @@ class ContinuousDetection:
         survivors = land(throttle(placed.where(~F.col("duplicate")), self.limit, self.throttle_us, earlier=earlier))
         duplicates = placed.where("duplicate").withColumn("outcome", F.lit("deduplicated"))
         named = survivors.withColumn("outcome", F.when(F.col("throttled"), "throttled").otherwise("dispatched"))
-        done = land(named.drop("throttled").unionByName(duplicates))
+        done = land(named.drop("throttled").unionByName(duplicates).drop("rowId"))
 
         anchors = placed.groupBy("fingerprint").agg(F.max("anchor").alias("anchor"))
         old = state.latest("anchors", epoch)

@@ -188,3 +188,13 @@ def test_markdown_blocks(alerts):
 def test_chat_mentions_only_critical(alerts):
     rows = payloads(with_occurrences(alerts), {"slack": {"mention_on_critical": False}}).collect()
     assert all("<!channel>" not in r["payload"] for r in rows)
+
+
+@pytest.mark.parametrize("fold_limit", [10**6, 1])
+def test_exact_copies_are_told_apart(spark, fold_limit):
+    rows = [("a1", "f", at(0))] * 5 + [("b1", "g", at(0))] * 3 + [("a1", "f", at(100))] * 2
+    placed = deduplicate(alert_rows(spark, rows), WINDOW, fold_limit=fold_limit)
+    assert placed.count() == 10 and placed.where("not duplicate").count() == 3
+    plain = alert_rows(spark, rows)
+    limited = throttle(plain, 4, WINDOW, fold_limit=fold_limit)
+    assert limited.count() == 10 and limited.where("not throttled").count() == 6

@@ -31,13 +31,14 @@ def test_ipv4(spark, ip, number):
     assert spark.range(1).select(ipv4_number(F.lit(ip).cast("string")).alias("n")).first()["n"] == number
 
 
-def test_geo(spark):
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_geo(spark, broadcast_rows):
     ranges = spark.createDataFrame([
         ("10.0.0.0", "10.2.255.255", "AA", "Big", 1.0, 2.0, "i", "o"), ("192.0.2.16", "192.0.2.31", "BB", "Small", 3.0, 4.0, "i", "o"),
     ], "start_ip string, end_ip string, country string, city string, latitude double, longitude double, isp string, organization string")
     rows = [dict(eventId="a", ip="10.1.200.7"), dict(eventId="b", ip="192.0.2.31"), dict(eventId="c", ip="192.0.2.32"),
             dict(eventId="d", ip="", sip="10.2.255.255"), dict(eventId="e", ip="fe80::1"), dict(eventId="f", country="US")]
-    got = {r["eventId"]: r for r in en.enrich_geo(events(spark, rows), ranges).collect()}
+    got = {r["eventId"]: r for r in en.enrich_geo(events(spark, rows), ranges, broadcast_rows).collect()}
     assert {k: r["enrichment"]["geo_ip"] and r["enrichment"]["geo_ip"]["country"] for k, r in got.items()} == {
         "a": "AA", "b": "BB", "c": "Unknown", "d": "AA", "e": "Unknown", "f": None}
     assert got["a"]["actor"]["geo_location"]["city"] == "Big"
@@ -46,10 +47,11 @@ def test_geo(spark):
     assert got["c"]["enrichment"]["geo_ip"]["latitude"] == 0.0
 
 
-def test_threats(spark):
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_threats(spark, broadcast_rows):
     rows = [dict(eventId="a", ip="203.0.113.1", sip="192.0.2.1", dip="198.51.100.1", risk=0.2), dict(eventId="b", sip="192.0.2.1"),
             dict(eventId="c", ip="203.0.113.2", risk=0.3), dict(eventId="d", dip="192.0.2.1", risk=0.0), dict(eventId="e", ip="192.0.2.1", risk=0.9)]
-    got = {r["eventId"]: r for r in en.enrich_threats(events(spark, rows), en.default_threat_list(spark)).collect()}
+    got = {r["eventId"]: r for r in en.enrich_threats(events(spark, rows), en.default_threat_list(spark), broadcast_rows).collect()}
     assert got["a"]["threatIndicators"] == ["malicious_ip:203.0.113.1", "malicious_ip:192.0.2.1", "malicious_ip:198.51.100.1"]
     assert {k: r["risk_score"] for k, r in got.items()} == {"a": 0.4, "b": 1.0, "c": 0.3, "d": 1.0, "e": 1.0}
     assert got["c"]["enrichment"]["threatIntel"]["threat_level"] == "none" and got["c"]["threatIndicators"] == []

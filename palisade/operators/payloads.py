@@ -15,9 +15,9 @@ log = logging.getLogger(__name__)
 TEXT_LIMIT, CHAT_INDICATORS, PAGER_INDICATORS = 500, 5, 10
 CHAT_DEFAULTS = {"channel": "#security-alerts", "username": "Threat Detector", "mention_on_critical": True}
 CHAT_MENTION = "<!channel> Critical security alert!"
-FOOTER = "Cloud Threat Detection Pipeline"
+FOOTER = "Palisade security alerts"
 SUBJECT_PREFIX = "[SECURITY ALERT]"
-PAGER_SOURCE, PAGER_DEFAULT = "cloud-threat-detection", "error"
+PAGER_SOURCE, PAGER_DEFAULT = "palisade", "error"
 PAGER_SEVERITIES = {"critical": "critical", "high": "error", "medium": "warning", "low": "info"}
 PAGER_LEVELS = ["high", "critical"]
 MARKDOWN_INDICATORS = 10

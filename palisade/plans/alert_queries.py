@@ -152,7 +152,7 @@ WITH {ALERT} SELECT alertId, '[SECURITY ALERT] ' || title AS subject,
   || 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10) || chr(10) || description || chr(10) || chr(10)
   || 'Detection Methods: ' || array_to_string(methods, ', ') || chr(10) || chr(10) || 'Indicators:' || chr(10)
   || array_to_string(list_transform(inds, lambda i: '- ' || i), chr(10)) || chr(10) || chr(10) || '---' || chr(10)
-  || 'Cloud Threat Detection Pipeline' AS text,
+  || 'Palisade security alerts' AS text,
   len(inds) AS n_items
 FROM alert""")
 def mail(spark, folder):

@@ -68,7 +68,7 @@ def test_trailing_counts_before_1970_and_weights(spark):
 
 
 def brute_first_seen(rows):
-    """The reference order: judge by what came before, then learn."""
+    """One event at a time: judge by what came before, then learn."""
     countries, actions, users, out = {}, {}, {}, {"c": set(), "a": set(), "r": set()}
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["offset_us"], f"e{i:05d}"))
     for i in order:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.text import first_nonempty, user_key
+from palisade.functions.text import user_key
 from palisade.operators.firstseen import first_pairs, merge_pairs, newcomers, unseen_lookups
 from palisade.operators.joins import lookup_join
 from palisade.operators.trailing import trailing_hits

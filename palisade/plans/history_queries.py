@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import anomaly as an
 from palisade.operators import heuristics as he
-from palisade.operators.fusion import fuse, result_record, rule_score
+from palisade.operators.fusion import result_record, rule_score
 from palisade.operators.rules import load_rules, with_matched_rules
 from palisade.plans.detection import detect
 from palisade.plans.oracle import HISTORY, KEYWORD, detected, matched, sec

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, folder: run(prepare(spark), folder)
         if sql is not None:
             ORACLES[name] = sql
         return run

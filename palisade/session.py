@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +33,21 @@ def build_session(cores: int | str = "*", app: str = "palisade", **conf: str) ->
     return spark
 
 
+_prepared: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session the caller brought fit: event times in UTC, this package on the workers."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    application = spark.sparkContext.applicationId
+    if application not in _prepared:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="palisade-package-"), "palisade")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), "palisade"))
+        _prepared.add(application)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch folder only on a local master."""
     context = spark.sparkContext

@@ -19,7 +19,7 @@ from palisade.session import land, number_rows
 
 WINDOW_US = 60 * 60_000_000
 SLICES = 60
-FOLD_LIMIT = 200_000
+FOLD_LIMIT = 1_000_000
 
 
 FIRST = "struct<alertId:string,rowId:bigint>"

@@ -73,6 +73,28 @@ def latency_stats(df: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def progress_stats(progress: list[dict]) -> dict[str, float]:
+    """The same figures for a running stream, from its recent progress reports; 0 when idle."""
+    busy = [p for p in progress if p["numInputRows"] > 0]
+    took = [p["durationMs"]["triggerExecution"] for p in busy]
+    rows = sum(p["numInputRows"] for p in busy)
+    return {
+        "events": rows,
+        "avg_ms": sum(took) / rows if rows else 0.0,
+        "min_ms": min((t / p["numInputRows"] for t, p in zip(took, busy)), default=0.0),
+        "max_ms": max((t / p["numInputRows"] for t, p in zip(took, busy)), default=0.0),
+        "events_per_second": rows * 1000.0 / sum(took) if sum(took) else 0.0,
+    }
+
+
+def engine_statistics(rules: DataFrame, anomaly_enabled: bool, heuristic_enabled: bool) -> DataFrame:
+    """Rules loaded and enabled, and which other engines run."""
+    return rules.agg(
+        F.count("*").alias("rules_loaded"), F.count_if("enabled").alias("rules_enabled"),
+        F.lit(anomaly_enabled).alias("anomaly_detector_enabled"),
+        F.lit(heuristic_enabled).alias("heuristic_detector_enabled"))
+
+
 def period_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window("timestamp", width).alias("w")).agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("period"), "n")

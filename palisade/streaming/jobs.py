@@ -8,7 +8,10 @@ windows for de-duplication and recently passed alerts for the rate limit.
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -147,6 +150,21 @@ def run_continuous(
     return writer.start()
 
 
+def keep_running(start: Callable[[], StreamingQuery], pause_seconds: float = 10.0, attempts: int | None = None) -> int:
+    """Restart a failed job from its checkpoint; returns the number of failures once it ends in order."""
+    failures = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return failures
+        except StreamingQueryException as error:
+            failures += 1
+            log.error("continuous job failed, restarting: %s", error)
+            if attempts is not None and failures >= attempts:
+                raise
+            time.sleep(pause_seconds)
+
+
 def stream_sliding_counts(
     events: DataFrame, key: str, folder: str, checkpoint: str, lateness: str = "10 minutes",
     width: str = "5 minutes", slide: str = "1 minute",

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from palisade.operators.alerts import build_alerts
 from palisade.operators.dedup import deduplicate
-from palisade.operators.metrics import sliding_counts
-from palisade.operators.rules import load_rules
+from palisade.operators.metrics import engine_statistics, progress_stats, sliding_counts
+from palisade.operators.rules import load_rules, rules_frame
 from palisade.operators.throttle import outcomes
 from palisade.plans.detection import detect, run, run_raw
 from palisade.session import land
 from palisade.sources.adapters import raw_records, sec_events
 from palisade.sources.feeds import stream_json_lines
-from palisade.streaming.jobs import ContinuousDetection, run_continuous, stream_sliding_counts
+from palisade.streaming.jobs import ContinuousDetection, keep_running, run_continuous, stream_sliding_counts
 from palisade.streaming.state import StateTables
 
 LIMIT, DEDUP_US, THROTTLE_US = 8, MINUTE, 5 * MINUTE
@@ -118,6 +118,38 @@ def test_state_tables(spark, scratch):
     assert state.latest("x", 2).count() == 2 and ids(state.grown("y", 2), "id") == [0, 1]
 
 
+def test_a_failed_job_restarts(spark, scratch):
+    events(spark, [dict(eventId="a")]).select("eventId").write.parquet(f"{scratch}/in")
+    seen, calls = [], []
+
+    def handle(batch, epoch):
+        calls.append(epoch)
+        if len(calls) == 1:
+            raise RuntimeError("first try fails")
+        seen.extend(r["eventId"] for r in batch.collect())
+
+    def start():
+        stream = spark.readStream.schema("eventId string").parquet(f"{scratch}/in")
+        return run_continuous(stream, handle, f"{scratch}/checkpoint", available_now=True)
+
+    assert keep_running(start, pause_seconds=0.1) == 1 and seen == ["a"] and calls == [0, 0]
+    query = start()
+    query.awaitTermination()
+    assert progress_stats(query.recentProgress)["events"] == 0
+
+
+def test_progress_figures():
+    reports = [{"numInputRows": 10, "durationMs": {"triggerExecution": 100}}, {"numInputRows": 30, "durationMs": {"triggerExecution": 100}},
+               {"numInputRows": 0, "durationMs": {"triggerExecution": 5}}]
+    stats = progress_stats(reports)
+    assert (stats["events"], stats["avg_ms"], stats["max_ms"], stats["events_per_second"]) == (40, 5.0, 10.0, 200.0)
+
+
+def test_engine_statistics(spark):
+    row = engine_statistics(rules_frame(spark, load_rules()), True, False).first()
+    assert tuple(row) == (10, 10, True, False)
+
+
 def test_json_lines_stream(spark, scratch):
     os.makedirs(f"{scratch}/lines")
     with open(f"{scratch}/lines/a.json", "w") as f:

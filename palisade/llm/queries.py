@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import pii, secrets, sharding
+from palisade.llm import pii, secrets, sharding, simhash
 from palisade.llm.common import documents
 from palisade.plans.registry import query
 
@@ -25,3 +25,8 @@ def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_secrets")
 def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents(spark, folder))
+
+
+@query("op10_simhash")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(documents(spark, folder))

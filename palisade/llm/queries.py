@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import pii, secrets, sharding, simhash
+from palisade.llm import pii, secrets, sharding, simhash, tokenfile
 from palisade.llm.common import documents
 from palisade.plans.registry import query
 
 SHARDS = 40
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take the content, so only the driver needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op2_jump_shards")
 def jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder), SHARDS)
@@ -30,3 +37,10 @@ def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(documents(spark, folder))
+
+
+@query("op5_rans")
+def token_file(spark: SparkSession, folder: str) -> DataFrame:
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
+        store = tokenfile.write(documents(spark, folder), file.read())
+    return tokenfile.report(spark, store)

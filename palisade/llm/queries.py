@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm import pii, secrets, sharding, simhash, tokenfile
+from palisade.llm import pieces, pii, secrets, sharding, simhash, tokenfile
 from palisade.llm.common import documents
 from palisade.plans.registry import query
 
@@ -44,3 +45,18 @@ def token_file(spark: SparkSession, folder: str) -> DataFrame:
     with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
         store = tokenfile.write(documents(spark, folder), file.read())
     return tokenfile.report(spark, store)
+
+
+def piece_model() -> bytes:
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+@query("op3_pieces")
+def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's ids, and whether decoding them gives the text back."""
+    model = piece_model()
+    coded = pieces.encode(documents(spark, folder).select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))

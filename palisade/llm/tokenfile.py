@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +58,18 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model: str) -> WordEncoder:
+    """One per worker process, kept over its tasks."""
+    return WordEncoder(model)
+
+
 def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids of each whole text, with the end id."""
     last = np.array([end], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(model)
+        encoder = encoder_of(model)
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + last for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import pieces, pii, secrets, sharding, simhash, tokenfile
+from palisade.llm import decontaminate, pieces, pii, secrets, sharding, simhash, tokenfile
 from palisade.llm.common import documents
 from palisade.plans.registry import query
+from palisade.session import read_table
 
 SHARDS = 40
 
@@ -19,6 +20,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_decontamination", decontaminate.ORACLE)
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
 @query("op2_jump_shards")
 def jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder), SHARDS)

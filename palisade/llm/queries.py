@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, pieces, pii, secrets, sharding, simhash, tokenfile
+from palisade.llm import decontaminate, langid, pieces, pii, secrets, sharding, simhash, tokenfile
 from palisade.llm.common import documents
 from palisade.plans.registry import query
 from palisade.session import read_table
@@ -66,3 +66,9 @@ def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     back = pieces.decode(coded, model)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
+@query("op7_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder)
+    return langid.report(rows, langid.train(rows))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, pieces, pii, secrets, sharding, simhash, tokenfile
-from palisade.llm.common import documents
+from palisade.llm import decontaminate, langid, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
+from palisade.llm.common import documents, ready
 from palisade.plans.registry import query
 from palisade.session import read_table
 
@@ -72,3 +72,8 @@ def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder)
     return langid.report(rows, langid.train(rows))
+
+
+@query("op8_web_text")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return webtext.extract(read_table(ready(spark), folder, "pages"))

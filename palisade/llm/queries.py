@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
+from palisade.llm import decontaminate, langid, neighbours, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
 from palisade.llm.common import documents, ready
 from palisade.plans.registry import query
 from palisade.session import read_table
@@ -77,3 +77,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_web_text")
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return webtext.extract(read_table(ready(spark), folder, "pages"))
+
+
+@query("op6_learned_partitions")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read_table(ready(spark), folder, "embeddings"), F.col("vec_id") % 50 == 0)

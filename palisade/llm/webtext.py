@@ -212,6 +212,7 @@ LABELLED = [
     "<div class=banner>-12</div><div><p>+55</p><p>+26</p></div><div class=footer><p>-30</p></div>",
     "<div><a>-3</a> | <a>-2</a></div><p>+30</p><p>+2</p><p>+40</p><p>+1</p><p>+25</p><p>+3</p><p>+60</p><div><a>-12</a> <a>-10</a> -1</div>",
     "<div><a>-14</a></div><h1>+4</h1><p>+2</p><p>+50</p><p>+5</p><p>+33 <a>+4</a></p><p><a>-9</a></p><p><a>-11</a></p><p>-5</p>",
+    "<p>+30</p><p>+22</p>", "<p>+12</p>", "<h1>+3</h1><p>+40</p><p>+2</p>", "<p>+1</p>",
     "<div><p>-30</p></div><article><h1>+5</h1><p>+20</p><p>+2</p></article><div>-9</div><p>-1</p>",
     "<p>-3</p><p>-17</p><main><p>+2</p><p>+44</p><p>+1</p></main><p>-60</p><p>-2</p>",
     "<article><p><a>+4</a></p><ul><li><a>+2</a></li><li><a>+3</a></li></ul><p>+1</p><nav><a>-2</a></nav><div class=ad>-15</div></article>",

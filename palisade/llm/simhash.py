@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import fresh
 from palisade.llm.components import components
 from palisade.session import land
 
@@ -54,14 +55,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long."""
+def fingerprints(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``row, doc_id, fp``: fp as a signed long; row: a column of longs that tells rows apart, if one is named."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["row", "doc_id", "fp"])
 
-    return rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, fp long")
+    asked = rows.select((F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return asked.mapInArrow(work, "row long, doc_id long, fp long")
 
 
 # --- dealing: which bits stand in front -------------------------------------------------------------------
@@ -292,19 +294,31 @@ def links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return found
 
 
-def near_components(rows: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id reachable over links of two bits or fewer."""
-    prints = land(fingerprints(rows, key, text))
+def near_components(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows of ``fingerprints`` (written ones: they are read twice) with ``root``, the component's smallest fingerprint, and
+    ``component_id``, the smallest doc_id reachable over links of two bits or fewer."""
     distinct = land(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = land(components(links(distinct, group_rows)))
     linked = distinct.join(roots, F.col("fp") == F.col("node")).select(F.col("fp").alias("own"), "root", "first")
     ids = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(ids, "root").select("own", "least")
+    named = linked.join(ids, "root").select("own", "root", "least")
     classes = distinct.join(named, F.col("fp") == F.col("own"), "left").select(
-        F.col("fp").alias("class"), F.coalesce("least", "first").alias("component_id"))
-    return prints.join(classes, F.col("fp") == F.col("class")).select("doc_id", "fp", "component_id")
+        F.col("fp").alias("class"), F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return prints.join(classes, F.col("fp") == F.col("class")).drop("class")
+
+
+def one_of_each(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without their near copies: of each component the row with the smallest id stays (null ids last, one of
+    equal rows); all columns as they are."""
+    row = fresh(rows, "row")
+    marked = land(rows.withColumn(row, F.monotonically_increasing_id()))
+    found = land(near_components(land(fingerprints(marked, key, text, row))).select("root", "doc_id", "row"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    losers = found.join(best.select(F.col("root").alias("of"), F.col("best.row").alias("kept")), F.col("root") == F.col("of")).where(
+        F.col("row") != F.col("kept")).select(F.col("row").alias("lost"))
+    return marked.join(losers, F.col(row) == F.col("lost"), "left_anti").drop(row)
 
 
 def report(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return near_components(rows, key, text).select(
+    return near_components(land(fingerprints(rows, key, text))).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

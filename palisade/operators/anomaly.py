@@ -1,7 +1,7 @@
 """Isolation forest over a fixed feature vector.
 
-Training looks at every row once to draw a small hash-selected pool; the trees (256 rows each)
-are then grown in parallel, one group per tree. The model is a table of nodes with a hard size
+Training looks at every row once and draws each tree's 256 rows from the whole table; the trees are
+then grown in parallel, one group per tree. The model is a table of nodes with a hard size
 bound (trees x 511 rows), so scoring ships it with the tasks and walks all trees over Arrow
 batches.
 """
@@ -25,9 +25,9 @@ from palisade.session import land
 TREES, SAMPLE, SEED, CONTAMINATION, MIN_EVENTS = 100, 256, 42, 0.01, 10
 SCORE_THRESHOLD, VERY_HIGH = 0.8, 0.9
 EULER = 0.57722
-POOL = TREES * SAMPLE * 3 // 2
-OVERSAMPLE = 4
 QUANTILE_ACCURACY = 100_000
+#: Rows a tree is sent for each one it keeps.
+OVERSAMPLE = 4
 HASH_RANGE = 1 << 30
 
 FEATURES = [
@@ -134,18 +134,21 @@ def _grow(seed: int, limit: int):
 
 
 def draw_samples(table: DataFrame, rows: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows per tree: a uniform pool of the whole table, then a hash rank per tree."""
-    pooled = table
-    if rows > POOL:
-        cut = int(HASH_RANGE * POOL / rows)
-        pooled = table.where(F.pmod(F.xxhash64(F.lit(seed), *EVENT_KEY), F.lit(HASH_RANGE)) < cut)
-    rate = min(1.0, OVERSAMPLE * sample / min(rows, POOL))
-    per_tree = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "h", F.xxhash64(F.lit(seed), F.col("tree"), *EVENT_KEY))
-    if rate < 1.0:
-        per_tree = per_tree.where(F.pmod("h", F.lit(HASH_RANGE)) < int(HASH_RANGE * rate))
+    """``sample`` rows per tree, from the whole table in one pass.
+
+    A row's hash says to how many trees it goes (on average as many as give each tree ``OVERSAMPLE`` times its sample,
+    all of them in a small table) and to which; of what a tree gets, the rows with the smallest hashes stay."""
+    share = min(float(trees), OVERSAMPLE * trees * sample / max(1, rows))
+    step = next(s for s in range(max(1, round(trees * 0.618)), 2 * trees + 1) if math.gcd(s, trees) == 1)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *EVENT_KEY), F.lit(HASH_RANGE)) / F.lit(float(HASH_RANGE))
+    count = (F.lit(math.floor(share)) + (drawn < share - math.floor(share)).cast("int")).cast("int")
+    first = F.pmod(F.xxhash64(F.lit(seed), F.lit("first"), *EVENT_KEY), F.lit(trees))
+    going = table.withColumn("count", count).where(F.col("count") > 0)
+    per_tree = going.withColumn("tree", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.pmod(first + i * F.lit(step), F.lit(trees)).cast("int")))).drop("count")
     order = Window.partitionBy("tree").orderBy("h", *EVENT_KEY)
-    return per_tree.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
+    return per_tree.withColumn("h", F.xxhash64(F.lit(seed), F.col("tree"), *EVENT_KEY)).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
 
 
 def train(events: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED,

@@ -2,15 +2,14 @@
 
 The anchors of one fingerprint form a chain: the next anchor is the first alert at least one
 window after the last. Only distinct instants matter, so alerts are first reduced to
-(fingerprint, instant) counts. Fingerprints with few instants are folded as sorted arrays; a
-fingerprint with more than ``fold_limit`` instants is solved by pointer doubling: every instant
-points to the instant that would be the next anchor, and repeated joins on unique keys mark the
-chain in a logarithmic number of rounds, with no group of that fingerprint ever gathered.
+(fingerprint, instant) counts. Chains are followed by pointer doubling: every instant points to the
+instant that would be the next anchor, and repeated joins on unique keys mark all chains in a
+logarithmic number of rounds, with no group of a fingerprint ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import slot
@@ -19,8 +18,6 @@ from palisade.session import land, number_rows
 
 WINDOW_US = 60 * 60_000_000
 SLICES = 60
-FOLD_LIMIT = 1_000_000
-
 
 FIRST = "struct<alertId:string,rowId:bigint>"
 
@@ -37,20 +34,6 @@ def instants_of(alerts: DataFrame, open_anchors: DataFrame | None = None) -> Dat
         F.when(F.min("n") > 0, F.min("first")).alias("first"), F.sum("n").alias("n"))
 
 
-def _fold(points: DataFrame, window_us: int) -> DataFrame:
-    """Anchors of fingerprints whose instants fit in one sorted array."""
-    empty = F.array().cast("array<bigint>")
-
-    def step(anchors: Column, t: Column) -> Column:
-        last = F.try_element_at(anchors, F.lit(-1))
-        return F.when(last.isNull() | (t - last >= window_us), F.array_append(anchors, t)).otherwise(anchors)
-
-    return (
-        points.groupBy("fingerprint").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        .select("fingerprint", F.explode(F.aggregate("ts", empty, step)).alias("t"))
-    )
-
-
 def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame]:
     """(heads, jumps): chain starts, and for each instant the first instant a window later."""
     width = window_us // SLICES
@@ -83,8 +66,7 @@ def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame
         "same", F.last(F.when(F.col("probe") == 0, F.col("x")), ignorenulls=True).over(downwards)
     ).where("probe = 1")
     jumps = (
-        lookup_join(within, slices.select("fingerprint", "slice", "next_lo"), ["fingerprint", "slice"],
-                    spread=["origin"], measure=False)
+        lookup_join(within, slices.select("fingerprint", "slice", "next_lo"), ["fingerprint", "slice"], measure=False)
         .select("fingerprint", F.col("origin").alias("t"), F.coalesce("same", "next_lo").alias("nxt"))
         .where("nxt is not null")
     )
@@ -93,8 +75,8 @@ def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame
     return heads, jumps.select("fingerprint", "t", "nxt")
 
 
-def _double(points: DataFrame, window_us: int) -> DataFrame:
-    """Anchors by pointer doubling: after k rounds the first 2^k anchors of every chain are known."""
+def anchors_of(points: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """(fingerprint, t): the instants that open a window. After k rounds the first 2^k of every chain are known."""
     heads, jumps = _successors(points, window_us)
     reached, jumps = land(heads), land(jumps)
     while True:
@@ -108,21 +90,8 @@ def _double(points: DataFrame, window_us: int) -> DataFrame:
             "fingerprint", "t", F.col("far").alias("nxt")))
 
 
-def anchors_of(points: DataFrame, window_us: int = WINDOW_US, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(fingerprint, t): the instants that open a window. ``points`` is read several times."""
-    sizes = points.groupBy("fingerprint").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > fold_limit).select("fingerprint")
-    if large.isEmpty():
-        return _fold(points, window_us)
-    small_points = lookup_join(points, large.withColumn("is_large", F.lit(True)), ["fingerprint"],
-                               spread=["t"], measure=False)
-    anchors = _fold(small_points.where("is_large is null").drop("is_large"), window_us)
-    return anchors.unionByName(_double(small_points.where("is_large").drop("is_large"), window_us))
-
-
 def deduplicate(
     alerts: DataFrame, window_us: int = WINDOW_US, open_anchors: DataFrame | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Add ``anchor`` (start of the alert's window), ``duplicate`` and a unique ``rowId``.
 
@@ -130,7 +99,7 @@ def deduplicate(
     ``open_anchors`` (fingerprint, anchor) carries the windows of earlier batches on."""
     alerts = number_rows(alerts)
     points = land(instants_of(alerts, open_anchors))
-    anchors = anchors_of(points, window_us, fold_limit).join(
+    anchors = anchors_of(points, window_us).join(
         points.select("fingerprint", "t", "first"), ["fingerprint", "t"])
     # A window covers its own slot and the next, and no slot holds two anchors, so each
     # (fingerprint, slot) needs at most two candidate anchors.
@@ -139,7 +108,7 @@ def deduplicate(
     candidates = slots.groupBy("fingerprint", "slot").agg(
         F.min(F.struct("t", "first")).alias("early"), F.max(F.struct("t", "first")).alias("late"))
     placed = alerts.withColumn("__t", F.unix_micros("timestamp")).withColumn("slot", slot(F.col("__t"), window_us))
-    joined = lookup_join(placed, candidates, ["fingerprint", "slot"], spread=["rowId"], measure=False)
+    joined = lookup_join(placed, candidates, ["fingerprint", "slot"], measure=False)
     chosen = F.when(F.col("late.t") <= F.col("__t"), F.col("late")).otherwise(F.col("early"))
     opens = (F.col("__a.t") == F.col("__t")) & F.col("__a.first.rowId").eqNullSafe(F.col("rowId"))
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import first_nonempty, ipv4_number, lookup_ip
 from palisade.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
-from palisade.schema import ENRICHMENT, EVENT_KEY, GEO, typed_struct
+from palisade.schema import ENRICHMENT, GEO, typed_struct
 from palisade.session import land
 
 # The default threat list, placeholders, and the risk rule for a hit.
@@ -20,40 +20,38 @@ BLOCK = 65536  # ranges are matched per /16 block
 
 
 def block_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges (start_ip, end_ip, …), not overlapping, repeated for each /16 block they touch."""
+    """Ranges (start_ip, end_ip, …) repeated for each /16 block they touch."""
     numbered = ranges.withColumn("start", ipv4_number(F.col("start_ip"))).withColumn(
         "end", ipv4_number(F.col("end_ip")))
     blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))
-    return numbered.withColumn("block", F.explode(blocks)).drop("start_ip", "end_ip")
+    return numbered.where(F.col("start") <= F.col("end")).withColumn("block", F.explode(blocks)).drop("start_ip", "end_ip")
 
 
-def locate(rows: DataFrame, ip: str, ranges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def locate(rows: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
     """Add the ``geo`` struct of the address column ``ip`` (placeholders where no range holds it).
 
-    Ranges that fit a broadcast are matched in place. Otherwise the distinct addresses are located
-    first, so a busy address repeats neither the range match nor its shuffle."""
-    side = block_ranges(ranges)
-    if fits_broadcast(side, broadcast_rows):
-        return _match_ranges(rows, ip, F.broadcast(side))
+    Distinct addresses are located first, so a busy address repeats neither the range match nor its
+    shuffle. Of overlapping ranges the narrowest holds, so no row is ever multiplied."""
     distinct = rows.select(ip).where(F.col(ip).isNotNull()).distinct()
-    located = land(_match_ranges(distinct, ip, side))
-    return lookup_join(rows, located, [ip], spread=EVENT_KEY)
+    located = land(_match_ranges(distinct, ip, block_ranges(ranges)))
+    return lookup_join(rows, located, [ip])
 
 
-def _match_ranges(rows: DataFrame, ip: str, side: DataFrame) -> DataFrame:
-    rows = rows.withColumn("__n", ipv4_number(F.col(ip))).withColumn("__block", F.floor(F.col("__n") / BLOCK))
-    joined = rows.join(side, (F.col("__block") == F.col("block")) & F.col("__n").between(F.col("start"), F.col("end")), "left")
+def _match_ranges(addresses: DataFrame, ip: str, side: DataFrame) -> DataFrame:
+    """One row per address with its ``geo``."""
+    numbered = addresses.withColumn("__n", ipv4_number(F.col(ip))).withColumn("__block", F.floor(F.col("__n") / BLOCK))
+    joined = numbered.join(side, (F.col("__block") == F.col("block")) & F.col("__n").between(F.col("start"), F.col("end")), "left")
     found = [F.col(ip).alias("ip")]
     for field in GEO.fields[1:]:
         fallback = F.lit(0.0) if field.name in ("latitude", "longitude") else F.lit(UNKNOWN)
         found.append(F.coalesce(F.col(field.name), fallback).cast(field.dataType).alias(field.name))
-    geo = F.when(F.col(ip).isNotNull(), F.struct(*found))
-    return joined.withColumn("geo", geo).drop("__n", "__block", *side.columns)
+    choice = F.struct((F.col("end") - F.col("start")).alias("width"), "start", F.struct(*found).alias("geo"))
+    return joined.groupBy(ip).agg(F.min(choice).alias("__best")).select(ip, F.col("__best.geo").alias("geo"))
 
 
-def enrich_geo(events: DataFrame, ranges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def enrich_geo(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill ``enrichment.geo_ip`` and, when the address is the actor's, the actor's location."""
-    joined = locate(events.withColumn("__ip", lookup_ip()), "__ip", ranges, broadcast_rows)
+    joined = locate(events.withColumn("__ip", lookup_ip()), "__ip", ranges)
     own = first_nonempty(F.col("actor.ipAddress")).isNotNull()
     return (
         joined.withColumn("enrichment", _set_enrichment("geo_ip", F.col("geo")))
@@ -83,7 +81,7 @@ def enrich_threats(events: DataFrame, threat_ips: DataFrame, broadcast_rows: int
     for name, path in slots.items():
         events = events.withColumn(name, F.nullif(F.col(path), F.lit("")))
         events = lookup_join(events, feeds.select(F.col("ip").alias(name), F.col("feed").alias(f"{name}_feed")),
-                             [name], spread=EVENT_KEY)
+                             [name])
     hits = F.array_compact(F.array(*[F.when(F.col(f"{n}_feed").isNotNull(), F.col(n)) for n in slots]))
     feeds_hit = F.array_compact(F.array(*[F.col(f"{n}_feed") for n in slots]))
     level = F.when(F.size("__hits") > 0, "high").otherwise("none")
@@ -102,11 +100,14 @@ def enrich_threats(events: DataFrame, threat_ips: DataFrame, broadcast_rows: int
 
 
 def enrich_assets(events: DataFrame, assets: DataFrame) -> DataFrame:
-    """``assets``: resource_id, owner, criticality, last_seen – one row per resource."""
-    side = assets.select(
+    """``assets``: resource_id, owner, criticality, last_seen. Of several rows of a resource the one seen last holds
+    (among equals the greatest), so no event is multiplied."""
+    fields = ["last_seen", "owner", "criticality"]
+    latest = assets.groupBy("resource_id").agg(F.max(F.struct(*fields)).alias("a")).select("resource_id", "a.*")
+    side = latest.select(
         F.col("resource_id").alias("__rid"), F.col("owner").alias("__owner"),
         F.col("criticality").alias("__criticality"), F.col("last_seen").alias("__last_seen"))
-    joined = lookup_join(events.withColumn("__rid", F.col("resource.resourceId")), side, ["__rid"], spread=EVENT_KEY)
+    joined = lookup_join(events.withColumn("__rid", F.col("resource.resourceId")), side, ["__rid"])
     entry = F.struct(
         F.col("__rid").alias("resource_id"),
         F.coalesce("__owner", F.lit(UNKNOWN)).alias("owner"),
@@ -120,9 +121,9 @@ def enrich_assets(events: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def enrich_dns(events: DataFrame, ptr: DataFrame) -> DataFrame:
-    """``ptr``: ip, hostname – a landed reverse-DNS table, one row per address."""
-    side = ptr.select(F.col("ip").alias("__ip"), F.col("hostname").alias("__host"))
-    joined = lookup_join(events.withColumn("__ip", lookup_ip()), side, ["__ip"], spread=EVENT_KEY)
+    """``ptr``: ip, hostname – a landed reverse-DNS table. Of several names of an address the first in order holds."""
+    side = ptr.groupBy("ip").agg(F.min("hostname").alias("host")).select(F.col("ip").alias("__ip"), F.col("host").alias("__host"))
+    joined = lookup_join(events.withColumn("__ip", lookup_ip()), side, ["__ip"])
     entry = F.when(F.col("__host").isNotNull(), F.struct(F.col("__ip").alias("ip"), F.col("__host").alias("hostname")))
     return joined.withColumn("enrichment", _set_enrichment("dns", entry)).drop("__ip", "__host")
 

@@ -44,7 +44,7 @@ def kth_first(pairs: DataFrame, owner: str, k: int) -> DataFrame:
 
 def newcomers(pairs: DataFrame, owner: str, item: str, known: int) -> DataFrame:
     """Pairs first seen when their owner already knew at least ``known`` other items."""
-    joined = lookup_join(pairs, kth_first(pairs, owner, known), [owner], spread=[owner, item],
+    joined = lookup_join(pairs, kth_first(pairs, owner, known), [owner],
                          how="inner", measure=False)
     return joined.where(F.struct(*[F.col(f"first.{c}") for c in ORDER]) > F.col("kth")).drop("kth")
 
@@ -52,8 +52,8 @@ def newcomers(pairs: DataFrame, owner: str, item: str, known: int) -> DataFrame:
 def unseen_lookups(events: DataFrame, pairs: DataFrame, owner: str, item: str, known: int) -> DataFrame:
     """Events that read a baseline they do not update: owner knew ``known`` items, not this one."""
     moment = F.struct(*ORDER)
-    experienced = lookup_join(events, kth_first(pairs, owner, known), [owner], spread=ORDER,
+    experienced = lookup_join(events, kth_first(pairs, owner, known), [owner],
                               how="inner", measure=False).where(F.col("kth") < moment).drop("kth")
     seen = pairs.select(owner, item, F.struct(*[F.col(f"first.{c}") for c in ORDER]).alias("seen"))
-    joined = lookup_join(experienced, seen, [owner, item], spread=ORDER, how="left", measure=False)
+    joined = lookup_join(experienced, seen, [owner, item], how="left", measure=False)
     return joined.where(F.col("seen").isNull() | (F.col("seen") >= moment)).drop("seen")

@@ -38,12 +38,20 @@ SENSITIVE_SCORE = 0.7
 CRITICAL_TAGS = ["high", "critical"]
 CRITICAL_SCORE = 0.6
 
-USERNAME = "actor.username"
+#: What a signal is joined back on: ids can repeat, so what the checks look at is part of the key.
+SIGNAL_KEY = [*EVENT_KEY, "mark"]
+
+
+def signal_mark() -> Column:
+    """Tells events of one id apart by all that a history check reads; events equal in it get equal signals."""
+    return F.xxhash64("eventName", "eventType", "outcome", "actor.username", "actor.userId", "actor.ipAddress",
+                      "actor.geo_location.country", "resource.resourceId")
 
 
 def _narrow(events: DataFrame) -> DataFrame:
     return events.select(
         *EVENT_KEY,
+        signal_mark().alias("mark"),
         "eventName",
         "eventType",
         "outcome",
@@ -60,23 +68,23 @@ def _narrow(events: DataFrame) -> DataFrame:
 
 
 def user_frequency(events: DataFrame) -> DataFrame:
-    rows = _narrow(events).where("username is not null").select("username", "eventName", "t_us", *EVENT_KEY)
-    return trailing_hits(rows, ["username", "eventName"], USER_WINDOW_US, USER_FLOOR, EVENT_KEY, "user_count")
+    rows = _narrow(events).where("username is not null").select("username", "eventName", "t_us", *SIGNAL_KEY)
+    return trailing_hits(rows, ["username", "eventName"], USER_WINDOW_US, USER_FLOOR, SIGNAL_KEY, "user_count")
 
 
 def ip_frequency(events: DataFrame) -> DataFrame:
-    rows = _narrow(events).where("ip is not null").select("ip", "eventName", "t_us", *EVENT_KEY)
-    return trailing_hits(rows, ["ip", "eventName"], IP_WINDOW_US, IP_FLOOR, EVENT_KEY, "ip_count")
+    rows = _narrow(events).where("ip is not null").select("ip", "eventName", "t_us", *SIGNAL_KEY)
+    return trailing_hits(rows, ["ip", "eventName"], IP_WINDOW_US, IP_FLOOR, SIGNAL_KEY, "ip_count")
 
 
 def failed_logins(events: DataFrame) -> DataFrame:
     rows = _narrow(events).where(
         "username is not null and eventType = 'authentication' and outcome = 'failure'"
-    ).select("username", "t_us", *EVENT_KEY)
-    return trailing_hits(rows, ["username"], LOGIN_WINDOW_US, LOGIN_MINIMUM - 1, EVENT_KEY, "failed_count")
+    ).select("username", "t_us", *SIGNAL_KEY)
+    return trailing_hits(rows, ["username"], LOGIN_WINDOW_US, LOGIN_MINIMUM - 1, SIGNAL_KEY, "failed_count")
 
 
-PAIR_CARRY = ["sourceProvider", "eventType"]
+PAIR_CARRY = ["sourceProvider", "eventType", "mark"]
 
 
 def country_pairs(events: DataFrame) -> DataFrame:
@@ -100,7 +108,7 @@ def _with_baseline(pairs: DataFrame, baseline: DataFrame | None, owner: str, ite
 
 
 def _pair_event(pairs: DataFrame, *keep: str) -> DataFrame:
-    return pairs.select(*[F.col(f"first.{c}").alias(c) for c in [*EVENT_KEY, "eventType"]], *keep)
+    return pairs.select(*[F.col(f"first.{c}").alias(c) for c in [*SIGNAL_KEY, "eventType"]], *keep)
 
 
 def _since(hits: DataFrame, since: Column | None) -> DataFrame:
@@ -116,7 +124,7 @@ def new_locations(events: DataFrame, baseline: DataFrame | None = None, since: C
     readers = _narrow(events).where("username is null and user is not null and country is not null")
     late = unseen_lookups(readers, pairs, "user", "country", 1).select(*hits.columns)
     return _since(hits.unionByName(late).where("eventType = 'authentication'"), since).select(
-        *EVENT_KEY, F.col("country").alias("new_country"))
+        *SIGNAL_KEY, F.col("country").alias("new_country"))
 
 
 def unusual_actions(events: DataFrame, baseline: DataFrame | None = None, since: Column | None = None) -> DataFrame:
@@ -125,14 +133,14 @@ def unusual_actions(events: DataFrame, baseline: DataFrame | None = None, since:
     hits = _pair_event(newcomers(pairs, "user", "eventName", KNOWN_ACTIONS + 1), "user", "eventName")
     readers = _narrow(events).where("username is null and user is not null")
     late = unseen_lookups(readers, pairs, "user", "eventName", KNOWN_ACTIONS + 1).select(*hits.columns)
-    return _since(hits.unionByName(late), since).select(*EVENT_KEY, F.col("eventName").alias("new_action"))
+    return _since(hits.unionByName(late), since).select(*SIGNAL_KEY, F.col("eventName").alias("new_action"))
 
 
 def unusual_accessors(events: DataFrame, baseline: DataFrame | None = None, since: Column | None = None) -> DataFrame:
     """A user new to a resource that more than five users are known to use."""
     pairs = _with_baseline(accessor_pairs(events), baseline, "resourceId", "username")
     hits = _pair_event(newcomers(pairs, "resourceId", "username", KNOWN_ACCESSORS + 1), "username")
-    return _since(hits, since).select(*EVENT_KEY, F.col("username").alias("new_accessor"))
+    return _since(hits, since).select(*SIGNAL_KEY, F.col("username").alias("new_accessor"))
 
 
 SIGNAL_COLUMNS = {
@@ -144,14 +152,14 @@ SIGNAL_COLUMNS = {
 def combine_signals(tables: list[DataFrame]) -> DataFrame:
     """One row per event that raised any history signal."""
     padded = [
-        t.select(*EVENT_KEY, *[
+        t.select(*SIGNAL_KEY, *[
             (F.col(c) if c in t.columns else F.lit(None)).cast(kind).alias(c)
             for c, kind in SIGNAL_COLUMNS.items()
         ])
         for t in tables
     ]
     merged = reduce(DataFrame.unionByName, padded)
-    return merged.groupBy(*EVENT_KEY).agg(*[F.max(c).alias(c) for c in SIGNAL_COLUMNS])
+    return merged.groupBy(*SIGNAL_KEY).agg(*[F.max(c).alias(c) for c in SIGNAL_COLUMNS])
 
 
 CHECKS = [user_frequency, ip_frequency, failed_logins, new_locations, unusual_actions, unusual_accessors]
@@ -268,7 +276,7 @@ def with_heuristics(events: DataFrame, signals: DataFrame | None = None) -> Data
         entries = F.array_compact(F.array(*time_entries(), *sensitive_entries()))
         joined = events
     else:
-        joined = lookup_join(events, signals, EVENT_KEY, spread=EVENT_KEY, salts=1)
+        joined = lookup_join(events.withColumn("mark", signal_mark()), signals, SIGNAL_KEY).drop("mark")
         entries = F.array_compact(F.array(
             *frequency_entries(), *login_entries(), *time_entries(), *behaviour_entries(), *sensitive_entries()
         ))
@@ -277,6 +285,11 @@ def with_heuristics(events: DataFrame, signals: DataFrame | None = None) -> Data
     ).drop("heuristic_entries", *(SIGNAL_COLUMNS if signals is not None else ()))
 
 
+def without_heuristics(events: DataFrame) -> DataFrame:
+    """The ``heuristic`` struct of an engine that is switched off."""
+    return events.withColumn("heuristic", heuristic_result(F.array().cast("array<struct<text:string,score:double>>")))
+
+
 # --- baselines -----------------------------------------------------------------------------
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -21,31 +20,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: list[str] | Column,
-    how: str = "left",
-    measure: bool = True,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` to a look-up on ``on`` (same column names on both sides).
-
-    A look-up measured small is broadcast. Otherwise both sides shuffle on (key, salt): the
-    salt is a hash of ``spread`` (columns that differ between rows of one key), and the
-    look-up is repeated once per salt, so a key holding a third of the rows is split over
-    ``salts`` tasks. ``measure=False`` skips the measuring job for computed look-ups.
-    """
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", measure: bool = True) -> DataFrame:
+    """Join ``big`` to a look-up on ``on`` (same column names on both sides, one look-up row per key).
+
+    A look-up measured small is broadcast. Otherwise both sides shuffle on the key, and adaptive execution splits
+    whatever partition a busy key makes large, into as many pieces as its measured size asks for. ``measure=False``
+    skips the measuring job for computed look-ups."""
     names = {c: f"__k_{c}" for c in on}
     side = small.withColumnsRenamed(names)
     if measure and fits_broadcast(small):
-        return big.join(F.broadcast(side), _all_equal(on, names), how).drop(*names.values())
-    spreading = F.xxhash64(*spread) if isinstance(spread, list) else spread
-    big = big.withColumn("__salt", F.pmod(spreading, F.lit(salts)).cast("int"))
-    side = side.withColumn("__k_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    condition = _all_equal(on, names) & (F.col("__salt") == F.col("__k_salt"))
-    return big.join(side, condition, how).drop("__salt", "__k_salt", *names.values())
+        side = F.broadcast(side)
+    return big.join(side, _all_equal(on, names), how).drop(*names.values())
 
 
 def _all_equal(on: list[str], names: dict[str, str]) -> Column:

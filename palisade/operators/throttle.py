@@ -1,145 +1,91 @@
 """Global rate limit: an alert passes while fewer than ``limit`` passed in the trailing window.
 
-Only (instant, count) pairs enter, each count cut at ``limit`` (no more can pass at once). An
-instant whose raw trailing count stays within the limit passes whole, so only *busy* instants
-need the sequential rule, and busy stretches separated by a full window are independent. A
-stretch is folded in one small task; one longer than ``fold_limit`` instants is walked window
-by window, where at most ``limit`` x (``limit`` + 1) candidates of a window are ever looked at.
+Only (instant, count) pairs enter, each count cut at ``limit`` (no more can pass at once). Time is cut into slices. A slice
+whose own and preceding window's load stays within the limit is *calm*: its alerts all pass. Only busy slices need the
+sequential rule, and busy stretches a window apart are independent, so they are folded in parallel: rows are dealt by
+stretch and read in time order, and the state is at most ``limit`` accepted pairs, however long the stretch is. One unbroken
+busy stretch is sequential by definition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.text import slot
 from palisade.operators.joins import lookup_join
-from palisade.operators.trailing import trailing_instants
 from palisade.session import land, number_rows
 
 HOUR_US = 3_600_000_000
 LIMIT = 100
-FOLD_LIMIT = 500_000
-
-
-def admit(points: Iterable[tuple[int, int]], limit: int, window_us: int,
-          accepted: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Fold (instant, count) in time order over the (instant, count) pairs already accepted."""
-    live = list(accepted)
-    held, start, out = sum(k for _, k in live), 0, []
-    for t, n in points:
-        while start < len(live) and live[start][0] <= t - window_us:
-            held -= live[start][1]
-            start += 1
-        take = min(n, limit - held)
-        if take > 0:
-            live.append((t, take))
-            held += take
-            out.append((t, take))
-    return out
-
-
-def _calm_and_busy(points: DataFrame, limit: int, window_us: int) -> tuple[DataFrame, DataFrame]:
-    """Split instants by whether their raw trailing load fits the limit."""
-    keyed = points.withColumn("__all", F.lit(1))
-    busy = trailing_instants(keyed, ["__all"], "t", window_us, limit, weight="n", include_self=True).select("t")
-    calm = points.join(busy, "t", "left_anti")
-    return calm, points.join(busy, "t", "left_semi")
-
-
-def _stretches(busy: DataFrame, window_us: int, limit: int) -> DataFrame:
-    """(start, end, size) of the busy stretches, from per-slot ranges of the busy instants."""
-    slot = ((F.col("t") - F.pmod(F.col("t"), F.lit(window_us))) / F.lit(window_us)).cast("long")
-    slots = busy.groupBy(slot.alias("slot")).agg(
-        F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("size")).withColumn("__all", F.lit(1))
-    order = Window.partitionBy("__all").orderBy("slot")
-    opens = F.coalesce(F.col("lo") - F.lag("hi").over(order) >= window_us, F.lit(True))
-    numbered = slots.withColumn("opens", opens.cast("int")).withColumn("stretch", F.sum("opens").over(order))
-    return numbered.groupBy("stretch").agg(
-        F.min("lo").alias("start"), F.max("hi").alias("end"), F.sum("size").alias("size"))
-
-
-def _fold_group(limit: int, window_us: int):
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t")
-        # Calm instants take part as load and always pass; only busy ones are reported.
-        taken = dict(admit(zip(frame["t"].tolist(), frame["n"].tolist()), limit, window_us, []))
-        rows = [(t, taken[t]) for t in frame[~frame["calm"]]["t"].tolist() if t in taken]
-        return pd.DataFrame(rows, columns=["t", "take"]).astype("int64")
+#: Slices of a window, and slices ordered in one task when stretches are told apart.
+SLICES, RUN = 60, 1024
+
+
+def _stretches(busy: DataFrame, span: int) -> DataFrame:
+    """(slice, stretch) of the busy slices; a stretch begins where no busy slice stands within a window before.
+
+    Slices are ordered in runs of ``RUN``; between runs only one row per run is carried on."""
+    placed = busy.withColumn("run", F.floor(F.col("slice") / RUN))
+    inside, before = Window.partitionBy("run").orderBy("slice"), Window.orderBy("run")
+    ends = placed.groupBy("run").agg(F.max("slice").alias("end")).withColumn("reached", F.lag("end").over(before)).select("run", "reached")
+    previous = F.coalesce(F.lag("slice").over(inside), F.col("reached"))
+    opened = placed.join(ends, "run").withColumn("opens", F.coalesce(F.col("slice") - previous > span, F.lit(True))).drop("reached")
+    opens = F.when(F.col("opens"), F.col("slice"))
+    last = opened.groupBy("run").agg(F.max(opens).alias("last")).withColumn(
+        "carried", F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))).select("run", "carried")
+    return opened.join(last, "run").select("slice", F.coalesce(F.max(opens).over(inside), F.col("carried")).alias("stretch"))
+
+
+def _fold(limit: int, window_us: int):
+    """Rows of (stretch, t, n, busy) in order to (t, take) of the busy instants at which alerts pass."""
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, live, held = None, deque(), 0
+        for frame in frames:
+            out = []
+            for stretch, t, n, busy in zip(frame["stretch"].tolist(), frame["t"].tolist(), frame["n"].tolist(), frame["busy"].tolist()):
+                if stretch != now:
+                    now, held = stretch, 0
+                    live.clear()
+                while live and live[0][0] <= t - window_us:
+                    held -= live.popleft()[1]
+                # calm instants count as load and always pass; only busy ones are reported
+                take = min(n, limit - held) if busy else n
+                if take > 0:
+                    live.append((t, take))
+                    held += take
+                    if busy:
+                        out.append((t, take))
+            yield pd.DataFrame(out, columns=["t", "take"]).astype("int64")
     return fold
 
 
-def _walk(points: DataFrame, start: int, end: int, limit: int, window_us: int) -> list[tuple[int, int]]:
-    """One long stretch, a window at a time; the state is at most ``limit`` accepted pairs."""
-    context = points.where((F.col("t") > start - window_us) & (F.col("t") < start)).orderBy("t").collect()
-    state = [(r["t"], r["n"]) for r in context]
-    accepted: list[tuple[int, int]] = []
-    block = start
-    while block <= end:
-        releases = sorted(t + window_us for t, _ in state)
-        interval: Column = F.lit(0)
-        if releases:
-            interval = F.size(F.filter(F.array(*[F.lit(r) for r in releases]), lambda r: r <= F.col("t")))
-        rank = Window.partitionBy("interval").orderBy("t")
-        candidates = (
-            points.where((F.col("t") >= block) & (F.col("t") < block + window_us))
-            .withColumn("interval", interval)
-            .withColumn("rank", F.row_number().over(rank))
-            .where(F.col("rank") <= limit)
-            .select("t", "n").toPandas().sort_values("t")
-        )
-        taken = admit(zip(candidates["t"].tolist(), candidates["n"].tolist()), limit, window_us, state)
-        accepted.extend(taken)
-        block += window_us
-        state = [(t, k) for t, k in state + taken if t > block - window_us]
-    return accepted
-
-
-def passing_instants(
-    points: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US, fold_limit: int = FOLD_LIMIT,
-) -> DataFrame:
+def passing_instants(points: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US) -> DataFrame:
     """(t, take): how many alerts pass at each instant."""
-    points = land(points.select("t", F.least("n", F.lit(limit)).cast("bigint").alias("n")))
-    calm, busy = _calm_and_busy(points, limit, window_us)
-    busy = land(busy)
+    width = max(1, window_us // SLICES)
+    span = -(-window_us // width)  # slices before its own that an instant's window can touch
+    points = land(points.select("t", F.least("n", F.lit(limit)).cast("bigint").alias("n"), slot(F.col("t"), width).alias("slice")))
+    totals = points.groupBy("slice").agg(F.sum("n").alias("own"))
+    loads = totals.select(F.explode(F.sequence("slice", F.col("slice") + span)).alias("slice"), "own").groupBy("slice").agg(F.sum("own").alias("load"))
+    busy = land(_stretches(totals.join(loads.where(F.col("load") > limit), "slice").select("slice"), span))
     if busy.isEmpty():
         return points.select("t", F.col("n").alias("take"))
-    calm = land(calm)
-    stretches = land(_stretches(busy, window_us, limit))
-    passed = calm.select("t", F.col("n").alias("take"))
-    long = stretches.where(F.col("size") > fold_limit).orderBy("start").collect()
-
-    # A stretch needs its busy instants and the calm ones between and one window before them; the
-    # slots it covers turn that range match into an equality join.
-    slot = ((F.col("t") - F.pmod(F.col("t"), F.lit(window_us))) / F.lit(window_us)).cast("long")
-    first = ((F.col("start") - F.lit(window_us) - F.pmod(F.col("start"), F.lit(window_us))) / F.lit(window_us))
-    last = ((F.col("end") - F.pmod(F.col("end"), F.lit(window_us))) / F.lit(window_us))
-    covered = stretches.where(F.col("size") <= fold_limit).withColumn(
-        "slot", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    tagged = calm.withColumn("calm", F.lit(True)).unionByName(busy.withColumn("calm", F.lit(False)))
-    members = lookup_join(tagged.withColumn("slot", slot), covered, ["slot"], spread=["t"], how="inner",
-                          measure=False).where(
-        (F.col("t") > F.col("start") - window_us) & (F.col("t") <= F.col("end")))
-    folded = members.select("stretch", "t", "n", "calm").groupBy("stretch").applyInPandas(
-        _fold_group(limit, window_us), "t bigint, take bigint")
-    passed = passed.unionByName(folded)
-
-    everything = calm.unionByName(busy)
-    for row in long:
-        walked = _walk(everything, row["start"], row["end"], limit, window_us)
-        frame = pd.DataFrame({"t": np.array([t for t, _ in walked], dtype="int64"),
-                              "take": np.array([k for _, k in walked], dtype="int64")})
-        quiet = calm.select("t")
-        passed = passed.unionByName(points.sparkSession.createDataFrame(frame).join(quiet, "t", "left_anti"))
-    return passed
+    # a slice counts for the next busy slice within a window from it
+    reach = busy.select(F.explode(F.sequence(F.col("slice") - span, "slice")).alias("slice"), F.col("slice").alias("of"), "stretch")
+    near = reach.groupBy("slice").agg(F.min(F.struct("of", "stretch")).alias("next")).select(
+        F.col("slice").alias("at"), F.col("next.stretch").alias("stretch"), (F.col("next.of") == F.col("slice")).alias("busy"))
+    members = points.join(near, F.col("slice") == F.col("at")).select("stretch", "t", "n", "busy")
+    folded = members.repartition("stretch").sortWithinPartitions("stretch", "t").mapInPandas(_fold(limit, window_us), "t bigint, take bigint")
+    calm = points.join(busy.select("slice"), "slice", "left_anti").select("t", F.col("n").alias("take"))
+    return calm.unionByName(folded)
 
 
 def throttle(
-    alerts: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US, fold_limit: int = FOLD_LIMIT,
-    earlier: DataFrame | None = None,
+    alerts: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US, earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``throttled`` and a unique ``rowId``; ties at one instant pass in order of alertId.
 
@@ -147,26 +93,25 @@ def throttle(
     rows = number_rows(alerts).withColumn("t", F.unix_micros("timestamp"))
     points = rows.groupBy("t").agg(F.count("*").alias("n"))
     if earlier is None:
-        take = passing_instants(points, limit, window_us, fold_limit)
+        take = passing_instants(points, limit, window_us)
     else:
         held = earlier.groupBy("t").agg(F.sum("n").cast("bigint").alias("held"))
         both = points.join(held, "t", "full_outer").select(
             "t", (F.coalesce("n", F.lit(0)) + F.coalesce("held", F.lit(0))).alias("n"))
-        take = passing_instants(both, limit, window_us, fold_limit).join(held, "t", "left").select(
+        take = passing_instants(both, limit, window_us).join(held, "t", "left").select(
             "t", (F.col("take") - F.coalesce("held", F.lit(0))).alias("take"))
     rank = Window.partitionBy("t").orderBy("alertId", "rowId")
     leading = rows.select("t", "alertId", "rowId").withColumn("rank", F.row_number().over(rank)).where(
         F.col("rank") <= limit)
     passing = leading.join(take, "t").where(F.col("rank") <= F.col("take")).select(
         "rowId", F.lit(True).alias("passes"))
-    joined = lookup_join(rows, passing, ["rowId"], spread=["rowId"], measure=False, salts=1)
+    joined = lookup_join(rows, passing, ["rowId"], measure=False)
     return joined.withColumn("throttled", F.col("passes").isNull()).drop("passes", "t")
 
 
-def outcomes(deduplicated: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US,
-             fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def outcomes(deduplicated: DataFrame, limit: int = LIMIT, window_us: int = HOUR_US) -> DataFrame:
     """End state of every alert: dispatched, deduplicated or throttled."""
-    survivors = throttle(deduplicated.where(~F.col("duplicate")), limit, window_us, fold_limit)
+    survivors = throttle(deduplicated.where(~F.col("duplicate")), limit, window_us)
     done = survivors.withColumn("outcome", F.when(F.col("throttled"), "throttled").otherwise("dispatched"))
     dropped = deduplicated.where("duplicate").withColumn("outcome", F.lit("deduplicated"))
     return done.drop("throttled").unionByName(dropped).drop("rowId")

@@ -60,7 +60,7 @@ def trailing_instants(
                F.col("move.sign").alias("sign"), *([weight] if weight else []))
     size = F.col(weight) if weight else F.lit(1)
     instants = (
-        lookup_join(moves, opening, [*keys, "slice"], spread=["t"], how="inner")
+        lookup_join(moves, opening, [*keys, "slice"], how="inner")
         .groupBy(*keys, "slice", "opening", "t")
         .agg(F.sum(F.when(F.col("sign") > 0, size).otherwise(0)).alias("n"),
              F.sum(F.when(F.col("sign") < 0, size).otherwise(0)).alias("gone"))
@@ -87,5 +87,5 @@ def trailing_hits(
     rows = events if targets is None else events.where(targets)
     return lookup_join(
         rows.select(*dict.fromkeys([*keys, t_us, *carry])), instants, [*keys, t_us],
-        spread=carry, how="inner", measure=False,
+        how="inner", measure=False,
     )

@@ -19,15 +19,15 @@ from palisade.sources.adapters import base_columns
 from palisade.plans.tables import raw_records, sec_events
 
 HOURLY_LIMIT = 5  # low enough to bite on the small tables
-ALERT, DET = alerted(history=False), detected(history=False)
+ALERT, DET = alerted(), detected()
 
 
-def _fused(spark, folder, history=False, burst=False):
+def _fused(spark, folder, history=True, burst=False):
     events = sec_events(spark, folder, burst=burst)
     return detect(events, load_rules(), history=history)
 
 
-def _alerts(spark, folder, history=False, burst=False):
+def _alerts(spark, folder, history=True, burst=False):
     return build_alerts(_fused(spark, folder, history, burst))
 
 
@@ -71,23 +71,23 @@ def fingerprints(spark, folder):
     return _alerts(spark, folder).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("eventId").alias("first_event"))
 
 
-@query("q_dedup", f"WITH {deduplicated(history=False)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd")
+@query("q_dedup", f"WITH {deduplicated(history=True)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd")
 def dedup(spark, folder):
     return _placed(spark, folder).select("alertId", "fingerprint", F.unix_micros("anchor").alias("anchor_us"), "duplicate")
 
 
 @query("q_dedup_burst", f"""
-WITH {deduplicated(True, False, 60_000_000)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd""")
+WITH {deduplicated(True, window_us=60_000_000)} SELECT alertId, fp AS fingerprint, anchor_us, dup AS duplicate FROM dd""")
 def dedup_burst(spark, folder):
-    """One-minute windows over the compressed stream, with large fingerprints on the doubling path."""
+    """One-minute windows over the compressed stream of the burst."""
     rows = _alerts(spark, folder, burst=True).select("alertId", "timestamp", "fingerprint")
-    placed = deduplicate(rows, window_us=60_000_000, fold_limit=200)
+    placed = deduplicate(rows, window_us=60_000_000)
     return placed.select("alertId", "fingerprint", F.unix_micros("anchor").alias("anchor_us"), "duplicate")
 
 
 HOUR = 3_600_000_000
 THROTTLE_SQL = (
-    f"WITH {deduplicated(history=False)}, surv AS (SELECT alertId, t_us FROM dd WHERE NOT dup), "
+    f"WITH {deduplicated(history=True)}, surv AS (SELECT alertId, t_us FROM dd WHERE NOT dup), "
     f"{throttled(HOURLY_LIMIT, HOUR, 'surv')}"
 )
 
@@ -99,7 +99,7 @@ def throttle_query(spark, folder):
 
 
 @query("q_alert_groups", f"""
-WITH {deduplicated(history=False)} SELECT fp AS fingerprint, anchor_us, count(*) AS occurrences, min(t_us) AS first_us, max(t_us) AS last_us
+WITH {deduplicated(history=True)} SELECT fp AS fingerprint, anchor_us, count(*) AS occurrences, min(t_us) AS first_us, max(t_us) AS last_us
 FROM dd GROUP BY 1, 2""")
 def groups(spark, folder):
     return alert_groups(_placed(spark, folder)).select(

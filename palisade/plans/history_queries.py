@@ -224,10 +224,10 @@ def overall_scores(spark, folder):
 
 
 @query("q_result_record", f"""
-WITH {detected(history=False)} SELECT eventId, CAST(threat AS VARCHAR) AS threat, len(hits) AS n_rules,
+WITH {detected()} SELECT eventId, CAST(threat AS VARCHAR) AS threat, len(hits) AS n_rules,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM det""")
 def result_records(spark, folder):
-    records = result_record(detect(sec_events(spark, folder), load_rules(), history=False))
+    records = result_record(detect(sec_events(spark, folder), load_rules()))
     return records.select(
         F.get_json_object("record", "$.eventId").alias("eventId"),
         F.get_json_object("record", "$.overallThreatDetected").alias("threat"),

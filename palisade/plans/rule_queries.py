@@ -18,7 +18,7 @@ OPERATOR_CASES = [
     ("q_rule_equals", [("sourceProvider", "equals", "aws")], "provider = 'aws'"),
     ("q_rule_not_equals", [("actor.userType", "not_equals", "Root")], "usertype <> 'Root'"),
     ("q_rule_contains", [("eventName", "contains", "Bucket")], "contains(name, 'Bucket')"),
-    ("q_rule_not_contains", [("eventName", "not_contains", "e")], "NOT contains(name, 'e')"),
+    ("q_rule_not_contains", [("eventName", "not_contains", "Bucket")], "NOT contains(name, 'Bucket')"),
     ("q_rule_in", [("severity", "in", ["high", "critical"])], "severity IN ('high','critical')"),
     ("q_rule_not_in", [("actor.geo_location.city", "not_in", ["Paris"]), ("actor.geo_location.country", "not_in", ["US", "CA"])],
      "country NOT IN ('US','CA')"),

@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.schema import EVENT_KEY
+from palisade.session import land
+
 # Retention in days.
 EVENT_DAYS, ALERT_DAYS = 90, 365
 
 
-def write_events(events: DataFrame, folder: str, mode: str = "append", files_per_day: int = 8) -> None:
-    """By provider and day; a hash spreads each day over several writers, so a busy day is not one task."""
-    dated = events.withColumn("date", F.to_date("timestamp"))
-    part = F.pmod(F.xxhash64("eventId", "timestamp"), F.lit(files_per_day))
-    dated.repartition("sourceProvider", "date", part).write.mode(mode).partitionBy("sourceProvider", "date").parquet(folder)
+def write_events(events: DataFrame, folder: str, mode: str = "append") -> None:
+    """By provider and day. Rows are rebalanced: a busy day gets as many writers as its size asks for, small ones share
+    a file. ``overwrite`` replaces only the provider's days that the events touch."""
+    dated = events.withColumn("date", F.to_date("timestamp")).hint("rebalance", "sourceProvider", "date")
+    dated.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("sourceProvider", "date").parquet(folder)
+
+
+def store_exists(spark: SparkSession, folder: str) -> bool:
+    try:
+        spark.read.parquet(folder).limit(0).collect()
+        return True
+    except AnalysisException:
+        return False
+
+
+def merge_events(events: DataFrame, folder: str) -> None:
+    """Add events to the store; those delivered again replace their earlier copies, all others stay."""
+    spark = events.sparkSession
+    if not store_exists(spark, folder):
+        return write_events(events, folder)
+    events = land(events)
+    touched = events.select(F.to_date("timestamp").alias("date")).distinct()
+    stored = spark.read.parquet(folder).join(F.broadcast(touched), "date", "left_semi").drop("date")  # a row per day
+    kept = stored.join(events.select(*EVENT_KEY).distinct(), EVENT_KEY, "left_anti")
+    write_events(land(kept.select(*events.columns).unionByName(events)), folder, mode="overwrite")
 
 
 def write_alerts(alerts: DataFrame, folder: str, mode: str = "append") -> None:

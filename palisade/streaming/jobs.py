@@ -53,14 +53,15 @@ class ContinuousDetection:
     """``foreachBatch`` handler; rules are re-read from their folder with every micro-batch."""
 
     def __init__(self, folder: str, rules: str = PACK, model: Model | None = None, limit: int = LIMIT,
-                 dedup_us: int = WINDOW_US, throttle_us: int = HOUR_US, dry_run: bool = False):
+                 dedup_us: int = WINDOW_US, throttle_us: int = HOUR_US, dry_run: bool = False,
+                 clock: Callable[[], float] = time.time):
         self.folder, self.rules, self.model = folder, rules, model
         self.limit, self.dedup_us, self.throttle_us, self.dry_run = limit, dedup_us, throttle_us, dry_run
+        self.clock = clock
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         state = StateTables(batch.sparkSession, f"{self.folder}/state")
-        events = land(batch)
-        events = self._on_time(events, state, epoch)
+        events = self._on_time(batch, state, epoch)
         signals = he.combine_signals([*self._frequencies(events, state, epoch), *self._baselines(events, state, epoch)])
         judged = with_anomaly(with_matched_rules(events, load_rules(self.rules)), self.model)
         alerts = number_rows(build_alerts(fuse(he.with_heuristics(judged, land(signals)))))
@@ -76,15 +77,17 @@ class ContinuousDetection:
         return rows.agg(F.max("latest").alias("latest")).coalesce(1)
 
     def _on_time(self, events: DataFrame, state: StateTables, epoch: int) -> DataFrame:
-        """Events older than the allowed lateness go to a side table instead of being judged."""
+        """Events without a time, older than the allowed lateness, or further ahead of the clock than that go to a side
+        table instead of being judged; so neither is lost, and no future time moves the horizon."""
         horizon = state.latest("horizon", epoch)
         latest = None if horizon is None else horizon.first()["latest"]
-        if latest is None:
-            return events
-        bound = F.unix_micros("timestamp") > latest - ALLOWED_LATENESS_US
-        late = events.where(~bound)
-        late.write.mode("overwrite").parquet(f"{self.folder}/late/epoch={epoch}")
-        return events.where(bound)
+        us = F.unix_micros("timestamp")
+        fits = us <= int(self.clock() * 1_000_000) + ALLOWED_LATENESS_US
+        if latest is not None:
+            fits = fits & (us > latest - ALLOWED_LATENESS_US)
+        marked = land(events.withColumn("__fits", F.coalesce(fits, F.lit(False))))
+        marked.where("not __fits").drop("__fits").write.mode("overwrite").parquet(f"{self.folder}/late/epoch={epoch}")
+        return marked.where("__fits").drop("__fits")
 
     def _frequencies(self, events: DataFrame, state: StateTables, epoch: int) -> list[DataFrame]:
         fresh = events.select(*HISTORY_COLUMNS)

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from helpers import events
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from palisade.operators.dedup import alert_groups, deduplicate
 from palisade.operators.fusion import overall_score
 from palisade.operators.payloads import alert_markdown, payloads, register_channel, route, with_occurrences, write_payloads
 from palisade.operators.rules import load_rules
-from palisade.operators.throttle import admit, outcomes, throttle
+from palisade.operators.throttle import _fold, outcomes, passing_instants, throttle
 from palisade.plans.detection import detect
 
 DAY = datetime(2024, 1, 1)
@@ -97,13 +98,12 @@ def test_dedup_is_anchored(spark):
     assert groups == {at(0): 3, at(3600): 2, at(130 * 60): 1, at(190 * 60): 1}
 
 
-@pytest.mark.parametrize("fold_limit", [10**6, 20])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_dedup_brute_force(spark, fold_limit, seed):
+def test_dedup_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [(f"id{i:04d}", rng.choice("aaaab" + "cdef" * (seed - 1)), at(rng.choice([rng.random() * 1500, rng.randrange(1500)])))
             for i in range(700)]
-    got = deduplicate(alert_rows(spark, rows), WINDOW, fold_limit=fold_limit).collect()
+    got = deduplicate(alert_rows(spark, rows), WINDOW).collect()
     assert {r["alertId"]: (r["duplicate"], r["anchor"]) for r in got} == brute_dedup(rows)
 
 
@@ -124,16 +124,50 @@ def brute_throttle(rows, limit, window_us=WINDOW):
     return out
 
 
+def admit(points, limit, window):
+    """The rule itself, in time order."""
+    live, out = [], []
+    for t, n in points:
+        live = [(u, k) for u, k in live if u > t - window]
+        take = min(n, limit - sum(k for _, k in live))
+        if take > 0:
+            live.append((t, take))
+            out.append((t, take))
+    return out
+
+
 def test_admit_small():
-    assert admit([(0, 3), (5, 2), (11, 4)], 4, 10, []) == [(0, 3), (5, 1), (11, 3)]
+    frame = pd.DataFrame([(0, t, n, True) for t, n in [(0, 3), (5, 2), (11, 4)]], columns=["stretch", "t", "n", "busy"])
+    parts = list(_fold(4, 10)(iter([frame[:2], frame[2:]])))
+    assert [tuple(r) for p in parts for r in p.to_numpy().tolist()] == [(0, 3), (5, 1), (11, 3)]
+
+
+@pytest.mark.parametrize("seed,window,limit", [(1, 60, 3), (2, 600, 5), (3, 7, 2), (4, 60_000, 40)])
+def test_passing_instants(spark, seed, window, limit):
+    """Calm and busy stretches of all lengths, far apart and close together."""
+    rng = random.Random(seed)
+    points, t = {}, -5000
+    for _ in range(1500):
+        t += rng.choice([1, 1, 2, window // 3 + 1, window, window + 1, 9 * window]) if rng.random() < 0.3 else rng.randint(1, max(2, window // 4))
+        points[t] = rng.choice([1, 1, 1, 2, limit, limit + 3])
+    df = spark.createDataFrame(list(points.items()), "t long, n long")
+    got = sorted((r.t, r["take"]) for r in passing_instants(df, limit, window).collect())
+    assert got == admit([(t, min(n, limit)) for t, n in sorted(points.items())], limit, window)
+
+
+def test_one_long_stretch(spark):
+    """Two million instants a microsecond apart are one stretch: the limit passes, then again a window later."""
+    df = spark.range(2_000_000).select(F.col("id").alias("t"), F.lit(1).cast("long").alias("n"))
+    got = sorted(r.t for r in passing_instants(df, 10, 500_000).where("take > 0").collect())
+    assert got == [k * 500_000 + i for k in range(4) for i in range(10)]
+
 
 
-@pytest.mark.parametrize("fold_limit", [10**6, 15])
 @pytest.mark.parametrize("limit,count", [(5, 400), (20, 600), (3, 40)])
-def test_throttle_brute_force(spark, limit, count, fold_limit):
+def test_throttle_brute_force(spark, limit, count):
     rng = random.Random(limit)
     rows = [(f"id{i:04d}", "f", at(rng.choice([rng.random() * 1200, rng.randrange(400) * 3]))) for i in range(count)]
-    got = throttle(alert_rows(spark, rows), limit, WINDOW, fold_limit).collect()
+    got = throttle(alert_rows(spark, rows), limit, WINDOW).collect()
     assert {r["alertId"]: r["throttled"] for r in got} == brute_throttle(rows, limit)
 
 
@@ -190,11 +224,10 @@ def test_chat_mentions_only_critical(alerts):
     assert all("<!channel>" not in r["payload"] for r in rows)
 
 
-@pytest.mark.parametrize("fold_limit", [10**6, 1])
-def test_exact_copies_are_told_apart(spark, fold_limit):
+def test_exact_copies_are_told_apart(spark):
     rows = [("a1", "f", at(0))] * 5 + [("b1", "g", at(0))] * 3 + [("a1", "f", at(100))] * 2
-    placed = deduplicate(alert_rows(spark, rows), WINDOW, fold_limit=fold_limit)
+    placed = deduplicate(alert_rows(spark, rows), WINDOW)
     assert placed.count() == 10 and placed.where("not duplicate").count() == 3
     plain = alert_rows(spark, rows)
-    limited = throttle(plain, 4, WINDOW, fold_limit=fold_limit)
+    limited = throttle(plain, 4, WINDOW)
     assert limited.count() == 10 and limited.where("not throttled").count() == 6

@@ -167,3 +167,14 @@ def test_signals_reach_their_events(spark):
     assert last["indicators"] == ["High frequency of Look by u", "High frequency from IP 1.1.1.1"]
     assert last["score"] == 1.0 and judged.count() == 60
     assert judged.where("heuristic.isSuspicious").count() == 39
+
+
+def test_events_of_one_id_keep_their_own_signals(spark):
+    """Two events share provider, id and time; only the one from the busy address is frequent."""
+    busy = [dict(eventId=f"b{i}", ip="9.9.9.9", offset_us=i) for i in range(he.IP_FLOOR + 30)]
+    last = he.IP_FLOOR + 40
+    df = events(spark, [*busy, dict(eventId="same", ip="9.9.9.9", offset_us=last), dict(eventId="same", ip="8.8.8.8", offset_us=last)])
+    got = he.with_heuristics(df, he.history_signals(df)).where("eventId = 'same'").select("actor.ipAddress", "heuristic.indicators").collect()
+    assert len(got) == 2
+    said = {r.ipAddress: any("IP" in i for i in r.indicators) for r in got}
+    assert said == {"9.9.9.9": True, "8.8.8.8": False}

@@ -4,18 +4,20 @@ import os
 import time
 
 from conftest import DATA
-from helpers import MINUTE, events, ids
+from helpers import MINUTE, START, events, ids
 from pyspark.sql import functions as F
 
 from palisade.operators.alerts import build_alerts
 from palisade.operators.dedup import deduplicate
+from palisade.operators.normalize import known_source
 from palisade.operators.metrics import engine_statistics, progress_stats, sliding_counts
 from palisade.operators.rules import load_rules, rules_frame
 from palisade.operators.throttle import outcomes
-from palisade.plans.detection import detect, run, run_raw
+from palisade.plans.detection import detect, dispatch, events_from_raw, run, run_raw, run_store
 from palisade.session import land
 from palisade.sources.adapters import raw_records, sec_events
 from palisade.sources.feeds import stream_json_lines
+from palisade.sources.store import merge_events
 from palisade.streaming.jobs import ContinuousDetection, keep_running, run_continuous, stream_sliding_counts
 from palisade.streaming.state import StateTables
 
@@ -166,3 +168,63 @@ def test_full_run_from_raw(spark, scratch):
     assert counts.get("dispatched", 0) > 0
     stored = spark.read.parquet(f"{scratch}/store")
     assert run(stored.drop("date"), load_rules(), limit=2).where("outcome = 'throttled'").count() > 0
+
+
+def test_events_without_a_fit_time_are_set_aside(spark, scratch):
+    """Null times and far futures in the first and in a later batch: set aside, and detection goes on."""
+    handler = ContinuousDetection(f"{scratch}/out", clock=lambda: START.timestamp() + 3600 * 24)
+    for epoch, offset in enumerate((0, MINUTE)):
+        batch = events(spark, [dict(eventId=f"n{epoch}"), dict(eventId=f"f{epoch}", offset_us=10 * 365 * 1440 * MINUTE),
+                               dict(eventId=f"k{epoch}", eventName="DeleteSecret", offset_us=offset)])
+        batch = batch.withColumn("timestamp", F.when(~F.col("eventId").startswith("n"), F.col("timestamp")))
+        handler(batch, epoch)
+        aside = ids(spark.read.schema(batch.schema).parquet(f"{scratch}/out/late/epoch={epoch}"))
+        assert aside == [f"f{epoch}", f"n{epoch}"]
+        assert {r.eventId for r in spark.read.parquet(f"{scratch}/out/state/recent/epoch={epoch}").collect()} >= {f"k{epoch}"}
+
+
+def test_second_run_keeps_the_first_days_store(spark, scratch):
+    raw = land(raw_records(spark, DATA))
+    typed = events_from_raw(raw)
+    days = [r.d for r in typed.select(F.to_date("timestamp").alias("d")).distinct().orderBy("d").limit(2).collect()]
+    store = f"{scratch}/store"
+    first, second = (land(typed.where(F.to_date("timestamp") == d)) for d in days)
+    merge_events(first, store)
+    merge_events(second, store)
+    merge_events(first.limit(3), store)
+    assert sorted(ids(spark.read.parquet(store))) == sorted(ids(first) + ids(second))
+
+
+def test_raw_run_keeps_unknown_and_rejected_records(spark, scratch):
+    raw = land(raw_records(spark, DATA))
+    odd = raw.limit(5).withColumn("source", F.lit("somewhere_else"))
+    run_raw(raw.unionByName(odd), load_rules(), f"{scratch}/store")
+    kept = spark.read.parquet(f"{scratch}/store").count()
+    rejected = spark.read.parquet(f"{scratch}/store-rejected").count()
+    assert spark.read.parquet(f"{scratch}/store-unknown").count() == raw.where(~known_source()).count() + 5
+    assert kept + rejected == raw.where(known_source()).count()
+
+
+def test_bounded_run_and_dispatch(spark, scratch):
+    df = land(sec_events(spark, DATA, burst=True))
+    whole = land(run(df, load_rules(), limit=LIMIT))
+    stamps = [r.t for r in df.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("t")).orderBy("t").collect()]
+    start, end = stamps[len(stamps) // 3], stamps[2 * len(stamps) // 3]
+    part = land(run(df, load_rules(), start=start, end=end, limit=LIMIT))
+    wanted = whole.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    assert ids(part, "alertId") == ids(wanted, "alertId") and part.count() < whole.count()
+    loose = run(df, load_rules(), deduplicating=False, throttling=False)
+    assert loose.where("outcome = 'dispatched'").count() == loose.count() == whole.count()
+    assert run(df, [], heuristics=False).count() == 0
+    assert dispatch(whole, {"webhook": {}}, f"{scratch}/out") == {}
+    sent = spark.read.parquet(f"{scratch}/out/channel=webhook")
+    assert ids(sent, "alertId") == ids(whole.where("outcome = 'dispatched'"), "alertId")
+
+
+def test_store_run_reads_a_range(spark, scratch):
+    df = land(sec_events(spark, DATA))
+    merge_events(df, f"{scratch}/store")
+    low, high = df.agg(F.min("timestamp"), F.max("timestamp")).first()
+    start, end = (low + (high - low) / 2).strftime("%Y-%m-%d %H:%M:%S"), high.strftime("%Y-%m-%d %H:%M:%S")
+    got = run_store(spark, f"{scratch}/store", load_rules(), start, end, throttling=False)
+    assert ids(got, "alertId") == ids(run(df, load_rules(), start=start, end=end, throttling=False), "alertId")

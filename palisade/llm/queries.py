@@ -25,7 +25,7 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(documents(spark, folder), read_table(spark, folder, "benchmark"))
 
 
-@query("op2_jump_shards")
+@query("op2_jump_shards", sharding.oracle(SHARDS))
 def jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder), SHARDS)
 
@@ -36,7 +36,7 @@ def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(rows, pii.train(rows))
 
 
-@query("op9_secrets")
+@query("op9_secrets", secrets.oracle())
 def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents(spark, folder))
 

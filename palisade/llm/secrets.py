@@ -136,3 +136,43 @@ def scan(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return found.withColumn("added", added).select(
         "doc_id", *counts, F.sha2(span_names(F.col("base"), KINDS), 256).alias("base_sha256"),
         span_names(F.concat("base", "added"), KINDS).alias("spans"), F.size("added").cast("long").alias("n_entropy"))
+
+
+def oracle() -> str:
+    """The same over ``documents`` as DuckDB SQL, with each window counted afresh."""
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    def allowed(value: str) -> str:
+        return " OR ".join(f"regexp_matches({value}, '{quoted(p)}')" for p in ALLOWED)
+
+    classes = ", ".join(f"('{i}', {c.window}, {c.bits}, '[{quoted(c.characters)}]{{{c.window},}}')" for i, c in enumerate(CLASSES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+patterns(kind, rank, pattern) AS (VALUES ('assign', 1, '{quoted(ASSIGN)}'), ('access', 2, '{quoted(ACCESS)}'), ('hex', 3, '[0-9a-f]{{24,}}')),
+classes(class, w, bits, pattern) AS (VALUES {classes}),
+matched AS (SELECT r, t, kind, rank, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gs
+  FROM d, (SELECT kind, rank, pattern FROM patterns UNION ALL SELECT class, 9, pattern FROM classes)),
+placed AS (SELECT r, t, kind, rank, ms[k] AS m, CAST(list_sum(list_transform(gs[1:k], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM matched, unnest(range(1, len(ms) + 1)) AS u(k)),
+base AS (SELECT r, kind, rank, a, a + length(m) AS e FROM placed WHERE (kind = 'assign' AND length(regexp_extract(m, '{quoted(ASSIGN)}', 1)) >= {ASSIGN_LENGTH})
+  OR (kind = 'access' AND length(m) >= {ACCESS_LENGTH}) OR kind = 'hex'),
+runs AS (SELECT row_number() OVER () AS run, p.r, p.kind AS class, p.m, p.a, c.w, c.bits FROM placed p JOIN classes c ON p.kind = c.class
+  WHERE NOT ({allowed('p.m')}) AND NOT regexp_matches(right(left(p.t, p.a), 12), '{quoted(ALLOWED_BEFORE)}')),
+windows AS (SELECT run, i, unnest(string_split(substr(m, i, w), '')) AS ch FROM runs, unnest(range(1, length(m) - w + 2)) AS u(i)),
+counts AS (SELECT run, i, ch, count(*) AS n FROM windows GROUP BY run, i, ch),
+entropy AS (SELECT run, i, sum(n * log2(n)) AS load FROM counts GROUP BY run, i),
+hot AS (SELECT run, min(i) AS first, max(i) AS last FROM entropy JOIN runs USING (run) WHERE load <= w * (log2(w) - bits) + 1e-9 GROUP BY run),
+found AS (SELECT r, class, a + first - 1 AS a, a + last - 1 + w AS e FROM hot JOIN runs USING (run)
+  WHERE NOT ({allowed('substr(m, first, last - first + w)')})),
+free AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND f.a < b.e AND b.a < f.e)),
+added AS (SELECT r, 'entropy' AS kind, 4 AS rank, a, e FROM free f WHERE class = '0'
+  OR NOT EXISTS (SELECT 1 FROM free g WHERE g.r = f.r AND g.class = '0' AND f.a < g.e AND g.a < f.e)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+sums AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, count_if(kind = 'entropy') AS n_entropy,
+  string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank, e) FILTER (kind <> 'entropy') AS plain,
+  string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, rank, e) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(plain, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_entropy, 0) AS BIGINT) AS n_entropy
+FROM d LEFT JOIN sums USING (r)
+"""

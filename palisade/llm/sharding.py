@@ -95,3 +95,25 @@ def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     return joined.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard")
+
+
+def oracle(shards: int) -> str:
+    """The same over ``documents`` as DuckDB SQL."""
+    return f"""
+WITH RECURSIVE jumps(doc_id, bucket, following, state) AS (
+  SELECT DISTINCT doc_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT),
+    CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END
+  FROM documents
+  UNION ALL
+  SELECT doc_id, following, CAST(floor((following + 1) * (2147483648::DOUBLE / ((k // 8589934592) + 1)::DOUBLE)) AS BIGINT), k
+  FROM (SELECT doc_id, following, (state * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jumps WHERE following < {shards + 1})),
+placed AS (SELECT doc_id, max(bucket) FILTER (bucket < {shards}) AS shard, max(bucket) AS grown_shard FROM jumps WHERE bucket >= 0 GROUP BY doc_id),
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+sums AS (SELECT doc_id, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, bits)
+SELECT s.doc_id, CAST(n + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY s.doc_id NULLS FIRST, crc, n) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM sums s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
+"""

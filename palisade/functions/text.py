@@ -29,14 +29,6 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(shape & in_range, value)
 
 
-def micros(timestamp: Column) -> Column:
-    return F.unix_micros(timestamp.cast("timestamp"))
-
-
-def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us)
-
-
 def utc_text(timestamp: Column) -> Column:
     return F.concat(F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
 

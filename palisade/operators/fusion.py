@@ -12,12 +12,6 @@ MAX_WEIGHT, MEAN_WEIGHT = 0.6, 0.4
 METHODS = ["rules", "anomaly", "heuristic"]
 
 
-def no_anomaly(reason: str | None = None) -> Column:
-    """The anomaly result of a disabled engine, or of a model that was never trained."""
-    reasons = F.array(F.lit(reason)) if reason else F.array().cast("array<string>")
-    return F.struct(F.lit(False).alias("isAnomaly"), F.lit(0.0).alias("score"), reasons.alias("reasons"))
-
-
 def rule_weight(severity: Column) -> Column:
     weight = F.lit(OTHER_WEIGHT)
     for name, value in RULE_WEIGHTS.items():

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +56,15 @@ class Rule:
     conditions: tuple[Condition, ...] = field(default=())
 
 
+def check_pattern(pattern: Any, label: str) -> None:
+    """Patterns run in Java's dialect; what that cannot compile is refused when the rule is read, not in a task."""
+    context = SparkContext._active_spark_context
+    try:
+        re.compile(str(pattern)) if context is None else context._jvm.java.util.regex.Pattern.compile(str(pattern))
+    except (re.error, IllegalArgumentException) as error:
+        raise RuleError(f"{label}: bad pattern {pattern!r}") from error
+
+
 def parse_rule(document: dict, origin: str = "rule") -> Rule:
     label = f"{origin}: {document.get('id') or document.get('name') or 'unnamed rule'}"
     if "name" not in document:
@@ -65,6 +77,8 @@ def parse_rule(document: dict, origin: str = "rule") -> Rule:
         operator = entry.get("operator", "equals")
         if operator not in OPERATORS:
             raise RuleError(f"{label}: unknown operator {operator!r}")
+        if operator == "regex":
+            check_pattern(entry["value"], label)
         conditions.append(Condition(entry["field"], operator, entry["value"]))
     return Rule(
         id=document.get("id", document["name"]),

@@ -205,7 +205,7 @@ def markdown(spark, folder):
 # --- reports --------------------------------------------------------------------------------
 
 
-@query("q_stage_counts", f"""
+COUNTS_SQL = f"""
 {THROTTLE_SQL}
 SELECT 'events_ingested' AS stage, (SELECT count(*) FROM events) AS n
 UNION ALL SELECT 'events_normalized', (SELECT count(*) FROM events WHERE event_id % 8 <> 7)
@@ -214,7 +214,11 @@ UNION ALL SELECT 'events_processed', (SELECT count(*) FROM base WHERE event_id %
 UNION ALL SELECT 'alerts_generated', (SELECT count(*) FROM dd)
 UNION ALL SELECT 'alerts_dispatched', (SELECT count(*) FROM thr WHERE NOT throttled)
 UNION ALL SELECT 'alerts_deduplicated', (SELECT count(*) FROM dd WHERE dup)
-UNION ALL SELECT 'alerts_throttled', (SELECT count(*) FROM thr WHERE throttled)""")
+UNION ALL SELECT 'alerts_throttled', (SELECT count(*) FROM thr WHERE throttled)"""
+
+
+@query("q_pipeline_counts", COUNTS_SQL)
+@query("q_stage_counts", COUNTS_SQL)
 def stage_counts(spark, folder):
     raw = raw_records(spark, folder)
     return me.stage_counts(raw, normalize(raw), land(outcomes(_placed(spark, folder), HOURLY_LIMIT)))

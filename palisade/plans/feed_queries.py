@@ -378,3 +378,59 @@ WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 20 GROUP BY 1""")
 def retention(spark, folder):
     kept = retained(sec_events(spark, folder), F.lit("2024-01-31"), 20)
     return kept.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+# --- collectors: provider records and their time ranges ------------------------------------------
+
+FROM_DAY, TO_DAY = "2024-01-05", "2024-01-20"
+IN_RANGE = f"us >= epoch_us(TIMESTAMP '{FROM_DAY}') AND us <= epoch_us(TIMESTAMP '{TO_DAY}')"
+
+
+def _records(spark, folder, source):
+    return raw_records(spark, folder).where(F.col("source") == source)
+
+
+def _days():
+    return F.lit(FROM_DAY).cast("timestamp"), F.lit(TO_DAY).cast("timestamp")
+
+
+@query("q_feed_trail", f"""
+WITH {BASE} SELECT 'raw-' || event_id AS event_id, event_type AS name, 'user_' || user_id AS username, us AS t_us, 'r' || (k % 4) AS region FROM base""")
+def feed_trail(spark, folder):
+    """Look-up records as the collector lands them: the event is a JSON string inside."""
+    rows = ad.base_columns(spark, folder)
+    inner = F.to_json(F.struct(F.concat(F.lit("r"), (F.col("k") % 4).cast("string")).alias("awsRegion")))
+    raw = rows.select(F.lit("aws_cloudtrail").alias("source"), F.lit("trail.json").alias("source_file"), F.to_json(F.struct(
+        F.concat(F.lit("raw-"), F.col("event_id").cast("string")).alias("EventId"), F.col("event_type").alias("EventName"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("EventTime"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("Username"), inner.alias("CloudTrailEvent"))).alias("body"))
+    return feeds.cloudtrail_records(raw).select(
+        F.col("eventId").alias("event_id"), F.col("eventName").alias("name"), "username", F.unix_micros("eventTime").alias("t_us"),
+        F.try_variant_get("cloud_trail_event", "$.awsRegion", "string").alias("region"))
+
+
+@query("q_feed_findings", f"WITH {BASE} SELECT 'raw-' || event_id AS id FROM base WHERE event_id % 8 = 1 AND k <> 13 AND {IN_RANGE}")
+def feed_findings(spark, folder):
+    found = feeds.guardduty_findings(_records(spark, folder, "aws_guardduty"), *_days())
+    return found.select(F.coalesce(F.get_json_object("body", "$.id"), F.get_json_object("body", "$.finding_id")).alias("id"))
+
+
+@query("q_feed_activity", f"""
+WITH {BASE} SELECT 'raw-' || event_id AS id, 'user_' || user_id AS caller, CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Succeeded' END AS status,
+  'Microsoft.Compute/' || event_type AS operation, '/res/' || k AS resource, CASE WHEN k <> 13 THEN us END AS t_us FROM base WHERE event_id % 8 = 3""")
+def feed_activity(spark, folder):
+    return feeds.azure_activity_records(_records(spark, folder, "azure_activity_logs")).select(
+        F.col("event_data_id").alias("id"), "caller", "status", F.col("operation_name").alias("operation"),
+        F.col("resource_id").alias("resource"), F.unix_micros("event_timestamp").alias("t_us"))
+
+
+@query("q_feed_alerts", f"WITH {BASE} SELECT 'raw-' || event_id AS id FROM base WHERE event_id % 8 = 4 AND k <> 13 AND {IN_RANGE}")
+def feed_alerts(spark, folder):
+    return feeds.azure_security_alerts(_records(spark, folder, "azure_security_center"), *_days()).select(
+        F.get_json_object("body", "$.alert_id").alias("id"))
+
+
+@query("q_feed_audit", f"WITH {BASE} SELECT 'raw-' || event_id AS id FROM base WHERE event_id % 8 = 5 AND k % 2 = 0 AND {IN_RANGE}")
+def feed_audit(spark, folder):
+    return feeds.gcp_audit_entries(_records(spark, folder, "gcp_audit_logs"), *_days()).select(
+        F.get_json_object("body", "$.insertId").alias("id"))

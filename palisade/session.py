@@ -67,9 +67,35 @@ def land(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/landed/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_landed: dict[str, list[str]] = {}
+
+
+def landed_count(spark: SparkSession) -> int:
+    """A mark for ``release``: tables landed so far."""
+    return len(_landed.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this session landed after the mark; call it once a run's results have been written.
+    Returns how many went."""
+    paths = _landed.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:]
+    for path in gone:
+        delete_folder(spark, path)
+    del paths[since:]
+    return len(gone)
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def number_rows(df: DataFrame, name: str = "rowId") -> DataFrame:
     """Landed rows with a unique ``rowId``, to tell exact copies apart; the ids are fixed once written."""
     return df if name in df.columns else land(df.withColumn(name, F.monotonically_increasing_id()))

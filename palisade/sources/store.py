@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.schema import EVENT_KEY
-from palisade.session import land
+from palisade.session import delete_folder, land
 
 # Retention in days.
 EVENT_DAYS, ALERT_DAYS = 90, 365
@@ -64,3 +64,19 @@ def expired_dates(spark: SparkSession, folder: str, as_of: Column, days: int) ->
     """Day partitions a retention job may drop."""
     return spark.read.parquet(folder).select("date").distinct().where(
         F.col("date") < F.date_sub(as_of.cast("date"), days))
+
+
+def drop_expired(spark: SparkSession, folder: str, as_of: Column, days: int) -> list[str]:
+    """Delete the day partitions that are older than the retention; returns their dates. No other file is touched."""
+    table = spark.read.parquet(folder)
+    parts = [c for c in ("sourceProvider", "date") if c in table.columns and c in folder_parts(table)]
+    old = table.select(*parts).distinct().where(F.col("date") < F.date_sub(as_of.cast("date"), days)).collect()
+    for row in old:  # a row per day and provider
+        delete_folder(spark, "/".join([folder, *[f"{c}={row[c]}" for c in parts]]))
+    return sorted({str(row["date"]) for row in old})
+
+
+def folder_parts(table: DataFrame) -> list[str]:
+    """Partition columns of a stored table, from one of its files' paths."""
+    files = table.select(F.col("_metadata.file_path").alias("f")).limit(1).collect()
+    return [p.split("=")[0] for p in files[0]["f"].split("/")[:-1] if "=" in p] if files else []

@@ -14,8 +14,9 @@ from palisade.operators.metrics import threat_rate
 from palisade.operators.normalize import (
     CLOUDTRAIL_FIELDS, from_record, is_valid, map_fields, normalize, register_projection, split_valid, to_record, unknown_records,
 )
-from palisade.operators.rules import load_rules
+from palisade.operators.rules import RuleError, load_rules, parse_rule
 from palisade.plans.detection import detect
+from palisade.session import land, landed_count, release
 from palisade.sources import feeds, store
 
 FILES = {
@@ -153,8 +154,8 @@ def test_gcp_feeds(spark):
     start, end = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
     entries = feeds.gcp_log_entries(raw, start, end, "WARNING").orderBy("insert_id").collect()
     assert [(e["insert_id"], e["text_payload"], e["json_payload"] is None) for e in entries] == [("l2", "text", True), ("l3", None, False)]
-    newest = feeds.gcp_audit_entries(raw, start, end).select(F.get_json_object("body", "$.insertId").alias("i")).collect()
-    assert [r["i"] for r in newest] == ["l3", "l1"]
+    audited = feeds.gcp_audit_entries(raw, start, end).select(F.get_json_object("body", "$.insertId").alias("i"), F.get_json_object("body", "$.timestamp").alias("t"))
+    assert [r["i"] for r in feeds.latest(audited, 5, "t", "i").collect()] == ["l3", "l1"]
     activity = feeds.azure_activity_records(raw_of(spark, "azure_activity_logs", samples.ACTIVITY[2])).first()
     assert (activity["status"], activity["category"], activity["operation_name"]) == ("Failed", "Administrative", "Microsoft.Storage/accounts/delete")
 
@@ -206,3 +207,28 @@ def test_store(spark, scratch):
     gone = store.expired_dates(spark, f"{scratch}/events", F.lit("2024-11-16"), 2)
     assert [str(r["date"]) for r in gone.collect()] == ["2024-11-13"]
     assert ids(store.retained(df, F.lit("2024-11-16"), 2)) == ["e00001", "e00002", "e00003"]
+
+
+def test_retention_drops_day_partitions(spark, scratch):
+    rows = [dict(eventId=f"e{d}", offset_us=d * 86_400_000_000) for d in range(5)]
+    df = events(spark, rows)
+    store.write_events(df, f"{scratch}/events")
+    gone = store.drop_expired(spark, f"{scratch}/events", F.lit("2024-11-17"), 2)
+    assert gone == ["2024-11-13", "2024-11-14"]
+    assert sorted(r.eventId for r in spark.read.parquet(f"{scratch}/events").collect()) == ["e2", "e3", "e4"]
+
+
+def test_release_deletes_what_was_landed(spark):
+    mark = landed_count(spark)
+    first, second = land(spark.range(3)), land(spark.range(4))
+    file = first.inputFiles()[0]
+    assert first.count() + second.count() == 7 and landed_count(spark) == mark + 2
+    assert release(spark, mark) == 2 and landed_count(spark) == mark
+    with pytest.raises(Exception, match="(?i)not.?found|not.?exist|file"):
+        spark.read.parquet(file).count()
+
+
+def test_bad_patterns_are_refused(spark):
+    with pytest.raises(RuleError):
+        parse_rule({"name": "r", "conditions": [{"field": "eventName", "operator": "regex", "value": "(?P<n>a)"}]})
+    assert parse_rule({"name": "r", "conditions": [{"field": "eventName", "operator": "regex", "value": "^a+$"}]}).conditions

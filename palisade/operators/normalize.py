@@ -319,33 +319,46 @@ PROJECTIONS = {
 def register_projection(source: str, view: str, projection) -> None:
     VIEWS[source] = view
     PROJECTIONS[source] = projection
+    _built.clear()
 
 
 def known_source() -> Column:
     return F.coalesce(F.col("source").isin(*PROJECTIONS), F.lit(False))
 
 
+_built: dict[str, tuple[dict[str, Column], list[Column]]] = {}
+
+
+def _projection(application: str) -> tuple[dict[str, Column], list[Column]]:
+    """Parsed views and event columns of all registered sources; built once per session, since every
+    micro-batch uses the same."""
+    if application not in _built:
+        views = {
+            view_name(source): F.when(F.col("source") == source, F.from_json(BODY, T.StructType.fromDDL(view)))
+            for source, view in VIEWS.items()
+        }
+        mappings = {source: projection() for source, projection in PROJECTIONS.items()}
+        columns = []
+        for field in EVENT.fields:
+            if field.name == "rawEvent":
+                value = F.try_parse_json(BODY)
+            elif field.name in ("ingestion_timestamp", "normalization_timestamp"):
+                value = F.current_timestamp()
+            else:
+                value = F.lit(None).cast(field.dataType)
+                for source, mapping in mappings.items():
+                    if field.name in mapping:
+                        value = F.when(F.col("source") == source, mapping[field.name].cast(field.dataType)).otherwise(value)
+                if field.name == "threatIndicators":
+                    value = F.coalesce(value, F.array().cast(T.ArrayType(T.StringType())))
+            columns.append(value.alias(field.name))
+        _built[application] = views, columns
+    return _built[application]
+
+
 def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Unified events of every known source; other records are left to ``unknown_records``."""
-    views = {
-        view_name(source): F.when(F.col("source") == source, F.from_json(BODY, T.StructType.fromDDL(view)))
-        for source, view in VIEWS.items()
-    }
-    mappings = {source: projection() for source, projection in PROJECTIONS.items()}
-    columns = []
-    for field in EVENT.fields:
-        if field.name == "rawEvent":
-            value = F.try_parse_json(BODY)
-        elif field.name in ("ingestion_timestamp", "normalization_timestamp"):
-            value = F.current_timestamp()
-        else:
-            value = F.lit(None).cast(field.dataType)
-            for source, mapping in mappings.items():
-                if field.name in mapping:
-                    value = F.when(F.col("source") == source, mapping[field.name].cast(field.dataType)).otherwise(value)
-            if field.name == "threatIndicators":
-                value = F.coalesce(value, F.array().cast(T.ArrayType(T.StringType())))
-        columns.append(value.alias(field.name))
+    views, columns = _projection(raw.sparkSession.sparkContext.applicationId)
     return raw.where(known_source()).withColumns(views).select(*columns, *(keep or []))
 
 

@@ -61,12 +61,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def land(df: DataFrame) -> DataFrame:
+def land(df: DataFrame, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage (a lost executor only
-    rereads files), prunes columns for the readers, and gives the optimiser a true size."""
+    rereads files), prunes columns for the readers, and gives the optimiser a true size. ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/landed/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

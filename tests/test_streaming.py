@@ -228,3 +228,15 @@ def test_store_run_reads_a_range(spark, scratch):
     start, end = (low + (high - low) / 2).strftime("%Y-%m-%d %H:%M:%S"), high.strftime("%Y-%m-%d %H:%M:%S")
     got = run_store(spark, f"{scratch}/store", load_rules(), start, end, throttling=False)
     assert ids(got, "alertId") == ids(run(df, load_rules(), start=start, end=end, throttling=False), "alertId")
+
+
+def test_grown_state_is_merged(spark, scratch, monkeypatch):
+    monkeypatch.setattr(StateTables, "MERGE", 3)
+    state = StateTables(spark, scratch)
+    for epoch in range(11):
+        for _ in range(2):  # each micro-batch once more, as after a restart
+            grown = state.grown("seen", epoch)
+            assert ids(grown, "id") == list(range(epoch)) if epoch else grown is None
+            state.add("seen", epoch, spark.range(epoch, epoch + 1).coalesce(1))
+    kept = sorted(int(p.split("=")[1]) for p in os.listdir(f"{scratch}/seen"))
+    assert kept == list(range(6, 11)) and len(os.listdir(f"{scratch}/seen-merged")) <= 2

@@ -9,7 +9,7 @@ class Memo(dict):
     """``memo[key]`` is ``make(key)``, remembered for keys up to ``longest``. Two generations of ``room`` entries are
     kept: when the younger is full it becomes the older, so what is used often stays. Memory is bounded; results are not affected."""
 
-    def __init__(self, make: Callable, room: int = 150_000, longest: int = 48):
+    def __init__(self, make: Callable, room: int = 500_000, longest: int = 48):
         super().__init__()
         self.make, self.room, self.longest, self.older = make, room, longest, {}
 

@@ -15,24 +15,27 @@ each, ordered by their ids' checksum; an empty table gives an empty store; only
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import rans
 from palisade.llm.memo import Memo
-from palisade.session import checkpoint_root
+from palisade.session import checkpoint_root, land
 
 END = 2
 #: A block is closed at the first document's end at or after so many ids.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 BLOCKS = ("part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, states binary, "
           "sizes binary, payload binary, payload_crc32 long, ids_crc32 long")
 
@@ -41,17 +44,37 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once per distinct word while it is remembered.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are its words' ids in turn.
-    Words are cut at ASCII white space only; the library itself treats any other."""
+    Words are cut at ASCII white space only; the library itself treats any other. A word of Latin letters, with or
+    without punctuation behind, goes to the library's model directly (lower case, bytes spelled as the library spells
+    them), where that was found to give what the whole library gives; any other word goes the whole way."""
+
+    LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.memo = Memo(self._ids)
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.memo, self.marks = Memo(self._ids), Memo(self._asked)
+        self.spelling: dict[int, str] = {}
+        if self.tokenizer.pre_tokenizer is not None:
+            self.spelling = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in self.LETTERS}
+        tried = ["Hello", "ÄRGER,", "élève.", "don$", "ß!?", "Naïve...", "x", "straße)", "ÞÆÐ;", "the", "ññ&&&", self.LETTERS, self.LETTERS[:-2].upper() + "-"]
+        self.direct = all(self._model_ids(self.PLAIN.fullmatch(w)) == self._asked(w.encode()) for w in tried)
+
+    def _asked(self, word: bytes) -> bytes:
+        return array(self.kind, self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+    def _model_ids(self, found: re.Match) -> bytes:
+        letters, marks = found.groups()
+        ids = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(letters.lower().translate(self.spelling))]).tobytes()
+        return ids + self.marks[marks.encode()] if marks else ids
 
     def _ids(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        if self.direct and (found := self.PLAIN.fullmatch(word.decode("utf-8"))):
+            return self._model_ids(found)
+        return self._asked(word)
 
     def encode(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8").split()
@@ -65,11 +88,11 @@ def encoder_of(model: str) -> WordEncoder:
 
 
 def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """``doc_id, ids``: little-endian unsigned 32-bit ids of each whole text, with the end id."""
-    last = np.array([end], "<u4").tobytes()
+    """``doc_id, ids``: little-endian unsigned ids of each whole text, with the end id; of 16 bits if the vocabulary allows, else of 32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
+        last = array(encoder.kind, [end]).tobytes()
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + last for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -77,26 +100,26 @@ def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     return rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, ids binary")
 
 
-def _ids(value) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), "<u4")
+def id_type(model: str) -> str:
+    """How ``token_ids`` spells them."""
+    return f"<u{array(encoder_of(model).kind).itemsize}"
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """``id, n`` over all documents; each task counts what it reads before anything is shuffled."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                seen = np.bincount(_ids(value), minlength=len(counts))
-                seen[:len(counts)] += counts
-                counts = seen
+            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(counts))
+            seen[:len(counts)] += counts
+            counts = seen
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], ["id", "n"])
 
     return tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _to_blocks(frequencies: np.ndarray):
+def _to_blocks(frequencies: np.ndarray, kind: str):
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("states", pa.binary()),
                         ("sizes", pa.binary()), ("payload", pa.binary()), ("payload_crc32", pa.int64()), ("ids_crc32", pa.int64())])
@@ -107,7 +130,7 @@ def _to_blocks(frequencies: np.ndarray):
 
         def close():
             nonlocal block, start, doc_ids, pieces, held
-            ids = np.concatenate(pieces)
+            ids = np.concatenate(pieces).astype("<u4")
             states, sizes, words = rans.encode(ids, table)
             payload = words.astype("<u4").tobytes()
             row = [part, block, start, len(ids), doc_ids, [len(p) for p in pieces], states.astype("<u8").tobytes(),
@@ -118,7 +141,7 @@ def _to_blocks(frequencies: np.ndarray):
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc_ids.append(doc_id)
-                pieces.append(_ids(value).copy())
+                pieces.append(np.frombuffer(value.as_buffer(), kind))
                 held += len(pieces[-1])
                 if held >= BLOCK_IDS:
                     yield close()
@@ -132,10 +155,9 @@ def write(rows: DataFrame, model: str, folder: str | None = None, key: str = "do
     """Write the store; returns its folder, a new one in the shared folder unless one is given."""
     spark = rows.sparkSession
     folder = folder or f"{checkpoint_root(spark)}/tokens/{uuid.uuid4().hex}"
-    scratch = f"{checkpoint_root(spark)}/landed/{uuid.uuid4().hex}"
-    token_ids(rows, model, key, text).write.option("compression", "zstd").parquet(scratch)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(scratch)
-    counts = count_ids(tokens).collect()  # a row per id of the vocabulary at most
+    tokens = land(token_ids(rows, model, key, text), compression="zstd")
+    kind = id_type(model)
+    counts = count_ids(tokens, kind).collect()  # a row per id of the vocabulary at most
     table = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         table[r.id] = r.n
@@ -144,7 +166,7 @@ def write(rows: DataFrame, model: str, folder: str | None = None, key: str = "do
     order = ["doc_id", "mark", "row"]
     ordered = tokens.select("doc_id", "ids", F.crc32("ids").alias("mark"), F.monotonically_increasing_id().alias("row")).repartitionByRange(
         *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "ids").mapInArrow(_to_blocks(frequencies), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    ordered.select("doc_id", "ids").mapInArrow(_to_blocks(frequencies, kind), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -159,7 +181,7 @@ def read_frequencies(spark: SparkSession, folder: str) -> np.ndarray:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document; ids little-endian unsigned 32-bit, start: ids before it in the store."""
     frequencies = read_frequencies(spark, folder)
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(frequencies)
@@ -177,16 +199,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 n = np.array(lengths.as_py(), np.int64)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part.as_py(), np.int32)), doc_ids.values, pa.array(start.as_py() + ends - n), pa.array(n),
+                    doc_ids.values, pa.array(before[part.as_py()] + start.as_py() + ends - n), pa.array(n),
                     pa.array([raw[4 * (e - k):4 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())], schema=schema)
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    documents = blocks.mapInArrow(work, "part int, doc_id long, place long, n_tokens long, ids binary")
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
-    offsets = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return documents.join(offsets, F.col("part") == F.col("at")).select(
-        "doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
+    # a row per writing task; each task gets them all, so that no document's ids are shuffled for its start
+    sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    before = dict(zip([r.part for r in sizes], accumulate([0] + [r.n for r in sizes])))
+    return blocks.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -72,7 +73,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Model:
     """Pieces, scores and settings of a model file's content."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, searching: bool = True):
+        """searching: also what encoding needs; decoding does without."""
         self.kind, self.prefix, self.squeeze, charsmap = UNIGRAM, True, True, b""
         self.pieces: list[tuple[str, float, int]] = []
         for number, value in _fields(content):
@@ -86,20 +88,26 @@ class Model:
                 charsmap, self.prefix, self.squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
         if self.kind not in (UNIGRAM, BPE) or charsmap:
             raise ValueError("only unigram and BPE models without a character map can be read")
+        # inside, the space is itself: strings of Latin text then take a byte a character
+        self.pieces = [(p.replace(SPACE, " ") if t in (NORMAL, USER, UNUSED) else p, x, t) for p, x, t in self.pieces]
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t in (NORMAL, USER, UNUSED)}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.characters = {p for p in self.ids if len(p) == 1}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece holds a space after other characters")
         self.least = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0) - UNKNOWN_PENALTY
+        if not searching:
+            return
+        #: What may stand side by side inside a piece; between any other two characters all paths meet.
+        self.inside = {piece[k:k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         sizes: dict[str, set[int]] = {}
         for piece in self.ids:
-            if len(piece) > 1:
-                sizes.setdefault(piece[-2:], set()).add(len(piece))
-        #: Lengths of the pieces that end with two characters; a single one is always looked at.
-        self.sizes = {tail: (*sorted(found, reverse=True), 1) for tail, found in sizes.items()}
+            if len(piece) > 2:
+                sizes.setdefault(piece[-3:], {2, 1}).add(len(piece))
+        #: Lengths, from the longest, of the pieces that end with three characters; one and two are always looked at.
+        self.sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in sizes.items()}
         self._fits: dict[int, bool] = {}
         if self.kind == BPE:
             self._read_merges()
@@ -141,7 +149,7 @@ class Model:
         key = before * len(self.pieces) + piece
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = self._tried(before, piece)
         return known
@@ -171,6 +179,39 @@ class Model:
         return [self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown]
 
 
+def extend_bpe(model: Model, text: str, last: list[int], start: list[int]) -> None:
+    """The best last piece, and where it starts, for each position of the text that has none yet."""
+    ids, sizes, known, fits, many = model.ids.get, model.sizes.get, model._fits.get, model.fits, len(model.pieces)
+    for end in range(len(last), len(text) + 1):
+        for size in sizes(text[end - 3:end], (2, 1)) if end > 2 else (2, 1):
+            if size <= end:
+                piece = ids(text[end - size:end])
+                if piece is not None:
+                    before = last[end - size]
+                    fine = known(before * many + piece)
+                    if fine or (fine is None and fits(before, piece)):
+                        last.append(piece)
+                        start.append(end - size)
+                        break
+        else:
+            last.append(-1)
+            start.append(end - 1)
+
+
+def trace(model: Model, text: str, last: list[int], start: list[int], end: int) -> list[int]:
+    """Ids of the path that ends there."""
+    out: list[int] = []
+    while end > 0:
+        piece = last[end]
+        if piece >= 0:
+            out.append(piece)
+        else:
+            out += reversed(model.fallback(text[end - 1]))
+        end = start[end]
+    out.reverse()
+    return out
+
+
 class StreamingViterbi:
     """``feed`` characters, then ``finish``; both give the ids that have become certain."""
 
@@ -188,7 +229,7 @@ class StreamingViterbi:
         out: list[int] = []
         for at in range(0, len(characters), self.LOOK):
             self.text += characters[at:at + self.LOOK]
-            self._bpe() if self.model.kind == BPE else self._unigram()
+            extend_bpe(self.model, self.text, self.last, self.start) if self.model.kind == BPE else self._unigram()
             if len(self.text) >= self.LOOK:
                 out += self._commit(range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1))
         return out
@@ -196,20 +237,6 @@ class StreamingViterbi:
     def finish(self) -> list[int]:
         return self._commit([len(self.text)])
 
-    def _bpe(self) -> None:
-        text, last, start, ids, sizes, fits = self.text, self.last, self.start, self.model.ids, self.model.sizes, self.model.fits
-        for end in range(len(last), len(text) + 1):
-            for size in sizes.get(text[end - 2:end], (1,)) if end > 1 else (1,):
-                if size <= end:
-                    piece = ids.get(text[end - size:end])
-                    if piece is not None and fits(last[end - size], piece):
-                        last.append(piece)
-                        start.append(end - size)
-                        break
-            else:
-                last.append(-1)
-                start.append(end - 1)
-
     def _unigram(self) -> None:
         model, text = self.model, self.text
         for end in range(len(self.last), len(text) + 1):
@@ -229,14 +256,8 @@ class StreamingViterbi:
             last = max(live)
             live.remove(last)
             live.add(self.start[last])
-        at = shared = live.pop()
-        path = []
-        while at > 0:
-            path.append(at)
-            at = self.start[at]
-        out: list[int] = []
-        for end in reversed(path):
-            out += [self.last[end]] if self.last[end] >= 0 else self.model.fallback(self.text[end - 1])
+        shared = live.pop()
+        out = trace(self.model, self.text, self.last, self.start, shared)
         if shared:
             self.text = self.text[shared:]
             self.last, self.start = self.last[shared:], [max(0, x - shared) for x in self.start[shared:]]
@@ -246,37 +267,58 @@ class StreamingViterbi:
 
 
 class Codec:
-    """Whole texts to little-endian 32-bit ids and back."""
+    """Whole texts to little-endian 32-bit ids."""
 
     #: Spaces and what follows them up to the next space: no piece reaches over its ends.
-    STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    STRETCH = re.compile(" *[^ ]+| +")
 
     def __init__(self, content: bytes):
         self.model = Model(content)
-        self.memo = Memo(self._search)
-        joined = [p.replace(SPACE, " ").encode() if t in (NORMAL, USER, UNUSED) else b"" for p, _, t in self.model.pieces]
-        for value, i in self.model.bytes.items():
-            joined[i] = bytes([value])
-        self.parts = joined
-
+        self.memo, self.parts_memo = Memo(self._search, room=200_000), Memo(self._path, room=50_000)
     def _search(self, stretch: str) -> bytes:
+        """A stretch's ids, by way of its parts between further boundaries that no piece reaches over."""
+        inside = self.model.inside
+        cuts = [0, *[k for k in range(1, len(stretch)) if stretch[k - 1:k + 1] not in inside], len(stretch)]
+        if len(cuts) == 2:
+            return self._path(stretch)
+        return b"".join([self.parts_memo[stretch[a:b]] for a, b in pairwise(cuts)])
+
+    def _path(self, part: str) -> bytes:
+        if self.model.kind == BPE and len(part) < StreamingViterbi.LOOK:  # the window holds it whole: nothing to commit before its end
+            last, start = [-1], [0]
+            extend_bpe(self.model, part, last, start)
+            return array("i", trace(self.model, part, last, start, len(part))).tobytes()
         search = StreamingViterbi(self.model)
-        return np.array(search.feed(stretch) + search.finish(), "<i4").tobytes()
+        return array("i", search.feed(part) + search.finish()).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+            text = re.sub(" +", " ", text.replace(SPACE, " ").strip(" "))
         if not text:
             return b""
-        line = text.replace(" ", SPACE)
-        return b"".join(map(self.memo.__getitem__, self.STRETCH.findall(SPACE + line if self.model.prefix else line)))
+        line = text.replace(SPACE, " ")
+        return b"".join(map(self.memo.__getitem__, self.STRETCH.findall(" " + line if self.model.prefix else line)))
+
+
+class Decoder:
+    """Ids back to whole texts."""
+
+    def __init__(self, content: bytes):
+        self.model = model = Model(content, searching=False)
+        self.parts = [p.encode() if t in (NORMAL, USER, UNUSED) else b"" for p, _, t in model.pieces]
+        for value, i in model.bytes.items():
+            self.parts[i] = bytes([value])
 
     def decode(self, ids) -> str:
-        parts = self.parts
-        raw = b"".join([parts[i] for i in ids])
+        raw = b"".join(map(self.parts.__getitem__, ids))
         return (raw[1:] if self.model.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def decoder_of(content: bytes) -> Decoder:
+    return Decoder(content)
+
+
 @lru_cache(maxsize=2)
 def codec_of(content: bytes) -> Codec:
     """One per worker process, kept over its tasks."""
@@ -287,27 +329,29 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(rows: DataFrame, model: bytes, text: str = "text", to: str = "ids") -> DataFrame:
-    """The input with an array of ids for each whole text; a column named ``to`` is replaced."""
-    schema = _with_column(rows, to, T.ArrayType(T.IntegerType(), False))
-    others = [c for c in rows.columns if c != to]
-    where = others.index(text) if text in others else None
-    source = rows.select(*others) if where is not None else rows
+def encode(rows: DataFrame, model: bytes, text: str = "text", to: str = "ids", check: str | None = None) -> DataFrame:
+    """The input with an array of ids for each whole text; a column named ``to`` is replaced. With ``check``, a column of that
+    name says whether decoding the ids gave the text back, worked out where the ids are, so they are not sent on for it."""
+    if text not in rows.columns or text in (to, check):
+        raise ValueError("the text's column cannot take the ids")
+    others = [c for c in rows.columns if c not in (to, check)]
+    schema = T.StructType([f for f in rows.schema.fields if f.name in others] + [T.StructField(to, T.ArrayType(T.IntegerType(), False))]
+                          + ([T.StructField(check, T.BooleanType())] if check else []))
+    where = others.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model)
+        codec, decoder = codec_of(model), decoder_of(model)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(where)]
+            texts = batch.column(where).to_pylist()
             found = [None if t is None else codec.encode(t) for t in texts]
             ends = np.cumsum([0] + [0 if b is None else len(b) // 4 for b in found])
             values = np.frombuffer(b"".join(b for b in found if b), "<i4")
-            offsets = pa.array(ends.astype(np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=pa.array([b is None for b in found], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [f.name for f in schema.fields])
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32()), pa.array(values, pa.int32()),
+                                           mask=pa.array([b is None for b in found], pa.bool_()))
+            same = [pa.array([t is None or decoder.decode(array("i", b)) == t for t, b in zip(texts, found)], pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, *same], schema.names)
 
-    if where is None:
-        raise ValueError("the text's column cannot take the ids")
-    return source.mapInArrow(work, schema)
+    return rows.select(*others).mapInArrow(work, schema)
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -317,10 +361,10 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded")
     where = others.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model)
+        decoder = decoder_of(model)
         for batch in batches:
             column = batch.column(where)
-            texts = [codec.decode(v.values.to_numpy()) if v.is_valid else None for v in column]
+            texts = [decoder.decode(v.values.to_pylist()) if v.is_valid else None for v in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
     return rows.select(*others).mapInArrow(work, schema)

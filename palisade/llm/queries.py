@@ -61,11 +61,8 @@ def piece_model() -> bytes:
 @query("op3_pieces")
 def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every text's ids, and whether decoding them gives the text back."""
-    model = piece_model()
-    coded = pieces.encode(documents(spark, folder).select("doc_id", "text"), model)
-    back = pieces.decode(coded, model)
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    coded = pieces.encode(documents(spark, folder).select("doc_id", "text"), piece_model(), check="restored")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "restored")
 
 
 @query("op7_language")

@@ -49,9 +49,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     ready(spark)
-    model = piece_model()
-    back = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    coded = pieces.encode(docs.select("doc_id", "text"), piece_model(), check="restored")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "restored")
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, pieces, pii, simhash
+from palisade.llm import decontaminate, langid, nearcopies, pieces, pii
 from palisade.llm.common import documents, fresh, ready
 from palisade.llm.queries import piece_model
 from palisade.plans.registry import query
@@ -29,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays."""
+    """Texts with a five-word Jaccard similarity of 0.8 or more are linked; the smallest doc_id of each component stays."""
     ready(spark)
-    return simhash.one_of_each(docs)
+    return nearcopies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,198 @@
+"""Near copies by five-word Jaccard similarity: MinHash bands propose, SimHash fingerprints sort and sift, exact sets decide.
+
+Texts with one set of shingles are one class, of which everything below sees one row. A class has ``BANDS`` band hashes of
+``ROWS`` minima each; two classes at ``SIMILARITY`` share a band with a probability of 1 - (1 - 0.8**4)**16 = 0.9998. Classes
+that share a band form a group, in which those whose sizes and fingerprints (of distinct five-word shingles) allow the
+similarity are proposed to each other: all pairs of a group of up to ``WHOLE`` classes; in a larger one each class with its
+``NEXT`` followers in Gray order of the fingerprint, which every band turns to another place, so that the work stays linear.
+Groups over ``GROUP_ROWS`` are dealt out by hash, differently in each band. Every proposed pair is compared shingle by shingle.
+
+Rules for odd input: words are those of ``words``; a text of fewer than five has one shingle, its words; one without words, null
+included, is like only the same text without white space around it; equal rows go but for one; a null doc_id comes last.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palisade.llm.common import fresh
+from palisade.llm.components import components
+from palisade.llm.simhash import _SIGN, BITS, gray_rank
+from palisade.llm.words import mix, shingle_hashes, shingles, word_hashes, words
+from palisade.session import land
+
+WIDTH = 5
+#: In tenths, so that sizes are compared in whole numbers.
+SIMILARITY = 8
+BANDS, ROWS = 16, 4
+#: At the similarity two fingerprints differ in about 10 of 64 bits, with a deviation of 3.
+DISTANCE = 24
+WHOLE, NEXT, GROUP_ROWS = 64, 2, 2048
+_STEP, _STRETCH = 1 << 11, 1 << 15
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = mix(_SEEDS) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> set[str]:
+    found = words(text)
+    return shingles(text, WIDTH) if len(found) >= WIDTH else {" ".join(found)} if found else set()
+
+
+def alike(a: set[str], b: set[str]) -> bool:
+    shared = len(a & b)
+    return 10 * shared >= SIMILARITY * (len(a) + len(b) - shared) and shared > 0
+
+
+def _sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
+    """Fingerprint and band hashes of distinct shingle hashes."""
+    ones = np.zeros(BITS, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(found), _STEP):
+        part = found[k:k + _STEP]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((part[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]).min(axis=1))
+    fp = np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)[0]
+    band = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        band = mix(band + least[r::ROWS])
+    return fp, band
+
+
+def sketches(rows: DataFrame, row: str, key: str, text: str) -> DataFrame:
+    """``row, doc_id, class, n, fp, bands``; class: a digest of the set of shingles."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(2).to_pylist(), []
+            for place, hashes in word_hashes(texts):
+                found = np.unique(shingle_hashes(hashes, min(WIDTH, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
+                if len(found):
+                    fp, bands = _sketch(found)
+                    out.append((place, xxhash.xxh128_hexdigest(found.tobytes()), len(found), int(fp.view(np.int64)), bands.view(np.int64)))
+                else:
+                    bare = (texts[place] or "").strip().encode("utf-8", "surrogatepass")
+                    out.append((place, "bare" + xxhash.xxh128_hexdigest(bare), 0, 0, np.zeros(0, np.int64)))
+            if out:
+                place, name, n, fp, bands = zip(*out)
+                taken = batch.take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([
+                    taken.column(0), taken.column(1), pa.array(name), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
+                    pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "class", "n", "fp", "bands"])
+
+    asked = rows.select(F.col(row).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return asked.mapInArrow(work, "row long, doc_id long, class string, n long, fp long, bands array<long>")
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """``group, rank, node, n, fp``, a row per class and band; ranks are of fingerprints turned by the band."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = batch.column(2).to_numpy().view(np.uint64)
+            groups = batch.column(3).flatten().to_numpy().reshape(-1, BANDS)
+            for band in range(BANDS):
+                by = np.uint64(band * BITS // BANDS)
+                turned = (fp << by) | (fp >> np.uint64((BITS - int(by)) % BITS))
+                rank = (gray_rank(turned) ^ _SIGN).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(groups[:, band]), pa.array(rank), batch.column(0), batch.column(1), batch.column(2)],
+                                                 ["group", "rank", "node", "n", "fp"])
+
+    return classes.where("n > 0").select("node", "n", "fp", "bands").mapInArrow(work, "group long, rank long, node long, n long, fp long")
+
+
+def _proposed(group: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of sorted whole groups (numbered from 0) that may be alike."""
+    size = np.bincount(group)[group]
+    reach = np.where(size <= WHOLE, WHOLE, NEXT)
+    at, left, right = np.flatnonzero(size > 1), [], []
+    for step in range(1, WHOLE):
+        at = at[(at + step < len(group)) & (reach[at] >= step)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        to = at + step
+        fine = (np.bitwise_count(fp[at] ^ fp[to]) <= DISTANCE) & (10 * np.minimum(n[at], n[to]) >= SIMILARITY * np.maximum(n[at], n[to]))
+        left.append(node[at[fine]])
+        right.append(node[to[fine]])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """``a, b`` nodes of a ``banded`` (written) table to compare."""
+    large = rows.groupBy("group").count().where(F.col("count") > GROUP_ROWS).select(
+        F.col("group").alias("of"), F.ceil(F.col("count") / GROUP_ROWS).alias("parts"))
+    dealt = rows.join(F.broadcast(large), F.col("group") == F.col("of"), "left").select(
+        "group", F.coalesce(F.pmod(F.xxhash64("node", "group"), F.col("parts")), F.lit(0)).alias("part"), "rank", "node", "n", "fp")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def out(columns):
+            group, part, _, node, n, fp = columns
+            new = (group[1:] != group[:-1]) | (part[1:] != part[:-1])
+            a, b = _proposed(np.concatenate(([0], np.cumsum(new))), node, n, fp.view(np.uint64))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= _STRETCH:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                other = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield from out([x[:cut] for x in whole])
+                held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
+        if held:
+            yield from out([np.concatenate(x) for x in zip(*held)])
+
+    sent = dealt.repartition("group", "part").sortWithinPartitions("group", "part", "rank", "node")
+    return sent.mapInArrow(work, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts (``node, text``) are alike."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            keep = []
+            for place, (a, one, other) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
+                if a != last:
+                    last, own = a, shingle_set(one)
+                if alike(own, shingle_set(other)):
+                    keep.append(place)
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
+    both = pairs.join(other, "b").join(one, "a").select("a", "b", "one", "other")
+    return both.sortWithinPartitions("a").mapInArrow(work, "a long, b long")
+
+
+def one_of_each(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without their near copies: of each component the row with the smallest id stays; all columns as they are."""
+    row = fresh(rows, "row")
+    marked = land(rows.withColumn(row, F.monotonically_increasing_id()))
+    found = land(sketches(marked, row, key, text))
+    classes = land(found.groupBy("class").agg(
+        F.min("row").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")))
+    pairs = land(proposals(land(banded(classes))))
+    texts = marked.select(F.col(row).alias("node"), F.col(text).alias("text"))
+    roots = land(components(land(verified(pairs, texts))).withColumnRenamed("node", "linked"))
+    named = classes.join(roots, F.col("node") == F.col("linked"), "left").select(
+        F.coalesce("root", "node").alias("root"), "best")
+    kept = land(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("kept")))
+    return marked.join(kept, F.col(row) == F.col("kept"), "left_semi").drop(row)

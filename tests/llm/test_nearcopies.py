@@ -1,0 +1,87 @@
+"""Near copies by five-word similarity against brute force: the operator, and the pipeline's stage."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from palisade.llm import nearcopies, queries
+from palisade.llm.words import words
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_set(text):
+    found = words(text)
+    return {tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def plain_kept(rows):
+    """Ids that stay of (id, text): links at 0.8, smallest id of each component."""
+    sets = [plain_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            same = (rows[i][1] or "").strip() == (rows[j][1] or "").strip() if not a and not b else False
+            if same or (a & b and 10 * len(a & b) >= 8 * len(a | b)):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), d), d)
+    return set(best.values())
+
+
+def edited(rng, text, times):
+    found = text.split()
+    for _ in range(times):
+        found[rng.randrange(len(found))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(found)
+
+
+def planted():
+    """Texts, copies with 1 to 9 changed words of 230 (similar at 0.8 up to about five), short and odd ones."""
+    rng, rows = random.Random(4), []
+    for k in range(40):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(230))
+        rows += [(10 * k, base), (10 * k + 1, base.upper() + " !")] + [(10 * k + 2 + t, edited(rng, base, 1 + (k + 2 * t) % 9)) for t in range(3)]
+    odd = [None, "", " ", "?!", "!?", "one two", "One, two", "one two three four five", "one two three four six"]
+    return rows + list(enumerate(odd, 1000))
+
+
+def test_near_copies_go(spark):
+    rows = planted()
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, row int")
+    kept = nearcopies.one_of_each(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == plain_kept(rows)
+    assert nearcopies.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [2048, 100])
+def test_a_large_group_of_near_copies(spark, monkeypatch, group_rows):
+    """More classes in a group than are compared pair by pair."""
+    monkeypatch.setattr(nearcopies, "GROUP_ROWS", group_rows)
+    rng = random.Random(5)
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, edited(rng, base, 2)) for i in range(500)]
+    kept = nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == plain_kept(rows) == {0}
+
+
+def test_the_stage_drops_near_copies(spark):
+    docs = queries.documents(spark, SF)
+    rng = random.Random(6)
+    long = [r.text for r in docs.where(F.size(F.split("text", " ")) > 200).orderBy("doc_id").limit(5).collect()]
+    extra = [(900_000 + i, edited(rng, t, 3)) for i, t in enumerate(long)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], docs.schema))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect()}
+    assert kept == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert not kept & {i for i, _ in extra}

@@ -28,15 +28,26 @@ def store_exists(spark: SparkSession, folder: str) -> bool:
         return False
 
 
+def _flow_content(df: DataFrame) -> Column:
+    """What tells flow records of one millisecond apart, which is all their id says; empty for other events. What a run
+    adds (enrichment, its own times) is left out."""
+    if "sourceService" not in df.columns:
+        return F.lit("")
+    said = [F.coalesce(F.to_json(c), F.lit("")) for c in ("network", "rawEvent") if c in df.columns]
+    return F.when(F.col("sourceService") == "vpc_flow_logs", F.sha2(F.concat_ws("\x1f", *said), 256)).otherwise("")
+
+
 def merge_events(events: DataFrame, folder: str) -> None:
-    """Add events to the store; those delivered again replace their earlier copies, all others stay."""
+    """Add events to the store; those delivered again replace their earlier copies, all others stay. Flow records count as
+    delivered again if their content is the same too."""
     spark = events.sparkSession
     if not store_exists(spark, folder):
         return write_events(events, folder)
     events = land(events)
     touched = events.select(F.to_date("timestamp").alias("date")).distinct()
     stored = spark.read.parquet(folder).join(F.broadcast(touched), "date", "left_semi").drop("date")  # a row per day
-    kept = stored.join(events.select(*EVENT_KEY).distinct(), EVENT_KEY, "left_anti")
+    again = events.select(*EVENT_KEY, _flow_content(events).alias("flow_content")).distinct()
+    kept = stored.withColumn("flow_content", _flow_content(stored)).join(again, [*EVENT_KEY, "flow_content"], "left_anti")
     write_events(land(kept.select(*events.columns).unionByName(events)), folder, mode="overwrite")
 
 

@@ -195,6 +195,20 @@ def test_second_run_keeps_the_first_days_store(spark, scratch):
     assert sorted(ids(spark.read.parquet(store))) == sorted(ids(first) + ids(second))
 
 
+def test_flows_of_one_millisecond_stay_in_the_store(spark, scratch):
+    def flows(*ports):
+        bodies = [f'{{"timestamp": 1710000000000, "src_addr": "10.0.0.1", "dst_addr": "10.0.0.2", "src_port": "{p}", "dst_port": "443",'
+                  f' "protocol": "6", "packets": "3", "bytes": "120", "action": "ACCEPT"}}' for p in ports]
+        return events_from_raw(spark.createDataFrame([("aws_vpc_flow_logs", "f", b) for b in bodies], "source string, source_file string, body string"))
+
+    store = f"{scratch}/store"
+    assert flows(1, 2).select("eventId").distinct().count() == 1
+    merge_events(flows(1, 2), store)
+    merge_events(flows(2, 3), store)  # 2 is delivered again
+    merge_events(flows(4), store)
+    assert sorted(r.port for r in spark.read.parquet(store).select(F.col("network.source_port").alias("port")).collect()) == [1, 2, 3, 4]
+
+
 def test_raw_run_keeps_unknown_and_rejected_records(spark, scratch):
     raw = land(raw_records(spark, DATA))
     odd = raw.limit(5).withColumn("source", F.lit("somewhere_else"))

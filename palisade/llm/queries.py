@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, merkle, neighbours, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
+from palisade.llm import decontaminate, langid, merkle, negatives, neighbours, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
 from palisade.llm.common import documents, ready
 from palisade.plans.registry import query
 from palisade.session import read_table
@@ -84,3 +84,8 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_merkle", merkle.oracle())
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(documents(spark, folder))
+
+
+@query("op11_hard_negatives", negatives.ORACLE)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.report(read_table(ready(spark), folder, "embeddings"))

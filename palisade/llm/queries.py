@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, merkle, negatives, neighbours, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
+from palisade.llm import bpe, decontaminate, langid, merkle, negatives, neighbours, pieces, pii, secrets, sharding, simhash, tokenfile, webtext
 from palisade.llm.common import documents, ready
 from palisade.plans.registry import query
 from palisade.session import read_table
@@ -89,3 +89,9 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_hard_negatives", negatives.ORACLE)
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.report(read_table(ready(spark), folder, "embeddings"))
+
+
+@query("op12_bpe")
+def bpe_ids(spark: SparkSession, folder: str) -> DataFrame:
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
+        return bpe.report(documents(spark, folder), file.read())

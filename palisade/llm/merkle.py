@@ -155,7 +155,7 @@ def build(rows: DataFrame, digest: Column, group: str, key: str, carried: dict[s
     carried = {key: F.col(key)} | (carried or {})
     name = F.coalesce(F.concat(F.lit("s"), F.col(group).cast("string")), F.lit("n"))  # null before all others
     leaves = rows.select(name.alias("tree"), digest.alias("digest"), F.struct(*[c.alias(n) for n, c in carried.items()]).alias("with"))
-    leaves = leaves.withColumn("key", F.col("with")[key])
+    leaves = land(leaves.withColumn("key", F.col("with")[key]))  # dealing by ranges reads its input twice: texts only once
     groups = grow(_placed(leaves, "key", "digest", "with").select("tree", "at", "n", "digest", *[F.col("with")[n].alias(n) for n in carried]), list(carried))
     subroots = groups.roots.select(F.lit("root").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
     return Manifest(groups, grow(_placed(subroots, "name"), ["name"]), list(carried))

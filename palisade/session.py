@@ -79,14 +79,14 @@ def landed_count(spark: SparkSession) -> int:
     return len(_landed.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables this session landed after the mark; call it once a run's results have been written.
-    Returns how many went."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables this session landed after the mark, but for the newest ``keep``; call it once results have been
+    written. Returns how many went."""
     paths = _landed.get(spark.sparkContext.applicationId, [])
-    gone = paths[since:]
+    gone = paths[since:max(since, len(paths) - keep)]
     for path in gone:
         delete_folder(spark, path)
-    del paths[since:]
+    del paths[since:since + len(gone)]
     return len(gone)
 
 

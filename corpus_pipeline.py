@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, nearcopies, pieces, pii
+from palisade.llm import decontaminate, langid, pieces, pii, simhash
 from palisade.llm.common import documents, fresh, ready
 from palisade.llm.queries import piece_model
 from palisade.plans.registry import query
-from palisade.session import land, read_table
+from palisade.session import land, landed_count, read_table, release
 
 #: A language is not taken on less than this probability; with four languages even a blind guess has a quarter.
 LEAST_SCORE = 0.3
@@ -29,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a five-word Jaccard similarity of 0.8 or more are linked; the smallest doc_id of each component stays."""
+    """Texts whose three-word fingerprints differ in two bits or fewer are linked; the smallest doc_id of each component stays."""
     ready(spark)
-    return nearcopies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ ORACLE_SQL = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, mark = documents(spark, sf_dir), landed_count(spark)
     for _, stage in STAGES[:-1]:
         docs = land(stage(spark, docs, sf_dir))
+        release(spark, mark, keep=1)  # what the stage landed on its way, and what it was given
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -127,6 +127,8 @@ class Model:
         self.inner = [vocabulary[x] for x in letters]
         self.last = [vocabulary[x + self.suffix] for x in letters]
         pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        if any(t not in vocabulary for a, b in pairs for t in (a, b, a + b)):
+            raise ValueError("a rule uses or makes a token that the vocabulary does not have")
         self.size = dict.fromkeys(self.inner + self.last, 1)  # bytes of a token
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
         self.lookahead = self._read([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs])
@@ -192,7 +194,7 @@ class Transducer:
 
     def __init__(self, model: Model):
         self.model, self.held = model, bytearray()
-        self.window = 2 * model.lookahead + 1
+        self.window = 2 * model.lookahead + 2
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
@@ -204,7 +206,7 @@ class Transducer:
 
     def _stable(self) -> list[int]:
         tokens = self.model.cut([self.model.inner[b] for b in self.held])
-        end, safe, count = 0, len(self.held) - self.model.lookahead, 0
+        end, safe, count = 0, len(self.held) - 1 - self.model.lookahead, 0  # the last byte may turn out to end the word
         for token in tokens:
             if end + self.model.size[token] > safe:
                 break

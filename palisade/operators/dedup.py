@@ -2,9 +2,11 @@
 
 The anchors of one fingerprint form a chain: the next anchor is the first alert at least one
 window after the last. Only distinct instants matter, so alerts are first reduced to
-(fingerprint, instant) counts. Chains are followed by pointer doubling: every instant points to the
+(fingerprint, instant) counts. A fingerprint of few instants, as nearly all are, is folded over its sorted
+instants in one pass. The chains of the others are followed by pointer doubling: every instant points to the
 instant that would be the next anchor, and repeated joins on unique keys mark all chains in a
-logarithmic number of rounds, with no group of a fingerprint ever gathered.
+logarithmic number of rounds. Their instants are never gathered; what is ordered at once is one slice of a
+fingerprint, a run of its occupied slices, or one row for each of its runs.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from palisade.session import land, number_rows
 WINDOW_US = 60 * 60_000_000
 SLICES = 60
 
+#: Instants of a fingerprint up to which they are folded in one row, and slices ordered at once.
+FOLD, RUN = 512, 1024
+
 FIRST = "struct<alertId:string,rowId:bigint>"
 
 
@@ -47,11 +52,7 @@ def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame
                                                               F.lit(None).cast("bigint").alias("hi")))
         .groupBy("fingerprint", "slice").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
-    forward = Window.partitionBy("fingerprint").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy("fingerprint").orderBy(F.col("slice").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    slices = slices.withColumn("prev_hi", F.last("hi", ignorenulls=True).over(forward)).withColumn(
-        "next_lo", F.last("lo", ignorenulls=True).over(backward))
+    slices = _with_neighbours(slices)
     heads = slices.where("lo is not null").where(
         F.col("prev_hi").isNull() | (F.col("lo") - F.col("prev_hi") >= window_us)
     ).select("fingerprint", F.col("lo").alias("t"))
@@ -75,8 +76,47 @@ def _successors(points: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame
     return heads, jumps.select("fingerprint", "t", "nxt")
 
 
+def _with_neighbours(slices: DataFrame) -> DataFrame:
+    """Add ``prev_hi``, the last instant before a slice, and ``next_lo``, the first after it. Slices are ordered in runs; from
+    run to run one row is carried."""
+    placed = slices.withColumn("run", F.floor(F.col("slice") / RUN))
+    inside, runs = Window.partitionBy("fingerprint", "run"), Window.partitionBy("fingerprint")
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (inside.orderBy("slice"), inside.orderBy(F.desc("slice"))))
+    earlier, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (runs.orderBy("run"), runs.orderBy(F.desc("run"))))
+    ends = placed.groupBy("fingerprint", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = ends.select("fingerprint", "run", F.last("hi", ignorenulls=True).over(earlier).alias("run_before"),
+                       F.last("lo", ignorenulls=True).over(later).alias("run_after"))
+    return placed.join(ends, ["fingerprint", "run"]).select(
+        "fingerprint", "slice", "lo", "hi",
+        F.coalesce(F.last("hi", ignorenulls=True).over(before), F.col("run_before")).alias("prev_hi"),
+        F.coalesce(F.last("lo", ignorenulls=True).over(after), F.col("run_after")).alias("next_lo"))
+
+
+def _folded(points: DataFrame, window_us: int) -> DataFrame:
+    """The anchors of fingerprints with few instants."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("anchors"))
+
+    def step(state, t):
+        opens = state.last.isNull() | (t - state.last >= window_us)
+        return F.when(opens, F.struct(t.alias("last"), F.concat(state.anchors, F.array(t)).alias("anchors"))).otherwise(state)
+
+    sorted_instants = points.groupBy("fingerprint").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return sorted_instants.select("fingerprint", F.explode(F.aggregate("ts", start, step).anchors).alias("t"))
+
+
 def anchors_of(points: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """(fingerprint, t): the instants that open a window. After k rounds the first 2^k of every chain are known."""
+    """(fingerprint, t): the instants that open a window."""
+    points = points.select("fingerprint", "t")
+    many = points.groupBy("fingerprint").count().where(F.col("count") > FOLD).select("fingerprint")
+    if many.isEmpty():
+        return _folded(points, window_us)
+    many = land(many)
+    few = _folded(points.join(many, "fingerprint", "left_anti"), window_us)
+    return few.unionByName(_doubled(points.join(many, "fingerprint", "left_semi"), window_us))
+
+
+def _doubled(points: DataFrame, window_us: int) -> DataFrame:
+    """The same by pointer doubling: after k rounds the first 2^k anchors of every chain are known."""
     heads, jumps = _successors(points, window_us)
     reached, jumps = land(heads), land(jumps)
     while True:

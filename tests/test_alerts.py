@@ -1,20 +1,24 @@
 """Fusion, alerts, de-duplication and throttling."""
 
+import logging
 import random
+import re
 from datetime import datetime, timedelta
 
-import pandas as pd
+import numpy as np
 import pytest
 from helpers import events
 from pyspark.sql import functions as F
 
+from palisade.operators import dedup as dedup_module
+from palisade.operators import throttle as throttle_module
 from palisade.operators.alerts import alert_severity, build_alerts, fingerprint
 from palisade.operators.anomaly import with_anomaly
 from palisade.operators.dedup import alert_groups, deduplicate
 from palisade.operators.fusion import overall_score
 from palisade.operators.payloads import alert_markdown, payloads, register_channel, route, with_occurrences, write_payloads
 from palisade.operators.rules import load_rules
-from palisade.operators.throttle import _fold, outcomes, passing_instants, throttle
+from palisade.operators.throttle import outcomes, passing_instants, taken, throttle
 from palisade.plans.detection import detect
 
 DAY = datetime(2024, 1, 1)
@@ -107,6 +111,17 @@ def test_dedup_brute_force(spark, seed):
     assert {r["alertId"]: (r["duplicate"], r["anchor"]) for r in got} == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("fold,run", [(0, 1), (0, 5), (40, 3), (10**6, 1024)])
+def test_dedup_by_either_way(spark, monkeypatch, fold, run):
+    """Fingerprints of one instant up to hundreds: folded, doubled, or some of each, with the same result."""
+    monkeypatch.setattr(dedup_module, "FOLD", fold)
+    monkeypatch.setattr(dedup_module, "RUN", run)
+    rng = random.Random(7)
+    rows = [(f"id{i:04d}", rng.choice("aaaaaabbbcd") + rng.choice(["", "", "", str(i)]), at(rng.choice([rng.random() * 9000, rng.randrange(900) * 10]))) for i in range(900)]
+    got = deduplicate(alert_rows(spark, rows), WINDOW).collect()
+    assert {r["alertId"]: (r["duplicate"], r["anchor"]) for r in got} == brute_dedup(rows)
+
+
 def test_dedup_with_open_windows(spark):
     rows = [("a1", "f", at(30)), ("a2", "f", at(59.9)), ("a3", "f", at(60)), ("b1", "g", at(1))]
     opened = spark.createDataFrame([("f", at(0))], "fingerprint string, anchor timestamp")
@@ -136,10 +151,15 @@ def admit(points, limit, window):
     return out
 
 
-def test_admit_small():
-    frame = pd.DataFrame([(0, t, n, True) for t, n in [(0, 3), (5, 2), (11, 4)]], columns=["stretch", "t", "n", "busy"])
-    parts = list(_fold(4, 10)(iter([frame[:2], frame[2:]])))
-    assert [tuple(r) for p in parts for r in p.to_numpy().tolist()] == [(0, 3), (5, 1), (11, 3)]
+def test_taken():
+    assert taken(np.array([0, 5, 11]), np.array([3, 2, 4]), 4, 10).tolist() == [3, 1, 3]
+    rng = random.Random(5)
+    for _ in range(300):
+        window, limit = rng.randint(1, 30), rng.randint(1, 6)
+        times = sorted(rng.sample(range(200), rng.randint(1, 80)))
+        points = [(t, rng.randint(1, limit)) for t in times]
+        got = taken(np.array(times), np.array([n for _, n in points]), limit, window)
+        assert [(t, k) for t, k in zip(times, got.tolist()) if k] == admit(points, limit, window)
 
 
 @pytest.mark.parametrize("seed,window,limit", [(1, 60, 3), (2, 600, 5), (3, 7, 2), (4, 60_000, 40)])
@@ -163,6 +183,23 @@ def test_one_long_stretch(spark):
 
 
 
+@pytest.mark.parametrize("every,limit,eager", [(97, 5, 2), (97, 5, 0), (700, 3, 50), (13, 1, 2)])
+def test_one_busy_week(spark, monkeypatch, caplog, every, limit, eager):
+    """Alerts over the limit at every moment of a week, cut into runs of a few hours: guesses of the state are wrong again
+    and again and have to be repaired, side by side or along the chain."""
+    hour, rng = 3_600_000_000, random.Random(every)
+    times = sorted({int(rng.random() * 168 * hour) for _ in range(168 * 3600 // every)})
+    points = [(t, rng.choice([1, 1, 2, limit])) for t in times]
+    df = spark.createDataFrame(points, "t long, n long")
+    monkeypatch.setattr(throttle_module, "RUN_ROWS", 12 * 60 * max(1, 60 // every + 1))
+    monkeypatch.setattr(throttle_module, "EAGER", eager)
+    with caplog.at_level(logging.INFO, logger=throttle_module.__name__):
+        got = sorted((r.t, r["take"]) for r in passing_instants(df, limit, hour).where("take > 0").collect())
+    assert got == admit([(t, min(n, limit)) for t, n in points], limit, hour)
+    slices, rounds = (int(x) for x in re.search(r"runs of (\d+) slices, (\d+) rounds", caplog.text).groups())
+    assert slices <= 16 * 60 and 0 < rounds <= eager + 1
+
+
 @pytest.mark.parametrize("limit,count", [(5, 400), (20, 600), (3, 40)])
 def test_throttle_brute_force(spark, limit, count):
     rng = random.Random(limit)

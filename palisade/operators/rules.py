@@ -19,6 +19,8 @@ OPERATORS = [
     "equals", "not_equals", "contains", "not_contains", "in", "not_in", "regex",
     "greater_than", "less_than", "exists", "not_exists",
 ]
+#: Enabled rules from which on a pack is indexed instead of written out as one expression.
+INDEX_FROM = 200
 RULES_PER_ARRAY = 64  # keeps each generated expression small when there are many rules
 PACK = os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules")
 
@@ -238,7 +240,7 @@ def _compare(f: Resolved, value: Any, greater: bool) -> Column:
     wanted = _literal_kind(value)
     column = f.column
     if f.kind == "variant":
-        column = _variant_as(f.column, wanted)
+        column = _variant_as(f.column, wanted).cast("int") if wanted == "boolean" else _variant_as(f.column, wanted)
     elif f.kind != wanted and not (f.kind == "boolean" and wanted == "number"):
         return F.lit(False)  # values that cannot be ordered never match
     elif f.kind == "boolean":
@@ -284,10 +286,13 @@ def rule_column(schema: T.StructType, rule: Rule) -> Column:
 
 def matched_rules(schema: T.StructType, rules: list[Rule]) -> Column:
     """Array of the matching rules in catalogue order."""
+    return matched_numbered(schema, [(i, r) for i, r in enumerate(rules, start=1) if r.enabled])
+
+
+def matched_numbered(schema: T.StructType, numbered: list[tuple[int, Rule]]) -> Column:
+    """The same for enabled rules with their places in the catalogue."""
     entries = []
-    for ordinal, rule in enumerate(rules, start=1):
-        if not rule.enabled:
-            continue
+    for ordinal, rule in numbered:
         tags = F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>")
         record = F.struct(
             F.lit(ordinal).alias("ordinal"),
@@ -312,5 +317,10 @@ MATCHED_TYPE = (
 )
 
 
-def with_matched_rules(events: DataFrame, rules: list[Rule]) -> DataFrame:
+def with_matched_rules(events: DataFrame, rules: list[Rule], index_from: int = INDEX_FROM) -> DataFrame:
+    """Packs of ``index_from`` enabled rules or more go through the predicate index; the result is the same."""
+    if len(enabled_rules(rules)) >= index_from:
+        from palisade.operators import ruleindex
+
+        return ruleindex.with_matched_rules(events, rules)
     return events.withColumn("matchedRules", matched_rules(events.schema, rules))

@@ -92,3 +92,38 @@ def rule_stats(spark, folder):
     hits = events.select(F.explode("matchedRules").alias("r")).groupBy(F.col("r.id").alias("id")).agg(F.count("*").alias("m"))
     return rules_frame(spark, rules).join(hits, "id", "left").select(
         "id", "severity", "enabled", F.size("tags").alias("n_tags"), F.coalesce("m", F.lit(0)).alias("matches"))
+
+
+# --- a large pack ---------------------------------------------------------------------------
+
+#: Rules of the generated pack; the same conditions stand below in SQL, by the rule's number.
+LARGE_PACK = 1500
+
+
+def large_pack() -> list[Rule]:
+    """Narrow rules of every kind of access, among them some that no index can file."""
+    def conditions(n):
+        return [
+            [("sourceProvider", "equals", "aws"), ("actor.username", "equals", f"user_{n}")],
+            [("actor.username", "in", [f"user_{n}", f"user_{n + 1}"]), ("resource.resourceId", "contains", f"-{n % 25}")],
+            [("eventName", "regex", "^(Delete|Terminate).*s?$"), ("network.bytesSent", "greater_than", n * 1_000_000), ("network.source_port", "equals", 1024 + n % 100)],
+            [("eventName", "contains", "Policy"), ("actor.ipAddress", "equals", f"203.0.113.{n % 20}"), ("actor.username", "contains", f"_{n}")],
+            [("requestParameters.mfaUsed", "equals", n % 2 == 0), ("risk_score", "greater_than", 0.94 + n / 30_000), ("sourceProvider", "not_equals", "gcp")],
+        ][n % 5 if n % 100 != 4 else 4]
+
+    return [Rule(id=f"large-{n}", name=f"large {n}", conditions=tuple(Condition(*c) for c in conditions(n)))
+            for n in range(LARGE_PACK) if n % 5 != 4 or n % 100 == 4]
+
+
+@query("q_rule_index", f"""
+WITH {sec()}, hits AS (SELECT eventId, n FROM sec, range({LARGE_PACK}) r(n) WHERE CASE
+  WHEN n % 5 = 0 THEN provider = 'aws' AND username = 'user_' || n
+  WHEN n % 5 = 1 THEN username IN ('user_' || n, 'user_' || (n + 1)) AND contains(resource, '-' || (n % 25))
+  WHEN n % 5 = 2 THEN regexp_matches(name, '^(Delete|Terminate).*s?$') AND bytes > n * 1000000 AND k + 1024 = 1024 + n % 100
+  WHEN n % 5 = 3 THEN contains(name, 'Policy') AND ip = '203.0.113.' || (n % 20) AND contains(username, '_' || n)
+  WHEN n % 100 = 4 THEN mfa = (n % 2 = 0) AND coalesce(risk > 0.94::DOUBLE + n::DOUBLE / 30000::DOUBLE, false) AND provider <> 'gcp' ELSE false END)
+SELECT eventId, count(*) AS n_rules, string_agg('large-' || n, '|' ORDER BY n) AS rules FROM hits GROUP BY 1""")
+def rule_index(spark, folder):
+    judged = with_matched_rules(sec_events(spark, folder), large_pack())
+    return judged.where(F.size("matchedRules") > 0).select(
+        "eventId", F.size("matchedRules").cast("long").alias("n_rules"), F.array_join("matchedRules.id", "|").alias("rules"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import first_nonempty, ipv4_number, lookup_ip
+from palisade.functions.text import first_nonempty, lookup_ip
 from palisade.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from palisade.operators.prefixes import match, with_prefixes
 from palisade.schema import ENRICHMENT, GEO, typed_struct
 from palisade.session import land
 
@@ -16,36 +17,27 @@ DEFAULT_FEED = "threat_feed_placeholder"
 UNKNOWN = "Unknown"
 DEFAULT_CRITICALITY = "medium"
 DEFAULT_RISK, RISK_FACTOR, RISK_CAP = 0.5, 2.0, 1.0
-BLOCK = 65536  # ranges are matched per /16 block
-
-
-def block_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges (start_ip, end_ip, …) repeated for each /16 block they touch."""
-    numbered = ranges.withColumn("start", ipv4_number(F.col("start_ip"))).withColumn(
-        "end", ipv4_number(F.col("end_ip")))
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))
-    return numbered.where(F.col("start") <= F.col("end")).withColumn("block", F.explode(blocks)).drop("start_ip", "end_ip")
 
 
 def locate(rows: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
     """Add the ``geo`` struct of the address column ``ip`` (placeholders where no range holds it).
 
-    Distinct addresses are located first, so a busy address repeats neither the range match nor its
-    shuffle. Of overlapping ranges the narrowest holds, so no row is ever multiplied."""
+    ``ranges``: start_ip, end_ip and the fields of the location, IPv4 or IPv6. Distinct addresses are located first, so a
+    busy address repeats neither the match nor its shuffle. Of overlapping ranges the narrowest holds, of equally narrow
+    ones the first, so no row is ever multiplied."""
     distinct = rows.select(ip).where(F.col(ip).isNotNull()).distinct()
-    located = land(_match_ranges(distinct, ip, block_ranges(ranges)))
+    located = land(_match_ranges(distinct, ip, land(with_prefixes(ranges, "start_ip", "end_ip"))))
     return lookup_join(rows, located, [ip])
 
 
 def _match_ranges(addresses: DataFrame, ip: str, side: DataFrame) -> DataFrame:
     """One row per address with its ``geo``."""
-    numbered = addresses.withColumn("__n", ipv4_number(F.col(ip))).withColumn("__block", F.floor(F.col("__n") / BLOCK))
-    joined = numbered.join(side, (F.col("__block") == F.col("block")) & F.col("__n").between(F.col("start"), F.col("end")), "left")
+    joined = match(addresses, ip, side, "left")
     found = [F.col(ip).alias("ip")]
     for field in GEO.fields[1:]:
         fallback = F.lit(0.0) if field.name in ("latitude", "longitude") else F.lit(UNKNOWN)
         found.append(F.coalesce(F.col(field.name), fallback).cast(field.dataType).alias(field.name))
-    choice = F.struct((F.col("end") - F.col("start")).alias("width"), "start", F.struct(*found).alias("geo"))
+    choice = F.struct(F.coalesce("width", F.lit("~")).alias("width"), "first", F.struct(*found).alias("geo"))  # "~": after all digits
     return joined.groupBy(ip).agg(F.min(choice).alias("__best")).select(ip, F.col("__best.geo").alias("geo"))
 
 
@@ -72,16 +64,32 @@ def default_threat_list(spark) -> DataFrame:
 
 
 def enrich_threats(events: DataFrame, threat_ips: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Match actor, network source and network destination, in that order, against the list."""
+    """Match actor, network source and network destination, in that order, against the list.
+
+    An entry is an address or a network in CIDR form. Networks are looked up by the distinct addresses of the events,
+    and what they hold joins the list as addresses; an entry for the address itself comes before its networks, a
+    narrower network before a wider one."""
     slots = {"__a": "actor.ipAddress", "__s": "network.sourceIp", "__d": "network.destinationIp"}
-    feeds = threat_ips.groupBy("ip").agg(F.min("feed").alias("feed"))
-    if not fits_broadcast(feeds, broadcast_rows):  # keep only the listed addresses that occur at all
-        seen = events.select(F.explode(F.array(*[F.col(p) for p in slots.values()])).alias("ip")).distinct()
-        feeds = land(feeds.join(seen, "ip", "left_semi"))
+    is_network = F.col("ip").contains("/")
+    feeds = threat_ips.where(~is_network).groupBy("ip").agg(F.min("feed").alias("feed"))
+    networks = threat_ips.where(is_network).select(F.col("ip").alias("network"), "feed")
+    small = fits_broadcast(feeds, broadcast_rows)
+    has_networks = not networks.isEmpty()
+    if not small or has_networks:
+        seen = events.select(F.explode(F.array(*[F.col(p) for p in slots.values()])).alias("ip")).where("ip <> ''").distinct()
+        if has_networks:
+            seen = land(seen)
+        if not small:  # keep only the listed addresses that occur at all
+            feeds = feeds.join(seen, "ip", "left_semi")
+        if has_networks:
+            held = match(seen, "ip", land(with_prefixes(networks, "network"))).groupBy("ip").agg(F.min_by("feed", F.struct("width", "feed")).alias("feed"))
+            feeds = feeds.unionByName(held.join(feeds.select("ip"), "ip", "left_anti"))
+        feeds = land(feeds)
+        small = fits_broadcast(feeds, broadcast_rows)
     for name, path in slots.items():
         events = events.withColumn(name, F.nullif(F.col(path), F.lit("")))
-        events = lookup_join(events, feeds.select(F.col("ip").alias(name), F.col("feed").alias(f"{name}_feed")),
-                             [name])
+        side = feeds.select(F.col("ip").alias(name), F.col("feed").alias(f"{name}_feed"))
+        events = lookup_join(events, F.broadcast(side) if small else side, [name], measure=False)
     hits = F.array_compact(F.array(*[F.when(F.col(f"{n}_feed").isNotNull(), F.col(n)) for n in slots]))
     feeds_hit = F.array_compact(F.array(*[F.col(f"{n}_feed") for n in slots]))
     level = F.when(F.size("__hits") > 0, "high").otherwise("none")

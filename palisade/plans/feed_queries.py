@@ -12,6 +12,7 @@ from palisade.operators.metrics import display_event, display_user
 from palisade.operators.normalize import (
     GCP_AUDIT_FIELDS, at, from_record, is_valid, map_fields, normalize, to_record, unknown_records,
 )
+from palisade.operators.prefixes import match, with_prefixes
 from palisade.plans.oracle import AWS_TIERS, BASE, GCP_TIERS, classified, sec
 from palisade.plans.registry import query
 from palisade.plans.tables import raw_records, sec_events
@@ -317,6 +318,44 @@ def geo_join(spark, folder):
                     F.col("actor.geo_location.country").alias("actor_country"))
 
 
+NESTED = """
+spans AS (
+  SELECT n_name, n_nationkey AS n, n_nationkey BETWEEN 3 AND 5 AS six,
+    CASE n_nationkey WHEN 0 THEN -3405803776 WHEN 1 THEN -28928 WHEN 2 THEN 3 WHEN 3 THEN -1e30 WHEN 4 THEN 0 WHEN 5 THEN 17 ELSE n_nationkey END::DOUBLE AS lo,
+    CASE n_nationkey WHEN 0 THEN 889163519 WHEN 1 THEN 16748287 WHEN 2 THEN 12 WHEN 3 THEN 1e30 WHEN 4 THEN 47 WHEN 5 THEN 28 ELSE n_nationkey + 1 END::DOUBLE AS hi
+  FROM nation),
+asked AS (SELECT eventId, k % 2 = 1 AS six, CASE WHEN k % 2 = 1 THEN k ELSE string_split(ip, '.')[4]::INT END AS place FROM sec)"""
+
+
+@query("q_geo_prefix", f"""
+WITH {sec()}, {NESTED}
+SELECT eventId, arg_min(n_name, (hi - lo, lo)) AS country, count(*) AS n_ranges
+FROM asked JOIN spans ON asked.six = spans.six AND place BETWEEN lo AND hi GROUP BY eventId""")
+def geo_prefix(spark, folder):
+    """IPv4 and IPv6 addresses in nested ranges, the widest of which hold every address; offsets from 203.0.113.0 and 2001:db8::
+    in the SQL."""
+    k = F.col("network.source_port") - 1024
+    six = F.concat(F.lit("2001:DB8:0:0::"), F.hex(k))
+    asked = sec_events(spark, folder).select("eventId", F.when(k % 2 == 1, six).otherwise(F.col("actor.ipAddress")).alias("ip"))
+    ranges = ad.nested_ranges(spark, folder)
+    every = match(asked.select("ip").distinct(), "ip", with_prefixes(ranges, "start_ip", "end_ip")).groupBy("ip").agg(F.count("*").alias("n_ranges"))
+    return en.locate(asked, "ip", ranges).join(every, "ip").select("eventId", F.col("geo.country").alias("country"), "n_ranges")
+
+
+@query("q_threat_networks", f"""
+WITH {sec()}, h AS (
+  SELECT *, list_filter([ip, sip, dip], lambda x: starts_with(x, '198.51.100.')
+    OR starts_with(x, '192.0.2.') AND (string_split(x, '.')[4]::INT = 1 OR string_split(x, '.')[4]::INT BETWEEN 8 AND 15)) AS found FROM sec)
+SELECT eventId, array_to_string(found, '|') AS found,
+  array_to_string(list_transform(found, lambda x: CASE WHEN x = '198.51.100.7' THEN 'own' WHEN x[:6] = '198.51' THEN 'wide' ELSE 'near' END), '|') AS sources FROM h""")
+def threat_networks(spark, folder):
+    """A list of addresses and networks, one inside another."""
+    listed = [("192.0.2.1", "near"), ("192.0.2.8/29", "near"), ("198.51.100.0/28", "wide"), ("198.51.0.0/16", "wider"), ("198.51.100.7/32", "own"), ("2001:db8::/32", "six")]
+    e = en.enrich_threats(sec_events(spark, folder), spark.createDataFrame(listed, "ip string, feed string"))
+    intel = "enrichment.threatIntel"
+    return e.select("eventId", F.array_join(f"{intel}.indicators_found", "|").alias("found"), F.array_join(f"{intel}.sources", "|").alias("sources"))
+
+
 @query("q_threat_intel", f"""
 WITH {sec()}, h AS (
   SELECT *, list_filter([ip, sip, dip], lambda x: x IN ('192.0.2.1','198.51.100.1','203.0.113.1')) AS found FROM sec)

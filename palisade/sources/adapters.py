@@ -227,6 +227,19 @@ def geo_ranges(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("isp").alias("isp"), F.lit("org").alias("organization"))
 
 
+def nested_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """A range per nation, IPv4 and IPv6: the whole of each family, wide and narrow ones inside, with uneven ends."""
+    n = F.col("n_nationkey")
+    four = [("0.0.0.0", "255.255.255.255"), ("203.0.0.0", "203.255.255.255"), ("203.0.113.3", "203.0.113.12")]
+    six = [("::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), ("2001:db8::", "2001:DB8:0::2f"), ("2001:db8::11", "2001:db8::1c")]
+    start, end = F.concat(F.lit("203.0.113."), n.cast("string")), F.concat(F.lit("203.0.113."), (n + 1).cast("string"))
+    for at, (first, last) in enumerate([*four, *six]):
+        start, end = F.when(n == at, first).otherwise(start), F.when(n == at, last).otherwise(end)
+    return read_table(spark, folder, "nation").select(
+        start.alias("start_ip"), end.alias("end_ip"), F.col("n_name").alias("country"), F.concat(F.lit("city-"), n.cast("string")).alias("city"),
+        n.cast("double").alias("latitude"), (-n).cast("double").alias("longitude"), F.lit("isp").alias("isp"), F.lit("org").alias("organization"))
+
+
 def assets(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("n_nationkey")
     return read_table(spark, folder, "nation").where(n % 4 != 3).select(

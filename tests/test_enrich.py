@@ -1,12 +1,17 @@
 """Enrichment and look-up joins."""
 
+import ipaddress
+import random
+
 import pytest
 from helpers import events, ids
 from pyspark.sql import functions as F
 
 from palisade.functions.text import ipv4_number
 from palisade.operators import enrich as en
+from palisade.operators.enrich import enrich_threats, locate
 from palisade.operators.joins import fits_broadcast, lookup_join
+from palisade.operators.prefixes import address_bits, with_prefixes
 
 
 def test_lookup_join_is_the_same_shuffled_and_broadcast(spark):
@@ -83,3 +88,55 @@ def test_lookups_never_add_rows(spark):
     assert [r.eventId for r in got] == ["a", "b", "c"]
     for r in got[:2]:
         assert r.enrichment.geo_ip.country == "Narrow" and r.enrichment.asset_inventory.owner == "new" and r.enrichment.dns.hostname == "a.example.org"
+
+
+def test_address_bits(spark):
+    rng = random.Random(1)
+    texts = [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(50)]
+    for _ in range(200):
+        value = rng.getrandbits(128) & rng.choice([2**128 - 1, 0xFFFF << 64, 0xFFFF, 0xFFFF_0000_FFFF << 80, 0])
+        address = ipaddress.IPv6Address(value)
+        texts += [str(address), address.exploded.upper(), str(address).upper()]
+    texts += ["::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:7.8.9.10", "::", "1::", "::1"]
+    bad = ["", "x", "1.2.3", "1.2.3.256", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "g::", "::1.2.3.256", ":1", "1:", "fe80::1%eth0", "1.2.3.4/8", None, ":::", "1:2:3:4:5:6:7:8::"]
+    rows = spark.createDataFrame([(t,) for t in texts + bad], "ip string").select("ip", address_bits(F.col("ip")).alias("bits")).collect()
+    for r in rows[:len(texts)]:
+        address = ipaddress.ip_address(r.ip)
+        assert r.bits == f"{address.version}{int(address):0{address.max_prefixlen}b}", r.ip
+    assert all(r.bits is None for r in rows[len(texts):])
+
+
+def test_nested_ranges_against_all(spark):
+    """Ranges of both families with any ends, from the whole family to one address; broken ones go."""
+    rng, ranges, addresses = random.Random(2), [("0.0.0.0", "255.255.255.255"), ("::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff")], []
+    for bits, make in ((32, ipaddress.IPv4Address), (128, ipaddress.IPv6Address)):
+        base = rng.getrandbits(bits - 12) << 12
+        for _ in range(60):
+            a, b = sorted((base + rng.randrange(4096), base + rng.choice([rng.randrange(4096), rng.randrange(4096) % 7])))
+            ranges.append((str(make(a)), str(make(b))))
+        addresses += [str(make(base + rng.randrange(4096))) for _ in range(150)] + [str(make(rng.getrandbits(bits))) for _ in range(10)]
+    ranges += [("9.9.9.9", "1.1.1.1"), ("1.1.1.1", "::1"), ("x", "y"), (None, "1.1.1.1"), ("1.1.1.1", None)]
+    df = spark.createDataFrame([(*r, f"c{i}", f"c{i}", 0.5, 0.5, "i", "o") for i, r in enumerate(ranges)],
+                               "start_ip string, end_ip string, country string, city string, latitude double, longitude double, isp string, organization string")
+    prefixed = with_prefixes(df, "start_ip", "end_ip")
+    assert max(r["count"] for r in prefixed.groupBy("country").count().collect()) <= 2 * 128
+    asked = spark.createDataFrame([(a,) for a in [*addresses, "no address"]], "ip string")
+    got = {r.ip: r.geo.country for r in locate(asked, "ip", df).collect()}
+    for a in addresses:
+        value, fit = ipaddress.ip_address(a), []
+        for i, (s, e) in enumerate(ranges[:-5]):
+            first, last = ipaddress.ip_address(s), ipaddress.ip_address(e)
+            if first.version == value.version and first <= value <= last:
+                fit.append((int(last) - int(first), int(first), f"c{i}"))
+        width, first, _ = min(fit)
+        assert got[a] in {c for w, f, c in fit if (w, f) == (width, first)}
+    assert got["no address"] == "Unknown"
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 1])
+def test_threat_networks(spark, broadcast_rows):
+    rows = [dict(ip="10.1.2.3", sip="10.1.2.4", dip="10.9.9.9"), dict(ip="2001:DB8::5", sip="10.1.2.3"), dict(ip="nothing", sip="")]
+    listed = spark.createDataFrame([("10.1.0.0/16", "wide"), ("10.1.2.0/29", "near"), ("10.1.2.3", "exact"), ("2001:db8::/32", "six"), ("bad/99", "bad"), (None, "none"), ("", "empty")],
+                                   "ip string, feed string")
+    got = [(r.i.indicators_found, r.i.sources) for r in enrich_threats(events(spark, rows), listed, broadcast_rows).orderBy("eventId").selectExpr("enrichment.threatIntel AS i").collect()]
+    assert got == [(["10.1.2.3", "10.1.2.4"], ["exact", "near"]), (["2001:DB8::5", "10.1.2.3"], ["six", "exact"]), ([], [])]

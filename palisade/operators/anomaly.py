@@ -29,6 +29,8 @@ QUANTILE_ACCURACY = 100_000
 #: Rows a tree is sent for each one it keeps.
 OVERSAMPLE = 4
 HASH_RANGE = 1 << 30
+#: Nodes of a forest up to which it is walked without leaving the JVM.
+NATIVE_NODES = 1024
 
 FEATURES = [
     "hour", "weekday",
@@ -197,8 +199,35 @@ def _walker(model: Model):
     return walk
 
 
-def isolation_score(model: Model) -> Column:
-    """The raw score in [-1, 0): lower is more unusual."""
+def _native_walk(model: Model) -> Column:
+    """The walk as an expression: each tree is a struct of arrays, each level one step in them. The forest comes as one JSON
+    literal, which the optimiser turns into a constant."""
+    rows = model.nodes.orderBy("tree", "node").collect()  # few, or the other walk is taken
+    trees: dict[int, dict[str, list]] = {}
+    for r in rows:
+        tree = trees.setdefault(r.tree, {"f": [], "t": [], "l": [], "r": [], "p": []})
+        for name, value in zip("ftlrp", (r.feature, r.threshold, r.left, r.right, r.path)):
+            tree[name].append(value)
+    forest = F.from_json(F.lit(json.dumps(list(trees.values()))), "array<struct<f:array<int>,t:array<double>,l:array<int>,r:array<int>,p:array<double>>>")
+    x = F.array(*[(c - F.lit(float(model.scaler[n][0]))) / F.lit(float(model.scaler[n][1])) for n, c in zip(FEATURES, feature_columns())])
+    levels = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(max(model.sample_size, 2)))))
+
+    def path(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            which = F.get(tree.f, at)
+            return F.when(which < 0, at).when(F.get(x, which) <= F.get(tree.t, at), F.get(tree.l, at)).otherwise(F.get(tree.r, at))
+
+        return F.get(tree.p, F.aggregate(levels, F.lit(0), step))
+
+    total = F.aggregate(F.transform(forest, path), F.lit(0.0), lambda acc, p: acc + p)
+    norm = average_path(model.sample_size) or 1.0
+    return -F.pow(F.lit(2.0), -(total / F.lit(float(len(trees)))) / F.lit(norm))
+
+
+def isolation_score(model: Model, native: bool | None = None) -> Column:
+    """The raw score in [-1, 0): lower is more unusual. Small forests are walked in an expression, large ones over Arrow batches."""
+    if model.nodes.count() <= NATIVE_NODES if native is None else native:
+        return _native_walk(model)
     walk = _walker(model)
 
     @F.pandas_udf(T.DoubleType())

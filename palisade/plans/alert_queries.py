@@ -12,6 +12,7 @@ from palisade.operators.normalize import normalize
 from palisade.operators.rules import load_rules, with_matched_rules
 from palisade.operators.throttle import outcomes, throttle
 from palisade.plans.detection import detect
+from palisade.plans.fixed_forest import fixed_model
 from palisade.plans.oracle import alerted, deduplicated, detected, sec, throttled
 from palisade.plans.registry import query
 from palisade.session import land
@@ -22,13 +23,14 @@ HOURLY_LIMIT = 5  # low enough to bite on the small tables
 ALERT, DET = alerted(), detected()
 
 
-def _fused(spark, folder, history=True, burst=False):
+def _fused(spark, folder, history=True, burst=False, third=True):
+    """All three engines; the third is a forest of fixed nodes, which SQL can walk as well."""
     events = sec_events(spark, folder, burst=burst)
-    return detect(events, load_rules(), history=history)
+    return detect(events, load_rules(), fixed_model(spark) if third else None, history=history)
 
 
-def _alerts(spark, folder, history=True, burst=False):
-    return build_alerts(_fused(spark, folder, history, burst))
+def _alerts(spark, folder, history=True, burst=False, third=True):
+    return build_alerts(_fused(spark, folder, history, burst, third))
 
 
 def _placed(spark, folder):
@@ -186,7 +188,7 @@ def hook(spark, folder):
 
 
 @query("q_alert_markdown", f"""
-WITH {ALERT} SELECT alertId, '## ' || title || chr(10) || chr(10) || '**Severity:** ' || upper(asev) || chr(10)
+WITH {alerted(third=False)} SELECT alertId, '## ' || title || chr(10) || chr(10) || '**Severity:** ' || upper(asev) || chr(10)
   || '**Alert ID:** `' || alertId || '`' || chr(10) || '**Event ID:** `' || eventId || '`' || chr(10)
   || '**Timestamp:** ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10) || chr(10)
   || '**Description:**' || chr(10) || description || chr(10) || chr(10)
@@ -199,7 +201,8 @@ WITH {ALERT} SELECT alertId, '## ' || title || chr(10) || chr(10) || '**Severity
   || '- **overallScore:** ' || CAST(overall AS VARCHAR) || chr(10) AS markdown
 FROM alert""")
 def markdown(spark, folder):
-    return pl.with_occurrences(_alerts(spark, folder)).select("alertId", pl.alert_markdown().alias("markdown"))
+    """Without the third engine: its score is printed to the last digit, and powers differ there between engines."""
+    return pl.with_occurrences(_alerts(spark, folder, third=False)).select("alertId", pl.alert_markdown().alias("markdown"))
 
 
 # --- reports --------------------------------------------------------------------------------

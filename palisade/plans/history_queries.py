@@ -9,7 +9,8 @@ from palisade.operators import heuristics as he
 from palisade.operators.fusion import result_record, rule_score
 from palisade.operators.rules import load_rules, with_matched_rules
 from palisade.plans.detection import detect
-from palisade.plans.oracle import HISTORY, KEYWORD, detected, matched, sec
+from palisade.plans.fixed_forest import fixed_model
+from palisade.plans.oracle import FEATURE_SQL, HISTORY, KEYWORD, detected, matched, sec
 from palisade.plans.registry import query
 from palisade.session import land
 from palisade.plans.tables import sec_events
@@ -121,12 +122,12 @@ def _heuristic(spark, folder, burst):
                          F.round("heuristic.score", 6).alias("score"))
 
 
-@query("q_heuristic", f"WITH {detected()} {HEURISTIC}")
+@query("q_heuristic", f"WITH {detected(third=False)} {HEURISTIC}")
 def heuristic(spark, folder):
     return _heuristic(spark, folder, False)
 
 
-@query("q_heuristic_burst", f"WITH {detected(True)} {HEURISTIC}")
+@query("q_heuristic_burst", f"WITH {detected(True, third=False)} {HEURISTIC}")
 def heuristic_burst(spark, folder):
     return _heuristic(spark, folder, True)
 
@@ -152,18 +153,6 @@ def deviation(spark, folder):
         "user", F.unix_micros("day").alias("day_us"), "n", "deviation")
 
 
-TYPES = ["authentication", "authorization", "resource_access", "network_traffic", "configuration_change", "data_access",
-         "security_alert", "administrative_action"]
-FEATURE_SQL = ", ".join([
-    "CAST(hour(ts) AS DOUBLE) AS hour", "CAST(isodow(ts) - 1 AS DOUBLE) AS weekday",
-    *[f"CAST(type = '{t}' AS DOUBLE) AS is_{t}" for t in TYPES],
-    "CAST(list_position(['info','low','medium','high','critical'], severity) - 1 AS DOUBLE) AS severity",
-    "CAST(outcome = 'success' AS DOUBLE) AS success", "CAST(k + 1024 AS DOUBLE) AS source_port",
-    "CAST(CASE WHEN k % 2 = 0 THEN 443 ELSE 22 END AS DOUBLE) AS destination_port", "CAST(bytes AS DOUBLE) AS bytes_sent",
-    "CAST(0 AS DOUBLE) AS bytes_received", "coalesce(risk, 0.0) AS risk", "CAST(0 AS DOUBLE) AS indicators",
-])
-
-
 @query("q_features", f"WITH {sec()} SELECT eventId, {FEATURE_SQL} FROM sec")
 def feature_rows(spark, folder):
     return an.features(sec_events(spark, folder)).drop("sourceProvider", "timestamp")
@@ -195,6 +184,16 @@ def anomaly(spark, folder):
                          F.array_join("anomaly.reasons", "|").alias("reasons"))
 
 
+@query("q_anomaly_fixed", f"""
+WITH {detected(history=False)} SELECT eventId, round(raw, 6) AS raw, round(ascore, 6) AS score, anom AS anomalous, array_to_string(areasons, '|') AS reasons FROM det""")
+def anomaly_fixed(spark, folder):
+    """Every event's walk through a forest of fixed nodes."""
+    events, model = sec_events(spark, folder), fixed_model(spark)
+    judged = an.with_anomaly(events, model).withColumn("raw", an.isolation_score(model))
+    return judged.select("eventId", F.round("raw", 6).alias("raw"), F.round("anomaly.score", 6).alias("score"),
+                         F.col("anomaly.isAnomaly").alias("anomalous"), F.array_join("anomaly.reasons", "|").alias("reasons"))
+
+
 @query("q_anomaly_reasons", f"""
 WITH {sec()}, r AS (SELECT eventId, list_filter([
   CASE WHEN k / CAST(100 AS DOUBLE) > 0.9 THEN 'Highly unusual event pattern' WHEN k / CAST(100 AS DOUBLE) > 0.8 THEN 'Unusual event characteristics' END,
@@ -209,7 +208,7 @@ def reasons(spark, folder):
     return events.select("eventId", F.array_join(an.anomaly_reasons(k / F.lit(100.0)), "|").alias("reasons"))
 
 
-@query("q_rule_score", f"WITH {detected(history=False)} SELECT eventId, rscore AS score FROM det WHERE by_rules")
+@query("q_rule_score", f"WITH {detected(history=False, third=False)} SELECT eventId, rscore AS score FROM det WHERE by_rules")
 def rule_scores(spark, folder):
     events = with_matched_rules(sec_events(spark, folder), load_rules()).where(F.size("matchedRules") > 0)
     return events.select("eventId", rule_score(F.col("matchedRules")).alias("score"))
@@ -218,18 +217,20 @@ def rule_scores(spark, folder):
 @query("q_overall_score", f"""
 WITH {detected()} SELECT eventId, round(overall, 6) AS score, threat, array_to_string(methods, '|') AS methods FROM det""")
 def overall_scores(spark, folder):
-    fused = detect(sec_events(spark, folder), load_rules())
+    fused = detect(sec_events(spark, folder), load_rules(), fixed_model(spark))
     return fused.select("eventId", F.round("overallScore", 6).alias("score"), F.col("overallThreatDetected").alias("threat"),
                         F.array_join("detectionMethods", "|").alias("methods"))
 
 
 @query("q_result_record", f"""
-WITH {detected()} SELECT eventId, CAST(threat AS VARCHAR) AS threat, len(hits) AS n_rules,
+WITH {detected()} SELECT eventId, CAST(threat AS VARCHAR) AS threat, len(hits) AS n_rules, CAST(anom AS VARCHAR) AS anomalous, array_to_string(areasons, '|') AS reasons,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM det""")
 def result_records(spark, folder):
-    records = result_record(detect(sec_events(spark, folder), load_rules()))
+    records = result_record(detect(sec_events(spark, folder), load_rules(), fixed_model(spark)))
+    reasons = F.from_json(F.get_json_object("record", "$.anomalyResult.reasons"), "array<string>")
     return records.select(
         F.get_json_object("record", "$.eventId").alias("eventId"),
         F.get_json_object("record", "$.overallThreatDetected").alias("threat"),
         F.json_array_length(F.get_json_object("record", "$.matchedRules")).alias("n_rules"),
+        F.get_json_object("record", "$.anomalyResult.isAnomaly").alias("anomalous"), F.array_join(reasons, "|").alias("reasons"),
         F.get_json_object("record", "$.timestamp").alias("ts"))

@@ -7,6 +7,7 @@ names and texts of the default rules come from the rule files.
 from __future__ import annotations
 
 from palisade.operators.rules import load_rules
+from palisade.plans.fixed_forest import walk_sql
 
 BASE = """
 base AS (
@@ -143,10 +144,30 @@ flags AS (
 )"""
 
 
-def detected(burst: bool = False, history: bool = True) -> str:
-    """CTE chain ending in ``det``: hits, indicators, hscore, methods, overall, threat per event."""
+TYPES = ["authentication", "authorization", "resource_access", "network_traffic", "configuration_change", "data_access",
+         "security_alert", "administrative_action"]
+FEATURES_OF = [
+    "CAST(hour(ts) AS DOUBLE) AS hour", "CAST(isodow(ts) - 1 AS DOUBLE) AS weekday",
+    *[f"CAST(type = '{t}' AS DOUBLE) AS is_{t}" for t in TYPES],
+    "CAST(list_position(['info','low','medium','high','critical'], severity) - 1 AS DOUBLE) AS severity",
+    "CAST(outcome = 'success' AS DOUBLE) AS success", "CAST(k + 1024 AS DOUBLE) AS source_port",
+    "CAST(CASE WHEN k % 2 = 0 THEN 443 ELSE 22 END AS DOUBLE) AS destination_port", "CAST(bytes AS DOUBLE) AS bytes_sent",
+    "CAST(0 AS DOUBLE) AS bytes_received", "coalesce(risk, 0.0) AS risk", "CAST(0 AS DOUBLE) AS indicators",
+]
+FEATURE_SQL = ", ".join(FEATURES_OF)
+
+
+#: What the third engine finds in no event.
+NO_THIRD = "third AS (SELECT eventId, 0.0::DOUBLE AS raw, 0.0::DOUBLE AS ascore, false AS anom FROM sec)"
+
+
+def detected(burst: bool = False, history: bool = True, third: bool = True) -> str:
+    """CTE chain ending in ``det``: hits, indicators, hscore, methods, overall, threat per event. ``third``: with the walk
+    through the fixed forest."""
+    walked = walk_sql([e.rsplit(" AS ", 1)[0] for e in FEATURES_OF], "sec") if third else NO_THIRD
     return f"""{sec(burst)},
 {matched()},
+{walked},
 {HISTORY if history else NO_HISTORY},
 entries AS (
   SELECT *, list_filter([
@@ -167,28 +188,34 @@ engines AS (
   SELECT *, list_transform(es, lambda e: e.t) AS indicators, coalesce(list_max(list_transform(es, lambda e: e.s)), 0.0) AS hscore,
     list_max(list_transform(hits, lambda h: CASE {picked('severity')}[h]
       WHEN 'critical' THEN 1.0::DOUBLE WHEN 'high' THEN 0.8::DOUBLE WHEN 'medium' THEN 0.6::DOUBLE
-      WHEN 'low' THEN 0.4::DOUBLE WHEN 'info' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END)) AS rscore
-  FROM entries
+      WHEN 'low' THEN 0.4::DOUBLE WHEN 'info' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END)) AS rscore,
+    list_filter([CASE WHEN hour(ts) < 6 OR hour(ts) > 22 THEN 'Activity during unusual hours' END, CASE WHEN risk > 0.7 THEN 'High risk score' END],
+      lambda x: x IS NOT NULL) AS odd
+  FROM entries JOIN third USING (eventId)
+),
+fused AS (
+  SELECT *, CASE WHEN len(odd) > 0 THEN odd ELSE ['Anomalous feature combination'] END AS areasons,
+    list_filter([CASE WHEN len(hits) > 0 THEN rscore END, CASE WHEN anom THEN ascore END, CASE WHEN len(es) > 0 THEN hscore END], lambda x: x IS NOT NULL) AS scores
+  FROM engines
 ),
 det AS (
   SELECT *, len(hits) > 0 AS by_rules, len(es) > 0 AS by_heur,
-    list_filter([CASE WHEN len(hits) > 0 THEN 'rules' END, CASE WHEN len(es) > 0 THEN 'heuristic' END], lambda x: x IS NOT NULL) AS methods,
-    len(hits) > 0 OR len(es) > 0 AS threat,
-    CASE WHEN len(hits) > 0 AND len(es) > 0 THEN greatest(rscore, hscore) * 0.6::DOUBLE + ((rscore + hscore) / 2) * 0.4::DOUBLE
-         WHEN len(hits) > 0 THEN rscore * 0.6::DOUBLE + rscore * 0.4::DOUBLE
-         WHEN len(es) > 0 THEN hscore * 0.6::DOUBLE + hscore * 0.4::DOUBLE
-         ELSE 0.0::DOUBLE END AS overall
-  FROM engines
+    list_filter([CASE WHEN len(hits) > 0 THEN 'rules' END, CASE WHEN anom THEN 'anomaly' END, CASE WHEN len(es) > 0 THEN 'heuristic' END],
+      lambda x: x IS NOT NULL) AS methods,
+    len(scores) > 0 AS threat,
+    CASE WHEN len(scores) > 0 THEN list_max(scores) * 0.6::DOUBLE + (list_sum(scores) / len(scores)) * 0.4::DOUBLE ELSE 0.0::DOUBLE END AS overall
+  FROM fused
 )"""
 
 
-def alerted(burst: bool = False, history: bool = True) -> str:
+def alerted(burst: bool = False, history: bool = True, third: bool = True) -> str:
     """CTE chain ending in ``alert``: one row per threat with texts and fingerprint."""
     names, descriptions, severities = picked("name"), picked("description"), picked("severity")
-    return f"""{detected(burst, history)},
+    return f"""{detected(burst, history, third)},
 texts AS (
   SELECT *, 'alert_' || eventId || '_' || CAST(t_us // 1000000 AS VARCHAR) AS alertId,
-    CASE WHEN len(hits) > 0 THEN {names}[hits[1]] ELSE 'Suspicious Activity Detected: ' || name END AS title,
+    CASE WHEN len(hits) > 0 THEN {names}[hits[1]] WHEN anom THEN 'Anomalous Activity Detected: ' || name
+      ELSE 'Suspicious Activity Detected: ' || name END AS title,
     CASE WHEN len(hits) > 0 THEN
       CASE WHEN len(list_filter(hits, lambda h: {severities}[h] = 'critical')) > 0 THEN 'critical'
            WHEN len(list_filter(hits, lambda h: {severities}[h] = 'high')) > 0 THEN 'high'
@@ -199,12 +226,14 @@ texts AS (
     array_to_string(list_concat(
       CASE WHEN len(hits) > 0 THEN list_concat(list_concat(['**Matched Rules:**'],
         list_transform(hits, lambda h: '- ' || {names}[h] || ': ' || {descriptions}[h])), ['']) ELSE CAST([] AS VARCHAR[]) END,
-      list_concat(
+      list_concat(list_concat(
+      CASE WHEN anom THEN list_concat(list_concat(['**Anomaly Detection:**'],
+        list_transform(areasons, lambda i: '- ' || i)), ['']) ELSE CAST([] AS VARCHAR[]) END,
       CASE WHEN len(es) > 0 THEN list_concat(list_concat(['**Heuristic Analysis:**'],
-        list_transform(indicators, lambda i: '- ' || i)), ['']) ELSE CAST([] AS VARCHAR[]) END,
+        list_transform(indicators, lambda i: '- ' || i)), ['']) ELSE CAST([] AS VARCHAR[]) END),
       ['**Event:** ' || name, '**Source:** ' || provider || '/' || service,
        '**Time:** ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC', '**Actor:** ' || username, '**IP Address:** ' || ip])), chr(10)) AS description,
-    list_sort(list_distinct(indicators)) AS inds
+    list_sort(list_distinct(list_concat(indicators, CASE WHEN anom THEN areasons ELSE CAST([] AS VARCHAR[]) END))) AS inds
   FROM det WHERE threat
 ),
 alert AS (

@@ -4,10 +4,17 @@ import math
 import random
 
 import numpy as np
+from conftest import DATA
 from helpers import events
 from pyspark.sql import functions as F
 
 from palisade.operators import anomaly as an
+from palisade.operators.alerts import build_alerts
+from palisade.operators.anomaly import isolation_score, train
+from palisade.operators.rules import load_rules
+from palisade.plans.detection import detect
+from palisade.plans.fixed_forest import fixed_model
+from palisade.plans.tables import sec_events
 
 
 def population(spark, n=600):
@@ -76,3 +83,20 @@ def test_retraining(spark):
         an.retrain_due(as_of - F.expr("interval 23 hours"), as_of).alias("b"),
         an.retrain_due(as_of - F.expr("interval 24 hours"), as_of).alias("c")).first()
     assert tuple(due) == (True, False, True)
+
+
+def test_both_walks_agree(spark):
+    """The expression and the walk over batches, for a trained forest and for the fixed one."""
+    rows = sec_events(spark, DATA)
+    for model in (train(rows, trees=7, sample=64), fixed_model(spark)):
+        got = rows.select(isolation_score(model, native=True).alias("a"), isolation_score(model, native=False).alias("b")).collect()
+        assert got and all(abs(r.a - r.b) < 1e-12 for r in got)
+
+
+def test_the_third_engine_decides_alone(spark):
+    """Some events are threats by the forest only; the alert says so."""
+    fused = detect(sec_events(spark, DATA.replace("sf0.001", "sf0.01")), load_rules(), fixed_model(spark))
+    alone = build_alerts(fused.where("array_join(detectionMethods, ',') = 'anomaly'"))
+    row = alone.first()
+    assert row is not None and row.title.startswith("Anomalous Activity Detected: ") and "**Anomaly Detection:**" in row.description
+    assert row.indicators == ["Anomalous feature combination"]

@@ -37,7 +37,7 @@ from palisade.llm.memo import Memo
 #: Characters of a window of text, and ids decoded at once.
 WINDOW, IDS = 1 << 15, 1 << 14
 #: Words up to this length are remembered, so many in each of two generations.
-LONGEST, ROOM = 40, 120_000
+LONGEST, ROOM = 40, 200_000
 #: White space as the tokenizer's pattern has it; a fixed value.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The settings of a tokenizer file that are implemented; fixed values.
@@ -48,6 +48,8 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _SHORT = 24
+#: A rule is one number, its rank above the id it makes, so that the least is the first; this one comes after every rule.
+_IDS_BELOW, _NO_RULE = 1 << 32, 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -130,7 +132,7 @@ class Model:
         if any(t not in vocabulary for a, b in pairs for t in (a, b, a + b)):
             raise ValueError("a rule uses or makes a token that the vocabulary does not have")
         self.size = dict.fromkeys(self.inner + self.last, 1)  # bytes of a token
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rules: dict[tuple[int, int], int] = {}
         self.lookahead = self._read([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs])
 
     def _read(self, merges: list[tuple[int, int, int]]) -> int:
@@ -144,7 +146,7 @@ class Model:
                 raise ValueError("a rule uses a token that no earlier rule makes")
             if (left, right) in self.rules or made in edge:
                 raise ValueError("a token is made twice")
-            self.rules[left, right] = (rank, made)
+            self.rules[left, right] = rank * _IDS_BELOW + made
             self.size[made] = self.size[left] + self.size[right]
             chain = self.size[left] + max(before.get(t, 0) for t in edge[right])
             before[left] = max(before.get(left, 0), chain)
@@ -157,35 +159,40 @@ class Model:
         return self._cut_short(tokens) if len(tokens) <= _SHORT else self._cut_long(tokens)
 
     def _cut_short(self, tokens: list[int]) -> list[int]:
-        rules = self.rules
-        while len(tokens) > 1:
-            best = None
-            for k in range(len(tokens) - 1):
-                rule = rules.get((tokens[k], tokens[k + 1]))
-                if rule is not None and (best is None or rule[0] < best[0]):
-                    best, at = rule, k
-            if best is None:
+        rule = self.rules.get
+        found = [rule(pair, _NO_RULE) for pair in zip(tokens, tokens[1:])]
+        while found:
+            best = min(found)
+            if best == _NO_RULE:
                 break
-            tokens[at:at + 2] = [best[1]]
+            at = found.index(best)
+            tokens[at] = best % _IDS_BELOW
+            del tokens[at + 1]
+            del found[at]
+            if at:
+                found[at - 1] = rule((tokens[at - 1], tokens[at]), _NO_RULE)
+            if at < len(found):
+                found[at] = rule((tokens[at], tokens[at + 1]), _NO_RULE)
         return tokens
 
     def _cut_long(self, tokens: list[int]) -> list[int]:
         rules, end = self.rules, len(tokens)
         after, ahead = list(range(1, end + 1)), list(range(-1, end - 1))
-        heap = [(rule[0], k, rule[1]) for k in range(end - 1) if (rule := rules.get((tokens[k], tokens[k + 1])))]
+        heap = [(rule, k) for k in range(end - 1) if (rule := rules.get((tokens[k], tokens[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, k, made = heapq.heappop(heap)
-            if tokens[k] < 0 or (n := after[k]) == end or rules.get((tokens[k], tokens[n])) != (rank, made):
+            best, k = heapq.heappop(heap)
+            if tokens[k] < 0 or (n := after[k]) == end or rules.get((tokens[k], tokens[n])) != best:
                 continue  # one of the two has been merged since
+            made = best % _IDS_BELOW
             tokens[k], tokens[n] = made, -1
             after[k] = after[n]
             if after[k] < end:
                 ahead[after[k]] = k
-                if rule := rules.get((made, tokens[after[k]])):
-                    heapq.heappush(heap, (rule[0], k, rule[1]))
-            if (p := ahead[k]) >= 0 and (rule := rules.get((tokens[p], made))):
-                heapq.heappush(heap, (rule[0], p, rule[1]))
+                if (rule := rules.get((made, tokens[after[k]]))) is not None:
+                    heapq.heappush(heap, (rule, k))
+            if (p := ahead[k]) >= 0 and (rule := rules.get((tokens[p], made))) is not None:
+                heapq.heappush(heap, (rule, p))
         return [t for t in tokens if t >= 0]
 
 
@@ -266,9 +273,13 @@ class Decoder:
                 end = token.endswith(model.suffix) and bool(model.suffix)
                 return b"".join(byte_of[x] for x in (token[:-len(model.suffix)] if end else token)) + b" " * end
 
-            self.data = {i: data(t) for i, t in model.strings.items()}
         else:
-            self.data = {i: t.encode() for i, t in model.strings.items()}
+            def data(token: str) -> bytes:
+                return token.encode()
+
+        self.data: list[bytes | None] = [None] * (max(model.strings) + 1)  # an id without a token cannot be joined
+        for i, token in model.strings.items():
+            self.data[i] = data(token)
 
     def feed(self, ids: np.ndarray) -> str:
         out = []

@@ -22,6 +22,7 @@ from palisade.operators.anomaly import Model, with_anomaly
 from palisade.operators.dedup import WINDOW_US, deduplicate
 from palisade.operators.fusion import fuse
 from palisade.operators.metrics import sliding_counts
+from palisade.operators.registry import ModelRegistry
 from palisade.operators.rules import PACK, load_rules, with_matched_rules
 from palisade.operators.throttle import HOUR_US, LIMIT, throttle
 from palisade.schema import EVENT_KEY
@@ -50,9 +51,10 @@ def _after(horizon: DataFrame, rows: DataFrame, column: str, back_us: int) -> Da
 
 
 class ContinuousDetection:
-    """``foreachBatch`` handler; rules are re-read from their folder with every micro-batch."""
+    """``foreachBatch`` handler; rules are re-read from their folder with every micro-batch, and so is the current model
+    if a registry is given."""
 
-    def __init__(self, folder: str, rules: str = PACK, model: Model | None = None, limit: int = LIMIT,
+    def __init__(self, folder: str, rules: str = PACK, model: Model | ModelRegistry | None = None, limit: int = LIMIT,
                  dedup_us: int = WINDOW_US, throttle_us: int = HOUR_US, dry_run: bool = False,
                  clock: Callable[[], float] = time.time):
         self.folder, self.rules, self.model = folder, rules, model
@@ -63,7 +65,10 @@ class ContinuousDetection:
         state = StateTables(batch.sparkSession, f"{self.folder}/state")
         events = self._on_time(batch, state, epoch)
         signals = he.combine_signals([*self._frequencies(events, state, epoch), *self._baselines(events, state, epoch)])
-        judged = with_anomaly(with_matched_rules(events, load_rules(self.rules)), self.model)
+        model = self.model
+        if isinstance(model, ModelRegistry):
+            model = model.for_batch(batch.sparkSession, f"{self.folder}/models", epoch)
+        judged = with_anomaly(with_matched_rules(events, load_rules(self.rules)), model)
         alerts = number_rows(build_alerts(fuse(he.with_heuristics(judged, land(signals)))))
         done = self._end_states(alerts, state, epoch)
         state.replace("horizon", epoch, self._horizon(events, state, epoch))

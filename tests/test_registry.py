@@ -4,10 +4,8 @@ from datetime import datetime, timedelta
 
 from helpers import events
 
-from palisade.operators import anomaly as an
 from palisade.operators.registry import ModelRegistry, retrain
 from palisade.plans.fixed_forest import fixed_model
-from palisade.streaming import jobs
 
 
 def test_retraining_when_due(spark, scratch):
@@ -22,17 +20,13 @@ def test_retraining_when_due(spark, scratch):
     assert retrain(registry, df, now + timedelta(days=60), trees=3, sample=16) is None  # nothing in the last thirty days
 
 
-def test_a_batch_keeps_its_model(spark, scratch, monkeypatch):
+def test_a_batch_keeps_its_model(spark, scratch):
     """Batch 0 has no model, batch 1 the first; a replay of 1 after the second is out has the first again, batch 2 the second."""
-    registry, taken = ModelRegistry(f"{scratch}/models"), []
-    monkeypatch.setattr(jobs, "with_anomaly", lambda df, model: taken.append(model and model.offset) or an.with_anomaly(df, model))
-    handler = jobs.ContinuousDetection(f"{scratch}/out", model=registry)
-    batch = events(spark, [dict(username="u")])
-    handler(batch, 0)
-    for offset, epochs in ((-0.83, [1]), (-0.5, [1, 2])):
+    registry, notes, taken = ModelRegistry(f"{scratch}/models"), f"{scratch}/out/models", []
+    taken.append(registry.for_batch(spark, notes, 0))
+    for offset, epochs in ((-0.83, [1]), (-0.5, [1, 0, 2])):
         model = fixed_model(spark)
         model.offset = offset
         registry.publish(model, datetime(2024, 1, 1))
-        for epoch in epochs:
-            handler(batch, epoch)
-    assert taken == [None, -0.83, -0.83, -0.5]
+        taken += [registry.for_batch(spark, notes, epoch) for epoch in epochs]
+    assert [m and m.offset for m in taken] == [None, -0.83, -0.83, None, -0.5]

@@ -27,6 +27,7 @@ from palisade.operators.rules import PACK, load_rules, with_matched_rules
 from palisade.operators.throttle import HOUR_US, LIMIT, throttle
 from palisade.schema import EVENT_KEY
 from palisade.session import land, number_rows
+from palisade.streaming.observed import Counter, alert_counter, late_counter, write_counts
 from palisade.streaming.state import StateTables
 
 log = logging.getLogger(__name__)
@@ -52,28 +53,31 @@ def _after(horizon: DataFrame, rows: DataFrame, column: str, back_us: int) -> Da
 
 class ContinuousDetection:
     """``foreachBatch`` handler; rules are re-read from their folder with every micro-batch, and so is the current model
-    if a registry is given."""
+    if a registry is given. With ``counting``, each batch's counts go to ``folder/counts`` (``observed.stream_counts``)."""
 
     def __init__(self, folder: str, rules: str = PACK, model: Model | ModelRegistry | None = None, limit: int = LIMIT,
                  dedup_us: int = WINDOW_US, throttle_us: int = HOUR_US, dry_run: bool = False,
-                 clock: Callable[[], float] = time.time):
+                 clock: Callable[[], float] = time.time, counting: bool = False):
         self.folder, self.rules, self.model = folder, rules, model
         self.limit, self.dedup_us, self.throttle_us, self.dry_run = limit, dedup_us, throttle_us, dry_run
-        self.clock = clock
+        self.clock, self.counting = clock, counting
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         state = StateTables(batch.sparkSession, f"{self.folder}/state")
-        events = self._on_time(batch, state, epoch)
+        arrivals, ends = late_counter(), alert_counter()
+        events = self._on_time(batch, state, epoch, arrivals)
         signals = he.combine_signals([*self._frequencies(events, state, epoch), *self._baselines(events, state, epoch)])
         model = self.model
         if isinstance(model, ModelRegistry):
             model = model.for_batch(batch.sparkSession, f"{self.folder}/models", epoch)
         judged = with_anomaly(with_matched_rules(events, load_rules(self.rules)), model)
         alerts = number_rows(build_alerts(fuse(he.with_heuristics(judged, land(signals)))))
-        done = self._end_states(alerts, state, epoch)
+        done = self._end_states(alerts, state, epoch, ends)
         state.replace("horizon", epoch, self._horizon(events, state, epoch))
         if not self.dry_run:
             done.write.mode("overwrite").parquet(f"{self.folder}/alerts/epoch={epoch}")
+        if self.counting:
+            write_counts(batch.sparkSession, arrivals.rows() + ends.rows(), f"{self.folder}/counts/epoch={epoch}")
 
     def _horizon(self, events: DataFrame, state: StateTables, epoch: int) -> DataFrame:
         latest = events.select(F.unix_micros("timestamp").alias("latest"))
@@ -81,7 +85,10 @@ class ContinuousDetection:
         rows = latest if earlier is None else latest.unionByName(earlier)
         return rows.agg(F.max("latest").alias("latest")).coalesce(1)
 
-    def _on_time(self, events: DataFrame, state: StateTables, epoch: int) -> DataFrame:
+    def _watched(self, df: DataFrame, counter: Counter) -> DataFrame:
+        return counter.watch(df) if self.counting else df
+
+    def _on_time(self, events: DataFrame, state: StateTables, epoch: int, arrivals: Counter) -> DataFrame:
         """Events without a time, older than the allowed lateness, or further ahead of the clock than that go to a side
         table instead of being judged; so neither is lost, and no future time moves the horizon."""
         horizon = state.latest("horizon", epoch)
@@ -90,7 +97,7 @@ class ContinuousDetection:
         fits = us <= int(self.clock() * 1_000_000) + ALLOWED_LATENESS_US
         if latest is not None:
             fits = fits & (us > latest - ALLOWED_LATENESS_US)
-        marked = land(events.withColumn("__fits", F.coalesce(fits, F.lit(False))))
+        marked = land(self._watched(events.withColumn("__fits", F.coalesce(fits, F.lit(False))), arrivals))
         marked.where("not __fits").drop("__fits").write.mode("overwrite").parquet(f"{self.folder}/late/epoch={epoch}")
         return marked.where("__fits").drop("__fits")
 
@@ -123,13 +130,13 @@ class ContinuousDetection:
             state.add(name, epoch, fresh.join(known, [owner, item], "left_anti"))
         return hits
 
-    def _end_states(self, alerts: DataFrame, state: StateTables, epoch: int) -> DataFrame:
+    def _end_states(self, alerts: DataFrame, state: StateTables, epoch: int, ends: Counter) -> DataFrame:
         placed = land(deduplicate(alerts, self.dedup_us, open_anchors=state.latest("anchors", epoch)))
         earlier = state.latest("passed", epoch)
         survivors = land(throttle(placed.where(~F.col("duplicate")), self.limit, self.throttle_us, earlier=earlier))
         duplicates = placed.where("duplicate").withColumn("outcome", F.lit("deduplicated"))
         named = survivors.withColumn("outcome", F.when(F.col("throttled"), "throttled").otherwise("dispatched"))
-        done = land(named.drop("throttled").unionByName(duplicates).drop("rowId"))
+        done = land(self._watched(named.drop("throttled").unionByName(duplicates).drop("rowId"), ends))
 
         anchors = placed.groupBy("fingerprint").agg(F.max("anchor").alias("anchor"))
         old = state.latest("anchors", epoch)

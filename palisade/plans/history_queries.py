@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import anomaly as an
 from palisade.operators import heuristics as he
+from palisade.operators import rollups as ro
 from palisade.operators.fusion import result_record, rule_score
 from palisade.operators.rules import load_rules, with_matched_rules
 from palisade.plans.detection import detect
@@ -95,6 +96,36 @@ def resource_baseline(spark, folder):
     return he.resource_baseline(sec_events(spark, folder))
 
 
+@query("q_user_rollup", f"""
+WITH {sec()}, h AS (SELECT username, hour(ts) AS hr, count(*) AS n FROM sec GROUP BY 1, 2),
+hh AS (SELECT username, string_agg(hr || ':' || n, '|' ORDER BY hr) AS hours FROM h GROUP BY 1)
+SELECT s.username AS "user", count(*) AS n_events, any_value(hours) AS hours, TRUE AS actions_close, TRUE AS countries_close,
+  TRUE AS median_close FROM sec s JOIN hh USING (username) WHERE s.username IS NOT NULL GROUP BY 1""")
+def user_rollup(spark, folder):
+    """Merged days: exact counts as they are; sketches by whether they are within their error of the exact tables."""
+    events = sec_events(spark, folder)
+    merged = ro.merged_users(land(ro.user_days(events)), (0.5,)).withColumn("median", F.col("hour_quantiles")[0])
+    exact = he.user_baseline(events).select("user", F.size("actions").alias("actions"), F.size("countries").alias("countries"))
+    # the median's rank among the active hours' counts: the share below it and the share up to it
+    hours = he.period_counts(events, he.HOUR_US).join(merged.select("user", "median"), "user").groupBy("user").agg(
+        F.avg((F.col("n") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("n") <= F.col("median")).cast("int")).alias("upto"))
+    pairs = F.transform("hours", lambda n, h: F.when(n > 0, F.concat(h.cast("string"), F.lit(":"), n.cast("string"))))
+    return merged.join(exact, "user").join(hours, "user").select(
+        "user", "n_events", F.array_join(F.array_compact(pairs), "|").alias("hours"),
+        ro.close(F.col("n_actions"), F.col("actions")).alias("actions_close"),
+        ro.close(F.col("n_countries"), F.col("countries")).alias("countries_close"),
+        ((F.col("below") <= 0.55) & (F.col("upto") >= 0.45)).alias("median_close"))
+
+
+@query("q_resource_rollup", f"""
+WITH {sec()} SELECT resource AS "resourceId", count(*) AS access_count, TRUE AS users_close FROM sec WHERE resource IS NOT NULL GROUP BY 1""")
+def resource_rollup(spark, folder):
+    events = sec_events(spark, folder)
+    exact = he.resource_baseline(events).select("resourceId", F.col("n_users").alias("users"))
+    return ro.merged_resources(land(ro.resource_days(events))).join(exact, "resourceId").select(
+        "resourceId", "access_count", ro.close(F.col("n_users"), F.col("users")).alias("users_close"))
+
+
 @query("q_baseline_score", f"""
 WITH {HIST} SELECT eventId, CASE WHEN h4 THEN country END AS new_country, CASE WHEN h5 THEN name END AS new_action,
   CASE WHEN h6 THEN username END AS new_accessor

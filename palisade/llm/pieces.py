@@ -6,9 +6,10 @@ run through one boundary, the ids up to it are committed and forgotten, so memor
 
 For a unigram model a path's worth is its sum of scores. For a BPE model the right path is the one that the model's
 merges give: a piece may follow another only if merging the two together leaves exactly these two, and then each
-prefix has exactly one path. Both give the ids of the model's own definition. No piece joins what stands before a
-space to what follows it (checked when the model is read), so all paths meet there; the ids of a short stretch
-between two such boundaries are remembered.
+prefix has exactly one path. Both give the ids of the model's own definition. The pieces that end at a character are
+found by walking their common beginnings, one step a character. No piece joins what stands before a space to what
+follows it (checked when the model is read), so all paths meet there; the ids of a short stretch between two such
+boundaries are remembered, with and without marks behind it, and the search gives all others.
 
 Rules for odd input: a null text gives null ids and back null; an empty one no ids and back an empty text; a null
 doc_id and equal rows are kept; an empty table gives an empty table; the extra columns of the input are kept, the
@@ -21,7 +22,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -70,6 +71,20 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class Found(dict):
+    """``found[key]`` is ``make(key)``, worked out once while it is remembered; emptied when full."""
+
+    def __init__(self, make: Callable, room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key):
+        if len(self) >= self.room:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Model:
     """Pieces, scores and settings of a model file's content."""
 
@@ -102,16 +117,19 @@ class Model:
             return
         #: What may stand side by side inside a piece; between any other two characters all paths meet.
         self.inside = {piece[k:k + 2] for piece in self.ids for k in range(len(piece) - 1)}
-        sizes: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if len(piece) > 2:
-                sizes.setdefault(piece[-3:], {2, 1}).add(len(piece))
-        #: Lengths, from the longest, of the pieces that end with three characters; one and two are always looked at.
-        self.sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in sizes.items()}
-        self._fits: dict[int, bool] = {}
+        self.beginnings = {piece[:k] for piece in self.ids for k in range(1, len(piece) + 1)}
+        #: By the open beginning of a piece and a character: the longest one open after it, and the pieces that end there.
+        self.step = Found(self._stepped, 200_000)
+        #: By ``before`` times the number of pieces, plus ``piece``: whether they can stand side by side.
+        self.fits = Found(lambda key: self._tried(*divmod(key, len(self.pieces))), 400_000)
         if self.kind == BPE:
             self._read_merges()
 
+    def _stepped(self, read: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        ends = [read[k:] for k in range(len(read))]
+        ended = tuple((len(x), self.ids[x]) for x in ends if x in self.ids)
+        return next((x for x in ends if x in self.beginnings), ""), ended
+
     def merged(self, text: str) -> list[str]:
         """A short text after all merges, the best score first, the leftmost among equals."""
         parts, self._last = list(text), None
@@ -140,21 +158,12 @@ class Model:
             if parts and (-1 in parts or any(x in self.odd or (self.made[x] and self.rank[x] >= self.rank[number]) for x in parts)):
                 self.odd.add(number)
 
-    def fits(self, before: int, piece: int) -> bool:
+    def _tried(self, before: int, piece: int) -> bool:
         """Whether a BPE model can give these two pieces side by side (``before`` -1: the piece at the start).
 
         They stay apart if no merge over their seam ever comes first. That is read backwards: undo the later of the two
         last merges and ask whether what then touches at the seam would have merged before it. Among merges of one
         piece the left one comes first."""
-        key = before * len(self.pieces) + piece
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 400_000:
-                self._fits.clear()
-            known = self._fits[key] = self._tried(before, piece)
-        return known
-
-    def _tried(self, before: int, piece: int) -> bool:
         text = self.pieces
         if before < 0:
             return len(text[piece][0]) == 1 or self.merged(text[piece][0]) == [text[piece][0]]
@@ -179,35 +188,37 @@ class Model:
         return [self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown]
 
 
-def extend_bpe(model: Model, text: str, last: list[int], start: list[int]) -> None:
-    """The best last piece, and where it starts, for each position of the text that has none yet."""
-    ids, sizes, known, fits, many = model.ids.get, model.sizes.get, model._fits.get, model.fits, len(model.pieces)
-    for end in range(len(last), len(text) + 1):
-        for size in sizes(text[end - 3:end], (2, 1)) if end > 2 else (2, 1):
-            if size <= end:
-                piece = ids(text[end - size:end])
-                if piece is not None:
-                    before = last[end - size]
-                    fine = known(before * many + piece)
-                    if fine or (fine is None and fits(before, piece)):
-                        last.append(piece)
-                        start.append(end - size)
-                        break
+def extend_bpe(model: Model, text: str, last: list[int], state: str) -> str:
+    """Adds the best last piece for each position of the text that has none yet; from and to the beginning of a piece open there."""
+    step, fits, many, add = model.step, model.fits, len(model.pieces), last.append
+    for character in text[len(last) - 1:]:
+        state, ended = step[state + character]
+        for size, piece in ended:
+            if fits[last[-size] * many + piece]:
+                add(piece)
+                break
         else:
-            last.append(-1)
-            start.append(end - 1)
+            add(-1)
+    return state
+
+
+def start_of(model: Model, last: list[int], end: int) -> int:
+    """Where the last piece of the path that ends there begins."""
+    piece = last[end]
+    return end - (len(model.pieces[piece][0]) if piece >= 0 else 1)
 
 
-def trace(model: Model, text: str, last: list[int], start: list[int], end: int) -> list[int]:
+def trace(model: Model, text: str, last: list[int], end: int) -> list[int]:
     """Ids of the path that ends there."""
     out: list[int] = []
     while end > 0:
         piece = last[end]
         if piece >= 0:
             out.append(piece)
+            end -= len(model.pieces[piece][0])
         else:
             out += reversed(model.fallback(text[end - 1]))
-        end = start[end]
+            end -= 1
     out.reverse()
     return out
 
@@ -220,16 +231,19 @@ class StreamingViterbi:
 
     def __init__(self, model: Model):
         self.model, self.text = model, ""
-        # for each open position, counted from the last commitment: best last piece (-1: a character without one,
-        # None: not reachable), where it starts, and for a unigram model the worth of the path
-        self.last: list[int | None] = [-1]
-        self.start, self.worth = [0], [0.0]
+        # for each open position, counted from the last commitment: best last piece (-1: a character without one),
+        # and for a unigram model the worth of the path
+        self.last, self.worth = [-1], [0.0]
+        self.state = ""
 
     def feed(self, characters: str) -> list[int]:
         out: list[int] = []
         for at in range(0, len(characters), self.LOOK):
             self.text += characters[at:at + self.LOOK]
-            extend_bpe(self.model, self.text, self.last, self.start) if self.model.kind == BPE else self._unigram()
+            if self.model.kind == BPE:
+                self.state = extend_bpe(self.model, self.text, self.last, self.state)
+            else:
+                self._unigram()
             if len(self.text) >= self.LOOK:
                 out += self._commit(range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1))
         return out
@@ -240,14 +254,13 @@ class StreamingViterbi:
     def _unigram(self) -> None:
         model, text = self.model, self.text
         for end in range(len(self.last), len(text) + 1):
-            best = (self.worth[end - 1] + model.least, end - 1, -1)
+            best = (self.worth[end - 1] + model.least, -1)
             for size in range(1, min(model.longest, end) + 1):
                 number = model.ids.get(text[end - size:end])
                 if number is not None and model.pieces[number][2] != UNUSED and self.worth[end - size] + model.pieces[number][1] > best[0]:
-                    best = (self.worth[end - size] + model.pieces[number][1], end - size, number)
+                    best = (self.worth[end - size] + model.pieces[number][1], number)
             self.worth.append(best[0])
-            self.start.append(best[1])
-            self.last.append(best[2])
+            self.last.append(best[1])
 
     def _commit(self, positions) -> list[int]:
         """Ids up to the boundary that the paths of all these positions share; the rest stays open."""
@@ -255,12 +268,11 @@ class StreamingViterbi:
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(self.start[last])
+            live.add(start_of(self.model, self.last, last))
         shared = live.pop()
-        out = trace(self.model, self.text, self.last, self.start, shared)
+        out = trace(self.model, self.text, self.last, shared)
         if shared:
-            self.text = self.text[shared:]
-            self.last, self.start = self.last[shared:], [max(0, x - shared) for x in self.start[shared:]]
+            self.text, self.last = self.text[shared:], self.last[shared:]
             if self.worth[shared:]:
                 self.worth = [w - self.worth[shared] for w in self.worth[shared:]]
         return out
@@ -274,20 +286,24 @@ class Codec:
 
     def __init__(self, content: bytes):
         self.model = Model(content)
-        self.memo, self.parts_memo = Memo(self._search, room=200_000), Memo(self._path, room=50_000)
+        #: By what follows the first space of a stretch, and by a part without a space before it.
+        self.memo, self.parts_memo = Memo(self._spaced, room=400_000), Memo(self._path, room=50_000)
+
+    def _spaced(self, rest: str) -> bytes:
+        """Ids of a space and what follows it."""
+        return self._path(" " + rest) if rest.isalpha() else self._search(" " + rest)
+
     def _search(self, stretch: str) -> bytes:
         """A stretch's ids, by way of its parts between further boundaries that no piece reaches over."""
         inside = self.model.inside
         cuts = [0, *[k for k in range(1, len(stretch)) if stretch[k - 1:k + 1] not in inside], len(stretch)]
         if len(cuts) == 2:
             return self._path(stretch)
-        return b"".join([self.parts_memo[stretch[a:b]] for a, b in pairwise(cuts)])
+        first = stretch[:cuts[1]]
+        return b"".join([self.memo[first[1:]] if first[0] == " " else self.parts_memo[first],
+                         *[self.parts_memo[stretch[a:b]] for a, b in pairwise(cuts[1:])]])
 
     def _path(self, part: str) -> bytes:
-        if self.model.kind == BPE and len(part) < StreamingViterbi.LOOK:  # the window holds it whole: nothing to commit before its end
-            last, start = [-1], [0]
-            extend_bpe(self.model, part, last, start)
-            return array("i", trace(self.model, part, last, start, len(part))).tobytes()
         search = StreamingViterbi(self.model)
         return array("i", search.feed(part) + search.finish()).tobytes()
 
@@ -297,7 +313,17 @@ class Codec:
         if not text:
             return b""
         line = text.replace(SPACE, " ")
-        return b"".join(map(self.memo.__getitem__, self.STRETCH.findall(" " + line if self.model.prefix else line)))
+        if self.model.prefix:
+            line = " " + line
+        first, *rests = line.split(" ")
+        if "" in rests:  # spaces in a row belong to the stretch that follows
+            first, *stretches = self.STRETCH.findall(line)
+            rests = [x[1:] for x in stretches]
+            if first[0] == " ":
+                rests.insert(0, first[1:])
+                first = ""
+        ids = b"".join(map(self.memo.__getitem__, rests))
+        return self._search(first) + ids if first else ids
 
 
 class Decoder:

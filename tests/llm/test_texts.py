@@ -120,6 +120,27 @@ def test_window_is_bounded_and_commits_early(piece_codec):
     assert out == whole.feed(text) + whole.finish()
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+def test_stretches_give_the_ids_of_the_whole_line(prefix):
+    codec, rng = pieces.Codec(queries.piece_model()), random.Random(9)
+    codec.model.prefix = prefix
+    texts = [" ", "   ", " a", "a ", "  a  b  ", "a\n b", "\n", ",", "▁a▁▁b", "日本 日本語、x", "word" * 100 + " " + "z!" * 300]
+    texts += ["".join(rng.choices("abest ,.\né日!", k=rng.randint(1, 80))) for _ in range(200)]
+    for text in texts:
+        whole = pieces.StreamingViterbi(codec.model)
+        ids = whole.feed((" " if prefix else "") + text.replace("▁", " ")) + whole.finish()
+        assert np.frombuffer(codec.encode(text), "<i4").tolist() == ids
+
+
+def test_the_streaming_search_sees_each_word_once(monkeypatch):
+    codec, fed = pieces.Codec(queries.piece_model()), []
+    feed = pieces.StreamingViterbi.feed
+    monkeypatch.setattr(pieces.StreamingViterbi, "feed", lambda self, characters: fed.append(characters) or feed(self, characters))
+    codec.encode("thandat, thandat! thandat thandat; then thandat,")
+    assert fed.count(" thandat") == 1 and fed.count(" then") == 1
+    assert "thandat" not in "".join(fed).replace(" thandat", "", 1)
+
+
 class Toy:
     """A unigram model without a file."""
     kind, longest, bytes, unknown, least = pieces.UNIGRAM, 4, {}, 0, -30.0

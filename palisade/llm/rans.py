@@ -16,7 +16,7 @@ LANES, STEPS = 32, 512
 SEGMENT = LANES * STEPS
 #: Segments coded at once.
 WIDTH = 192
-_WORD = np.uint64(32)
+_WORD = 32
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 class Table:
     def __init__(self, frequencies: np.ndarray):
-        self.frequency = frequencies.astype(np.uint64)
+        self.frequency = frequencies.astype(np.int64)
         self.before = np.cumsum(self.frequency) - self.frequency
         self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies.astype(np.int64))
         self.common = int(np.argmax(frequencies)) if len(frequencies) else 0
@@ -70,23 +70,23 @@ def encode(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.nd
             streams.append(stream)
     if not states:
         return np.zeros((0, LANES), np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    return np.concatenate(states), np.array(sizes, np.uint32), np.concatenate(streams)
+    return np.concatenate(states).astype(np.uint64), np.array(sizes, np.uint32), np.concatenate(streams)
 
 
 def _encode(symbols: np.ndarray, steps: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count, width, _ = symbols.shape
-    state = np.full((count, LANES), 1 << LOW, np.uint64)
+    state, least = np.full((count, LANES), 1 << LOW, np.int64), int(steps.min())
     words, given = np.zeros((width, count, LANES), np.uint32), np.zeros((width, count, LANES), bool)
     for t in reversed(range(int(steps.max()))):
-        at = slice(None) if steps.min() > t else np.flatnonzero(steps > t)
+        at = slice(None) if least > t else np.flatnonzero(steps > t)
         symbol, x = symbols[at, t], state[at]
-        f = table.frequency[symbol]
-        full = x >= (f << np.uint64(LOW - SCALE + 32))
+        f = table.frequency.take(symbol)
+        full = (x >> (LOW - SCALE + 32)) >= f
         words[t, at] = x.astype(np.uint32)
         given[t, at] = full
         x = np.where(full, x >> _WORD, x)
-        quotient = x // f
-        state[at] = (quotient << np.uint64(SCALE)) + (x - quotient * f) + table.before[symbol]
+        quotient = (x.view(np.uint64) // f.view(np.uint64)).view(np.int64)
+        state[at] = (quotient << SCALE) + (x - quotient * f) + table.before.take(symbol)
     return state, words, given
 
 
@@ -109,21 +109,24 @@ def decode_segment(number: int, length: int, states: np.ndarray, sizes: np.ndarr
 
 
 def _decode(steps: np.ndarray, states: np.ndarray, first: np.ndarray, stream: np.ndarray, table: Table) -> np.ndarray:
-    state, place = states.copy(), first.astype(np.int64)
+    state, place, least = states.astype(np.int64), first.astype(np.int64), int(steps.min())
     out = np.zeros((len(steps), int(steps.max()), LANES), np.uint32)
-    stream = np.append(stream, np.uint32(0)).astype(np.uint64)
-    mask, low, scale = np.uint64((1 << SCALE) - 1), np.uint64(1 << LOW), np.uint64(SCALE)
+    stream = np.append(stream, np.uint32(0)).astype(np.int64)
+    count = np.arange(len(steps) * LANES)
     for t in range(int(steps.max())):
-        at = slice(None) if steps.min() > t else np.flatnonzero(steps > t)
+        at = slice(None) if least > t else np.flatnonzero(steps > t)
         x = state[at]
-        slot = x & mask
-        symbol = table.symbol[slot]
+        slot = x & ((1 << SCALE) - 1)
+        symbol = table.symbol.take(slot)
         out[at, t] = symbol
-        x = table.frequency[symbol] * (x >> scale) + slot - table.before[symbol]
-        empty = x < low
-        taken = np.cumsum(empty, axis=1)
-        index = np.minimum(place[at][:, None] + taken - 1, len(stream) - 1)
-        state[at] = np.where(empty, (x << _WORD) | stream[np.maximum(index, 0)], x)
-        place[at] += taken[:, -1]
+        x = table.frequency.take(symbol) * (x >> SCALE) + slot - table.before.take(symbol)
+        # the lanes that want a word, segment by segment
+        empty = np.flatnonzero(x < 1 << LOW)
+        rows = empty // LANES
+        taken = np.bincount(rows, minlength=len(x))
+        index = np.minimum((place[at] - np.cumsum(taken) + taken).take(rows) + count[:len(rows)], len(stream) - 1)
+        x.reshape(-1)[empty] = (x.take(empty) << _WORD) | stream.take(index)
+        state[at] = x
+        place[at] += taken
     flat = out.reshape(len(steps), -1)
     return flat.reshape(-1) if len(set(steps.tolist())) == 1 else np.concatenate([flat[k, :n * LANES] for k, n in enumerate(steps)])

@@ -45,39 +45,46 @@ class WordEncoder:
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are its words' ids in turn.
     Words are cut at ASCII white space only; the library itself treats any other. A word of Latin letters, with or
-    without punctuation behind, goes to the library's model directly (lower case, bytes spelled as the library spells
-    them), where that was found to give what the whole library gives; any other word goes the whole way."""
+    without marks behind, goes to the library's model directly (lower case, bytes spelled as the library spells
+    them), where that was found to give what the whole library gives; any other word goes the whole way. Its letters
+    and its marks are remembered each for themselves, so a word is asked for once in all its spellings."""
 
     LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
+    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.memo, self.marks = Memo(self._ids), Memo(self._asked)
+        self.memo, self.letters, self.marks = Memo(self._ids), Memo(self._spelled, room=250_000), Memo(self._asked, room=50_000)
         self.spelling: dict[int, str] = {}
         if self.tokenizer.pre_tokenizer is not None:
             self.spelling = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in self.LETTERS}
         tried = ["Hello", "ÄRGER,", "élève.", "don$", "ß!?", "Naïve...", "x", "straße)", "ÞÆÐ;", "the", "ññ&&&", self.LETTERS, self.LETTERS[:-2].upper() + "-"]
-        self.direct = all(self._model_ids(self.PLAIN.fullmatch(w)) == self._asked(w.encode()) for w in tried)
+        self.direct = True
+        self.direct = all(self._ids(w) == self._asked(w) for w in map(str.encode, tried))
 
     def _asked(self, word: bytes) -> bytes:
         return array(self.kind, self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
-    def _model_ids(self, found: re.Match) -> bytes:
-        letters, marks = found.groups()
-        ids = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(letters.lower().translate(self.spelling))]).tobytes()
-        return ids + self.marks[marks.encode()] if marks else ids
+    def _spelled(self, letters: bytes) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenize(letters.decode("utf-8").translate(self.spelling))]).tobytes()
 
     def _ids(self, word: bytes) -> bytes:
-        if self.direct and (found := self.PLAIN.fullmatch(word.decode("utf-8"))):
-            return self._model_ids(found)
-        return self._asked(word)
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8").split()
+        letters = word.rstrip(self.MARKS)
+        if self.direct and letters.isalpha():  # of ASCII
+            ids = self.letters[letters.lower()]
+        elif self.direct and (found := self.LATIN.fullmatch(letters.decode("utf-8"))):
+            ids = self.letters[found[0].lower().encode()]
+        else:
+            return self._asked(word)
+        return ids + self.marks[word[len(letters):]] if len(letters) < len(word) else ids
+
+    def encode(self, text: str | bytes | None) -> bytes:
+        words = (text.encode("utf-8") if isinstance(text, str) else text or b"").split()
         return b"".join(map(self.memo.__getitem__, words))
 
 
@@ -87,17 +94,32 @@ def encoder_of(model: str) -> WordEncoder:
     return WordEncoder(model)
 
 
-def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """``doc_id, ids``: little-endian unsigned ids of each whole text, with the end id; of 16 bits if the vocabulary allows, else of 32."""
+def _added(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Counts of each id, with these."""
+    seen = np.bincount(ids, minlength=len(counts))
+    seen[:len(counts)] += counts
+    return seen
+
+
+def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = END, counted: bool = False) -> DataFrame:
+    """``doc_id, ids``: little-endian unsigned ids of each whole text, with the end id; of 16 bits if the vocabulary allows, else of 32.
+    ``counted``: also ``counts``, null for a document; after a task's documents, one row with nothing but how often each id came up."""
+    names = ["doc_id", "ids", "counts"][:2 + counted]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
-        last = array(encoder.kind, [end]).tobytes()
+        last, counts = array(encoder.kind, [end]).tobytes(), np.zeros(0, np.int64)
         for batch in batches:
-            ids = [encoder.encode(t.as_py()) + last for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [encoder.encode(t) + last for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+            if counted:
+                counts = _added(counts, np.frombuffer(b"".join(ids), f"<u{len(last)}"))
+            yield pa.RecordBatch.from_arrays(columns[:len(names)], names)
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
-    return rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, ids binary")
+    return rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(
+        work, "doc_id long, ids binary" + ", counts binary" * counted)
 
 
 def id_type(model: str) -> str:
@@ -105,18 +127,21 @@ def id_type(model: str) -> str:
     return f"<u{array(encoder_of(model).kind).itemsize}"
 
 
-def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
-    """``id, n`` over all documents; each task counts what it reads before anything is shuffled."""
+def count_ids(tokens: DataFrame) -> DataFrame:
+    """``id, n`` over all documents, from the counts that the tasks of ``token_ids`` left."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(counts))
-            seen[:len(counts)] += counts
-            counts = seen
+            for value in batch.column(0).to_pylist():
+                found = np.frombuffer(value, "<i8")
+                total = np.zeros(max(len(counts), len(found)), np.int64)
+                total[:len(counts)] += counts
+                total[:len(found)] += found
+                counts = total
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("counts IS NOT NULL").select("counts").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _to_blocks(frequencies: np.ndarray, kind: str):
@@ -155,9 +180,9 @@ def write(rows: DataFrame, model: str, folder: str | None = None, key: str = "do
     """Write the store; returns its folder, a new one in the shared folder unless one is given."""
     spark = rows.sparkSession
     folder = folder or f"{checkpoint_root(spark)}/tokens/{uuid.uuid4().hex}"
-    tokens = land(token_ids(rows, model, key, text), compression="zstd")
-    kind = id_type(model)
-    counts = count_ids(tokens, kind).collect()  # a row per id of the vocabulary at most
+    landed = land(token_ids(rows, model, key, text, counted=True), compression="zstd")
+    tokens, kind = landed.where("counts IS NULL"), id_type(model)
+    counts = count_ids(landed).collect()  # a row per id of the vocabulary at most
     table = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         table[r.id] = r.n

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -202,6 +203,39 @@ def test_rans_round_trip(n):
         assert (rans.decode_segment(k, n, states, sizes, stream, coder) == ids[k * rans.SEGMENT:(k + 1) * rans.SEGMENT]).all()
 
 
+@pytest.mark.parametrize("length", [1, 33, rans.SEGMENT * 3 + 5])
+def test_rans_of_one_id_alone(length):
+    ids = np.full(length, 3)
+    coder = rans.Table(rans.scaled(np.array([0, 0, 0, length])))
+    states, sizes, stream = rans.encode(ids, coder)
+    assert not len(stream) and (rans.decode(length, states, sizes, stream, coder) == ids).all()
+
+
+def word_model():
+    with open(queries.vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def test_words_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    model, rng = word_model(), random.Random(3)
+    library, encoder = Tokenizer.from_str(model), tokenfile.WordEncoder(model)
+    assert encoder.direct
+    words = ["it's", "'s", "!", "a\x1fb", "e\u0301t", "日本,", "x9", "İ,", "ſ", "ÿ_", "Ünï!!", "a-b", "<|endoftext|>"]
+    words += ["".join(rng.choices("abTHeéÉßØø", k=rng.randint(1, 12))) + "".join(rng.choices("!,.'\"-_9<~`", k=rng.randint(0, 3))) for _ in range(3000)]
+    for word in words:
+        assert list(np.frombuffer(encoder.encode(word), f"<u{array(encoder.kind).itemsize}")) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_a_word_is_asked_for_once_in_all_its_spellings():
+    encoder, asked = tokenfile.WordEncoder(word_model()), []
+    tokenize = encoder.tokenize
+    encoder.tokenize = lambda letters: asked.append(letters) or tokenize(letters)
+    encoder.encode("thandat Thandat, THANDAT! thandat; the thandat.")
+    assert asked.count("thandat") == 1
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
@@ -226,6 +260,16 @@ def test_token_file(spark):
         tokenfile.read(spark, f"{folder}-bad").collect()
 
 
+def test_tasks_count_the_ids_they_write(spark):
+    rows = spark.createDataFrame([(None, "the end"), (1, None), (2, "the the!"), (None, None)], "doc_id long, text string").repartition(3)
+    tokens = tokenfile.token_ids(rows, word_model(), counted=True)
+    documents = tokens.where("counts IS NULL").collect()
+    ids = np.frombuffer(b"".join(r.ids for r in documents), tokenfile.id_type(word_model()))
+    assert len(documents) == 4
+    assert {r.id: r.n for r in tokenfile.count_ids(tokens).collect()} == dict(zip(*np.unique(ids, return_counts=True)))
+    assert tokenfile.token_ids(rows, word_model()).columns == ["doc_id", "ids"]
+
+
 def test_empty_token_file(spark):
     with open(queries.vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
         folder = tokenfile.write(table(spark, []), file.read())

@@ -87,9 +87,10 @@ class MetricsListener(StreamingQueryListener):
         place = f"query={report['id']}/batch={report['batchId']}"
         took = report["durationMs"].get("triggerExecution", 0)
         try:
-            write_counts(self.spark, [(s, int(n or 0)) for s, n in sorted(observed.items())], f"{self.folder}/counts/{place}")
+            # counts come last: whoever sees a batch's counts finds its rows and time too
             self.spark.createDataFrame([(report["numInputRows"], took)], TIMES).coalesce(1).write.mode("overwrite").parquet(
                 f"{self.folder}/times/{place}")
+            write_counts(self.spark, [(s, int(n or 0)) for s, n in sorted(observed.items())], f"{self.folder}/counts/{place}")
         except Exception as error:  # noqa: BLE001 - metrics must not end the stream they describe
             log.error("metrics of %s not written: %s", place, error)
 

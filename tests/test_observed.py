@@ -1,6 +1,8 @@
 """Counters of a running stream equal those of a batch over the same rows, and a replay counts nothing twice."""
 
+import json
 import time
+from types import SimpleNamespace
 
 import pytest
 from conftest import DATA
@@ -11,6 +13,7 @@ from palisade.operators.metrics import error_counts, progress_stats, stage_count
 from palisade.operators.normalize import is_valid, normalize
 from palisade.session import land
 from palisade.sources.adapters import raw_records
+from palisade.streaming import observed
 from palisade.streaming.jobs import ContinuousDetection, run_continuous
 from palisade.streaming.observed import MetricsListener, observe_events, observe_raw, stream_counts, stream_latency
 
@@ -68,6 +71,14 @@ def test_stream_counts_equal_batch_counts(spark, scratch, listener):
     assert figures == pytest.approx(progress_stats(reports))
 
 
+def test_a_batch_with_counts_has_its_time(spark, scratch, monkeypatch):
+    seen = []
+    monkeypatch.setattr(observed, "write_counts", lambda spark, rows, folder: seen.append(stream_latency(spark, f"{scratch}/metrics").first().events))
+    report = {"id": "q", "batchId": 0, "numInputRows": 7, "durationMs": {"triggerExecution": 5}, "observedMetrics": {"raw": {"events_ingested": 7}}}
+    MetricsListener(spark, f"{scratch}/metrics").onQueryProgress(SimpleNamespace(progress=SimpleNamespace(json=json.dumps(report))))
+    assert seen == [7]
+
+
 def test_a_replay_is_counted_once(spark, scratch):
     first = events(spark, [dict(eventId="a", eventName="SecretOne"), dict(eventId="b", eventName="SecretTwo", offset_us=30 * MINUTE)])
     second = events(spark, [dict(eventId="c", eventName="SecretThree", offset_us=MINUTE), dict(eventId="d", eventName="SecretTwo", offset_us=31 * MINUTE)])

@@ -15,7 +15,6 @@ each, ordered by their ids' checksum; an empty table gives an empty store; only
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -25,6 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ from palisade.session import checkpoint_root, land
 END = 2
 #: A block is closed at the first document's end at or after so many ids.
 BLOCK_IDS = 1 << 20
+#: Bytes of texts whose words are looked up together; a text is never cut.
+PORTION = 1 << 22
 BLOCKS = ("part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, states binary, "
           "sizes binary, payload binary, payload_crc32 long, ids_crc32 long")
 
@@ -47,11 +49,14 @@ class WordEncoder:
     Words are cut at ASCII white space only; the library itself treats any other. A word of Latin letters, with or
     without marks behind, goes to the library's model directly (lower case, bytes spelled as the library spells
     them), where that was found to give what the whole library gives; any other word goes the whole way. Its letters
-    and its marks are remembered each for themselves, so a word is asked for once in all its spellings."""
+    and its marks are remembered each for themselves, so a word is asked for once in all its spellings.
+
+    Texts are worked on many at a time: Arrow cuts them, finds their distinct words and puts ids in the words' places;
+    only distinct runs of letters, distinct marks and the other words are looked up one by one."""
 
     LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
-    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+    LATIN = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+    MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -59,13 +64,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenize = self.tokenizer.model.tokenize
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.memo, self.letters, self.marks = Memo(self._ids), Memo(self._spelled, room=250_000), Memo(self._asked, room=50_000)
+        self.letters, self.marks, self.others = Memo(self._spelled), Memo(self._asked, room=50_000), Memo(self._asked, room=50_000)
         self.spelling: dict[int, str] = {}
         if self.tokenizer.pre_tokenizer is not None:
             self.spelling = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in self.LETTERS}
         tried = ["Hello", "ÄRGER,", "élève.", "don$", "ß!?", "Naïve...", "x", "straße)", "ÞÆÐ;", "the", "ññ&&&", self.LETTERS, self.LETTERS[:-2].upper() + "-"]
         self.direct = True
-        self.direct = all(self._ids(w) == self._asked(w) for w in map(str.encode, tried))
+        self.direct = all(self.encode(w) == self._asked(w.encode()) for w in tried)
 
     def _asked(self, word: bytes) -> bytes:
         return array(self.kind, self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
@@ -73,19 +78,52 @@ class WordEncoder:
     def _spelled(self, letters: bytes) -> bytes:
         return array(self.kind, [t.id for t in self.tokenize(letters.decode("utf-8").translate(self.spelling))]).tobytes()
 
-    def _ids(self, word: bytes) -> bytes:
-        letters = word.rstrip(self.MARKS)
-        if self.direct and letters.isalpha():  # of ASCII
-            ids = self.letters[letters.lower()]
-        elif self.direct and (found := self.LATIN.fullmatch(letters.decode("utf-8"))):
-            ids = self.letters[found[0].lower().encode()]
-        else:
-            return self._asked(word)
-        return ids + self.marks[word[len(letters):]] if len(letters) < len(word) else ids
+    def _words(self, words: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """Ids of these words in some order, and each word's place there."""
+        letters = pc.ascii_rtrim(words, characters=self.MARKS)
+        plain = pc.match_substring_regex(letters, self.LATIN) if self.direct else pa.repeat(False, len(words))
+        marks = pc.utf8_ltrim(words.filter(plain), characters=self.LETTERS + self.LETTERS.upper())
+        ids = pc.binary_join_element_wise(
+            _looked_up(pc.utf8_lower(letters.filter(plain)), self.letters), _looked_up(marks, self.marks), pa.scalar(b"", pa.binary()))
+        others = _looked_up(words.filter(pc.invert(plain)), self.others)
+        flags = plain.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([ids, others]), (np.where(flags, np.cumsum(flags), len(ids) + np.cumsum(~flags)) - 1).astype(np.int32)
+
+    def encode_all(self, texts: pa.BinaryArray, last: bytes = b"") -> pa.BinaryArray:
+        """Ids of each text, null being empty, with ``last`` behind."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.binary()).fill_null(b"").view(pa.string()))
+        found, ends = words.values.dictionary_encode(), words.offsets.to_numpy()
+        ids, places = self._words(found.dictionary)
+        order = np.insert(places[found.indices.to_numpy()], ends[1:], len(ids))
+        pieces = pa.concat_arrays([ids, pa.array([last], pa.binary())]).take(pa.array(order))
+        _, cuts, data = pieces.buffers()
+        cuts = np.frombuffer(cuts, np.int32)[ends + np.arange(len(ends))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts), data])
 
     def encode(self, text: str | bytes | None) -> bytes:
-        words = (text.encode("utf-8") if isinstance(text, str) else text or b"").split()
-        return b"".join(map(self.memo.__getitem__, words))
+        return self.encode_all(pa.array([text.encode("utf-8") if isinstance(text, str) else text], pa.binary()))[0].as_py()
+
+
+def _looked_up(words: pa.StringArray, memo: Memo) -> pa.BinaryArray:
+    """What the memo has for each, asked once for equal ones."""
+    found = words.dictionary_encode()
+    keys = found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    return pa.array(list(map(memo.__getitem__, keys)), pa.binary()).take(found.indices)
+
+
+def _portions(batches: Iterator[pa.RecordBatch], size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes."""
+    held, total = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+            if held and total + part.nbytes > size:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+            held.append(part)
+            total += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=2)
@@ -109,11 +147,11 @@ def token_ids(rows: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
         last, counts = array(encoder.kind, [end]).tobytes(), np.zeros(0, np.int64)
-        for batch in batches:
-            ids = [encoder.encode(t) + last for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+        for batch in _portions(batches):
+            ids = encoder.encode_all(batch.column(1), last)
+            columns = [batch.column(0), ids, pa.nulls(len(ids), pa.binary())]
             if counted:
-                counts = _added(counts, np.frombuffer(b"".join(ids), f"<u{len(last)}"))
+                counts = _added(counts, np.frombuffer(ids.buffers()[2], f"<u{len(last)}", pc.sum(pc.binary_length(ids)).as_py() // len(last)))
             yield pa.RecordBatch.from_arrays(columns[:len(names)], names)
         if len(counts):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)

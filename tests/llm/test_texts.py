@@ -5,6 +5,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,44 @@ def test_a_word_is_asked_for_once_in_all_its_spellings():
     assert asked.count("thandat") == 1
 
 
+def test_a_repeated_word_is_looked_up_once():
+    encoder, asked = tokenfile.WordEncoder(word_model()), []
+
+    class Seen(Memo):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    for name, memo in list(vars(encoder).items()):
+        if isinstance(memo, Memo):
+            setattr(encoder, name, Seen(memo.make, memo.room, memo.longest))
+    once = encoder.encode("The end, x9 (end) ÄRGER!")
+    asked.clear()
+    assert encoder.encode("The end, x9 (end) ÄRGER! " * 1000) == once * 1000
+    assert len(asked) <= 10
+
+
+def test_texts_together_have_the_ids_of_each_alone():
+    from tokenizers import Tokenizer
+
+    rng, library, encoder = random.Random(5), Tokenizer.from_str(word_model()), tokenfile.WordEncoder(word_model())
+    near = "abcHÉéßøþÿ" + "\u212a\u212b\u0130\u1e9e\u0178÷×ªµ\u0301" + "'.,!9" + " \t\n\r\x0b\x0c\x1c\xa0\u3000\0"
+    texts = [None, "", " ", "\n the  the\n", *("".join(rng.choices(near, k=rng.randint(1, 40))) for _ in range(3000)), None]
+    column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    for part, some in ((column, texts), (column.slice(1, 9), texts[1:10]), (column.slice(0, 0), []), (column.cast(pa.large_binary()), texts)):
+        got = encoder.encode_all(part, array(encoder.kind, [2]).tobytes()).to_pylist()
+        assert [list(array(encoder.kind, g)) for g in got] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+
+
+@pytest.mark.parametrize("size", [1, 40, 90, 10_000])
+def test_portions_hold_every_row_in_order(size):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([3, None, 1, 4]), "text": pa.array([b"a" * 50, None, b"", b"b"])})
+    portions = list(tokenfile._portions(iter([batch, batch.slice(0, 0), batch.slice(1, 2), batch]), size))
+    assert pa.Table.from_batches(portions) == pa.Table.from_batches([batch, batch.slice(1, 2), batch])
+    assert all(p.num_rows == 1 or p.nbytes <= size + 16 for p in portions)
+    assert not list(tokenfile._portions(iter([])))
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 

@@ -25,11 +25,14 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
 
     A look-up measured small is broadcast. Otherwise both sides shuffle on the key, and adaptive execution splits
     whatever partition a busy key makes large, into as many pieces as its measured size asks for. ``measure=False``
-    skips the measuring job for computed look-ups."""
+    skips the measuring job for computed look-ups. The planner takes a few columns of a compressed table for far smaller
+    than they are; an inner join may broadcast either side, so there the shuffle is asked for."""
     names = {c: f"__k_{c}" for c in on}
     side = small.withColumnsRenamed(names)
     if measure and fits_broadcast(small):
         side = F.broadcast(side)
+    elif measure or how == "inner":
+        side = side.hint("merge")
     return big.join(side, _all_equal(on, names), how).drop(*names.values())
 
 

@@ -23,6 +23,19 @@ def test_lookup_join_is_the_same_shuffled_and_broadcast(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_lookup_join_broadcasts_only_what_is_measured_small(spark, monkeypatch):
+    big = spark.range(50).withColumnRenamed("id", "k")
+    small = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+
+    def plan(**options):
+        return lookup_join(big, small, ["k"], **options)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(how="inner") and "BuildLeft" not in plan(how="inner")
+    assert "BroadcastHashJoin" not in plan(how="inner", measure=False)
+    monkeypatch.setattr("palisade.operators.joins.fits_broadcast", lambda _: False)
+    assert "BroadcastHashJoin" not in plan(how="inner") + plan(how="left")
+
+
 def test_size_check(spark):
     assert fits_broadcast(spark.range(10)) and not fits_broadcast(spark.range(10), max_rows=9)
     assert not fits_broadcast(spark.range(1).select(F.repeat(F.lit("x"), 1000).alias("s")), max_bytes=500)

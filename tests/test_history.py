@@ -8,6 +8,7 @@ from helpers import MINUTE, events, ids
 from palisade.operators import heuristics as he
 from palisade.operators.firstseen import first_pairs, kth_first
 from palisade.operators.trailing import trailing_instants
+from palisade.session import land
 
 
 def counts(df, column):
@@ -24,6 +25,18 @@ def test_ip_frequency_threshold(spark):
     assert counts(he.ip_frequency(events(spark, rows)), "ip_count") == {"e00031": 31}
 
 
+def planned(df):
+    """The plan before anything has run, while joins are chosen by estimates alone."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ip_frequency_broadcasts_no_event_rows(spark):
+    stored = land(events(spark, [dict(ip="1.2.3.4", offset_us=i) for i in range(32)]))
+    hits = he.ip_frequency(stored)
+    assert "SortMergeJoin" in planned(hits) and "BuildLeft" not in planned(hits)
+    assert counts(hits, "ip_count") == {"e00031": 31}
+
+
 def test_failed_login_threshold(spark):
     rows = [dict(username="u", eventType="authentication", outcome="failure", offset_us=i * MINUTE) for i in range(6)]
     rows.append(dict(username="u", eventType="authentication", outcome="success", offset_us=6 * MINUTE))

@@ -37,6 +37,13 @@ def test_ip_frequency_broadcasts_no_event_rows(spark):
     assert counts(hits, "ip_count") == {"e00031": 31}
 
 
+def test_user_frequency_broadcasts_no_event_rows(spark):
+    stored = land(events(spark, [dict(username="u", offset_us=i) for i in range(22)]))
+    hits = he.user_frequency(stored)
+    assert "SortMergeJoin" in planned(hits) and "BuildLeft" not in planned(hits)
+    assert counts(hits, "user_count") == {"e00021": 21}
+
+
 def test_failed_login_threshold(spark):
     rows = [dict(username="u", eventType="authentication", outcome="failure", offset_us=i * MINUTE) for i in range(6)]
     rows.append(dict(username="u", eventType="authentication", outcome="success", offset_us=6 * MINUTE))

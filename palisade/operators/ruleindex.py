@@ -12,6 +12,8 @@ fields and the rule's conditions as data, with the meaning ``rules.condition_col
 condition are evaluated as before, each in every event.
 
 Keys and rules are as many as the pack, which the driver holds anyway; they are broadcast when they are measured small.
+Found texts and matches may be as many as the events. They are landed, so that their size decides how they are joined: a
+caller that filters on ``matchedRules`` makes the last join an inner one, in which the planner may broadcast the events.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from palisade.operators import rules as plain
 from palisade.operators.joins import lookup_join
-from palisade.session import number_rows
+from palisade.session import land, number_rows
 
 #: Literals shorter than this are in nearly every text and no way to file a rule.
 LEAST_LITERAL = 3
@@ -259,8 +261,8 @@ def _candidates(rows: DataFrame, index: Index) -> DataFrame | None:
         fields = sorted({at for at, _ in index.words})
         own = F.filter(F.array(*[F.struct(F.lit(at).alias("at"), value[at].t.alias("text")) for at in fields]), lambda x: x.text.isNotNull())
         exploded = rows.select("rowId", "fields", F.explode(own).alias("own")).select("rowId", "fields", "own.at", "own.text")
-        held = _found_words(exploded.select("at", "text").distinct(), index.words)
-        more = lookup_join(exploded, held, ["at", "text"], how="inner", measure=False).select("rowId", "fields", F.explode("ordinals").alias("ordinal"))
+        held = land(_found_words(exploded.select("at", "text").distinct(), index.words))
+        more = lookup_join(exploded, held, ["at", "text"], how="inner").select("rowId", "fields", F.explode("ordinals").alias("ordinal"))
         found = more if found is None else found.unionByName(more)
     return found
 
@@ -283,8 +285,8 @@ def with_matched_rules(events: DataFrame, rules: list[plain.Rule]) -> DataFrame:
                       T.StructField("record", T.DataType.fromDDL(plain.MATCHED_TYPE).elementType)]))
     verified = lookup_join(candidates, side, ["ordinal"], how="inner").where(
         F.forall("tests", lambda t: holds(t, F.get(F.col("fields"), t.field))))
-    matched = verified.groupBy("rowId").agg(F.collect_list("record").alias("__matched"))
-    joined = lookup_join(rows, matched, ["rowId"], measure=False)
+    matched = land(verified.groupBy("rowId").agg(F.collect_list("record").alias("__matched")))
+    joined = lookup_join(rows, matched, ["rowId"])
     every = F.concat(rest, F.coalesce("__matched", F.array().cast(plain.MATCHED_TYPE)))
     done = joined.withColumn("matchedRules", F.array_sort(every)).drop("__matched")
     return done if named else done.drop("rowId")

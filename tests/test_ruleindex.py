@@ -5,10 +5,13 @@ import re
 
 import pytest
 from conftest import DATA
+from helpers import events as made
+from pyspark.sql import functions as F
 
 from palisade.operators import ruleindex
 from palisade.operators.rules import Condition, Rule, with_matched_rules
 from palisade.plans.tables import sec_events
+from palisade.session import land, number_rows
 
 FIELDS = ["eventName", "sourceProvider", "severity", "actor.username", "actor.userType", "actor.ipAddress", "resource.resourceId", "resource.tags.criticality",
           "network.bytesSent", "network.source_port", "risk_score", "requestParameters.mfaUsed", "requestParameters.absent", "no.such.field", "threatIndicators", "outcome"]
@@ -55,6 +58,27 @@ def test_repeated_rows_and_odd_packs(spark):
     assert ruleindex.with_matched_rules(events.limit(0), [rule]).count() == 0
 
 
+def planned(df):
+    """The plan before anything has run, while joins are chosen by estimates alone."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_no_event_rows_are_broadcast(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("palisade.operators.joins.fits_broadcast", lambda _: False)
+    rules = [Rule(id="a", name="a", conditions=(Condition("actor.username", "equals", "u3"),)),
+             Rule(id="b", name="b", conditions=(Condition("eventName", "contains", "Bucket"),))]
+    rows = land(number_rows(made(spark, [dict(username=f"u{i % 5}", eventName=["GetBucket", "Look"][i % 2]) for i in range(20)])))
+    index = ruleindex.build(rows.schema, list(enumerate(rules, 1)))
+    assert index.keys and index.words
+    found = ruleindex._candidates(rows.select("rowId", F.array(*[ruleindex.views(rows.schema, p) for p in index.paths]).alias("fields")), index)
+    hits = ruleindex.with_matched_rules(rows, rules).where(F.size("matchedRules") > 0).select("eventId", F.array_join("matchedRules.id", "|").alias("rules"))
+    for df in (found, hits):
+        assert "BuildLeft" not in planned(df) and ("SortMergeJoin" in planned(df)) != small
+    assert {r.eventId: r.rules for r in hits.collect()} == {f"e{i:05d}": "|".join("a" * (i % 5 == 3) + "b" * (i % 2 == 0)) for i in range(20) if i % 5 == 3 or i % 2 == 0}
+
+
 def test_a_rule_is_filed_where_fewest_are(spark):
     schema = sec_events(spark, DATA).schema
     rules = [(i, Rule(id=str(i), name="x", conditions=(Condition("sourceProvider", "equals", "aws"), Condition("actor.username", "equals", f"user_{i}")))) for i in range(1, 5001)]
